@@ -55,3 +55,16 @@ def bounded_sample(df: DataFrame, bound: int, *key: str, seed: int = 7) -> DataF
     """About ``bound`` rows at most: rows whose hash of ``key`` lies below bound / count; all rows if there are fewer."""
     n = df.count()
     return df if n <= bound else df.where(uniform(*key, seed=seed) < bound / n)
+
+
+def row_key(*columns: str) -> Column:
+    """A 64-bit key of a row's columns, nulls included; repeated rows share it."""
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+
+
+def small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most_rows`` rows (of a few numbers each), else as it is.
+
+    Beyond that size the join shuffles both sides. Give it a settled table: its rows are counted.
+    """
+    return F.broadcast(df) if df.count() <= most_rows else df

@@ -55,3 +55,25 @@ SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
 """
 
 ORACLE = {"op4_mixing": MIXING, "op5_chat": CHAT, "op6_topk": TOPK}
+
+_CLEAN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATION = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '{_CLEAN}'), []) AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWER.format('text')}, '{_CLEAN}') AS w FROM benchmark),
+runs AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS gram
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+ns AS (SELECT DISTINCT n FROM runs),
+grams AS (
+  SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS gram
+  FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, ns WHERE len(w) >= n)),
+hits AS (SELECT g.r, g.i, g.n, x.item FROM grams g JOIN runs x ON g.n = x.n AND g.gram = x.gram),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT r, i, n FROM hits)) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n_hit, 0)::BIGINT AS n_hit, coalesce(items.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items.items, '')) AS items_sha256, coalesce(words.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+ORACLE["op9_decontamination"] = DECONTAMINATION

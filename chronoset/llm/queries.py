@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoset.llm import chat, langid, mixing, secrets, topk
+from chronoset.llm import chat, decontam, langid, mixing, secrets, topk
 from chronoset.llm.common import crc_fold
 
 
@@ -37,6 +37,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(docs, secrets.train(docs)))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontam.digests(found)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = crc_fold("doc_id", 4)
@@ -45,4 +50,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op5_chat, op6_topk, op7_secrets, op10_langid)}
+QUERIES = {f.__name__: f for f in (op4_mixing, op5_chat, op6_topk, op7_secrets, op9_decontamination, op10_langid)}
