@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoset.llm.common import bounded_sample
-from chronoset.llm.words import WordTable, sum_runs
+from chronoset.llm.words import WordTable, portions, sum_runs
 
 # The family of a language code; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -39,11 +38,24 @@ def family_of(language: str) -> str:
     return next((f for f, langs in FAMILIES.items() if language in langs), f"only {language}")
 
 
-def grams(word: str, size: int) -> list[int]:
-    """Hashed features of a word: the word itself, and its character 1- to 4-grams with edges marked."""
-    w = f"<{word}>"
-    found = [w] + [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(g.encode()) % size for g in found]
+def grams(words: list[str], size: int, longest: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams of words with marked edges.
+
+    Returns an array (characters of all marked words, n) of features, -1 where a gram would leave its word, and the
+    number of characters of each marked word.
+    """
+    joined = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(joined))
+    out = np.full((len(joined), longest), -1, np.int64)
+    h = np.zeros(len(joined), np.uint64)
+    for n in range(1, longest + 1):
+        h = h * np.uint64(1_000_003)
+        h[: len(joined) - n + 1] += joined[n - 1 :] + np.uint64(1)
+        mixed = (h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)) >> np.uint64(20)
+        inside = left >= n
+        out[inside, n - 1] = (mixed[inside] % np.uint64(size)).astype(np.int64)
+    return out, lengths
 
 
 @dataclass(frozen=True)
@@ -67,13 +79,13 @@ class LanguageModel:
 
     def word_rows(self, words: list[str]) -> np.ndarray:
         """For each word the sums of its weights, and in the last column its number of features."""
-        out = np.zeros((len(words), self.weights.shape[1] + 1), np.float32)
-        feats = [grams(w, self.size) for w in words]
-        counts = np.array([len(f) for f in feats], np.int64)
-        flat = np.concatenate([np.asarray(f, np.int64) for f in feats]) if feats else np.zeros(0, np.int64)
-        out[:, :-1] = sum_runs(self.weights[flat], counts)
-        out[:, -1] = counts
-        return out
+        ids, lengths = grams(words, self.size)
+        table = np.concatenate([self.weights, np.ones((self.size, 1), np.float32)], axis=1)
+        table = np.concatenate([table, np.zeros((1, table.shape[1]), np.float32)])  # for -1
+        of_char = table[ids[:, 0]]
+        for n in range(1, ids.shape[1]):
+            of_char += table[ids[:, n]]
+        return sum_runs(of_char, lengths)
 
     def decide(self, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The language and the confidence of each row of margins (the mean of the weights, without bias)."""
@@ -117,20 +129,13 @@ def _svm(x: np.ndarray, y: np.ndarray, *, steps: int = 300, c: float = 10.0) ->
 def fit(texts: list[str], languages: list[str], *, size: int = 1 << 13, factor: float = 100.0) -> LanguageModel:
     """Fit on labelled texts; texts without a letter are left out."""
     rows, kept = [], []
-    cache: dict[str, np.ndarray] = {}
     for text, lang in zip(texts, languages, strict=True):
         words = words_of(text)
-        if not words:
-            continue
-        total = np.zeros(size, np.float32)
-        n = 0
-        for w in words:
-            if w not in cache:
-                cache[w] = np.array(grams(w, size), np.int64)
-            np.add.at(total, cache[w], 1)
-            n += len(cache[w])
-        rows.append(total * (factor / n))
-        kept.append(lang)
+        if words:
+            ids = grams(words, size)[0]
+            ids = ids[ids >= 0]
+            rows.append(np.bincount(ids, minlength=size).astype(np.float32) * (factor / len(ids)))
+            kept.append(lang)
     if not kept:
         return LanguageModel((), (), (), np.zeros((size, 0), np.float32), np.zeros(0), np.zeros(0))
     x, y = np.array(rows), np.array(kept)
@@ -186,17 +191,18 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         table = WordTable(m.word_rows)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            split = [words_of(t) if t else [] for t in texts]
-            counts = np.array([len(w) for w in split], np.int64)
             langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            rows = np.nonzero(counts)[0]
-            if len(rows) and m.families:
-                ids = table.ids([w for ws in split for w in ws])
-                sums = sum_runs(table.rows[ids], counts)[rows].astype(np.float64)
-                found, conf = m.decide(sums[:, :-1] / sums[:, -1:])
-                for r, lang in zip(rows, found, strict=True):
-                    langs[r] = lang
-                scores[rows] = conf
+            for start, end in portions(texts) if m.families else ():
+                split = [words_of(t) if t else [] for t in texts[start:end]]
+                counts = np.array([len(w) for w in split], np.int64)
+                rows = np.nonzero(counts)[0]
+                if len(rows):
+                    ids = table.ids([w for ws in split for w in ws])
+                    sums = sum_runs(table.rows[ids], counts)[rows].astype(np.float64)
+                    found, conf = m.decide(sums[:, :-1] / sums[:, -1:])
+                    for r, lang in zip(rows, found, strict=True):
+                        langs[start + r] = lang
+                    scores[start + rows] = conf
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema

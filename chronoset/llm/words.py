@@ -10,7 +10,7 @@ import numpy as np
 class WordTable:
     """Rows of numbers for words, made by ``make(list of new words)`` and kept up to ``limit`` words a task."""
 
-    def __init__(self, make: Callable[[list], np.ndarray], limit: int = 300_000):
+    def __init__(self, make: Callable[[list], np.ndarray], limit: int = 200_000):
         self.make, self.limit = make, limit
         self.index: dict = {}
         self.rows: np.ndarray | None = None
@@ -52,3 +52,15 @@ def sum_runs(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, pieces(counts)[full], axis=0)
     return out
+
+
+def portions(texts: list, most_chars: int = 1_000_000):
+    """(start, end) of consecutive texts with about ``most_chars`` characters, so that memory follows texts, not batches."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t) if t else 0
+        if held >= most_chars:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
