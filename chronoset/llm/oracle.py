@@ -77,3 +77,21 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n_hit, 0)::BIGINT A
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 ORACLE["op9_decontamination"] = DECONTAMINATION
+
+JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '{_CLEAN}'), []) AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS sh
+  FROM (SELECT r, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.r <> b.r GROUP BY 1, 2),
+links AS (
+  SELECT a, b, c = x.n AND c = y.n AS equal FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b
+  WHERE c >= 0.8::DOUBLE * (x.n + y.n - c) - 1e-9),
+reach AS (SELECT r, r AS o FROM d UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.o = links.a),
+class AS (SELECT reach.r, min(d.doc_id) AS class_id FROM reach JOIN d ON d.r = reach.o GROUP BY reach.r),
+per AS (SELECT a AS r, count(*) AS n_links, min(d.doc_id) FILTER (equal) AS twin FROM links JOIN d ON d.r = b GROUP BY a)
+SELECT d.doc_id, class.class_id, least(d.doc_id, coalesce(per.twin, d.doc_id)) AS copy_id, coalesce(per.n_links, 0)::BIGINT AS n_links, coalesce(n.n, 0)::BIGINT AS n_shingles
+FROM d JOIN class USING (r) LEFT JOIN per USING (r) LEFT JOIN n USING (r)
+"""
+ORACLE["op2_jaccard"] = JACCARD
