@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoset.llm import chat, decontam, jaccard, langid, lines, mixing, secrets, topk
+from chronoset.llm import chat, decontam, jaccard, langid, lines, mixing, secrets, topk, toxicity
 from chronoset.llm.common import crc_fold
 
 
@@ -17,6 +17,14 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels.where(~fold))
+    return toxicity.tag(docs.withColumn("held_out", fold), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -58,4 +66,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard, op4_mixing, op5_chat, op6_topk, op7_secrets, op8_lines, op9_decontamination, op10_langid)}
+QUERIES = {f.__name__: f for f in (op2_jaccard, op3_toxicity, op4_mixing, op5_chat, op6_topk, op7_secrets, op8_lines, op9_decontamination, op10_langid)}
