@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoset.llm import chat, decontam, jaccard, langid, lines, mixing, secrets, topk, toxicity
+from chronoset.llm import chat, decontam, html, jaccard, langid, lines, mixing, secrets, topk, toxicity
 from chronoset.llm.common import crc_fold
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents")).drop("row")
 
@@ -66,4 +70,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard, op3_toxicity, op4_mixing, op5_chat, op6_topk, op7_secrets, op8_lines, op9_decontamination, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_jaccard, op3_toxicity, op4_mixing, op5_chat, op6_topk, op7_secrets, op8_lines, op9_decontamination, op10_langid)}
