@@ -242,14 +242,14 @@ def train(docs: DataFrame, labels: DataFrame, *, bound: int = 3000, words: int =
     rows with a null label are left out, and so are documents without text.
     """
     known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(known, "doc_id")
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return ToxicityModel(np.zeros(1), -20.0, np.zeros(2), np.zeros((2, 2)), np.array([0.0, 1.0, 0.0]))
     part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(23)), 11) / F.lit(float(1 << 53))
     shares = {1: min(1.0, bound / 2 / max(counts.get(1, 0), 1)), 0: min(1.0, bound / 2 / max(counts.get(0, 0), 1))}
-    drawn = rows.where(F.when(F.col("toxic") == 1, part < shares[1]).otherwise(part < shares[0]))
-    sample = drawn.select("doc_id", F.substring("text", 1, 8 * words).alias("text"), "toxic").collect()
+    drawn = known.where(F.when(F.col("toxic") == 1, part < shares[1]).otherwise(part < shares[0])).limit(2 * bound)
+    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id")  # 2 * bound small rows at most
+    sample = rows.select("doc_id", F.substring("text", 1, 8 * words).alias("text"), "toxic").collect()
     sample = sorted(sample, key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in sample], [int(r["toxic"]) for r in sample], (shares[0], shares[1]), **limits)
 
