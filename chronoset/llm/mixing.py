@@ -46,7 +46,7 @@ def source_targets(sizes: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, r
     return ranked.select("source", "source_size", "n", "pos", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, repeats: int = 3, seed: str = "mix", bucket_rows: int = 20000) -> DataFrame:
+def mix(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, repeats: int = 3, seed: str = "mix", bucket_rows: int = 2000) -> DataFrame:
     """Mix all rows of ``docs`` (doc_id, text, source) to target weights.
 
     Every source is shuffled by md5(seed:doc_id). A copy of a document (up to ``repeats`` copies, one per pass over
