@@ -62,7 +62,7 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
 
 
-def small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most_rows`` rows (of a few numbers each), else as it is.
 
     Beyond that size the join shuffles both sides. Give it a settled table: its rows are counted.

@@ -163,7 +163,7 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, tole
     members = classes.drop("bands").join(small(near), "node").join(small(settle(sizes, "cluster-sizes")), "cluster")
     n_blocks = F.ceil(F.col("members") / block)
     members = settle(members.withColumn("n_blocks", n_blocks).withColumn("b", F.pmod(F.xxhash64("name", F.lit(3)), n_blocks)), "members")
-    with_text = rows.select("row", "text").join(small(members), "row")  # repeated rows of a class share row
+    with_text = rows.select("row", "text").join(small(members, 20_000), "row")  # a signature each; repeated rows of a class share row
     pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1), lambda x: F.struct(F.least("b", x).alias("i"), F.greatest("b", x).alias("j"))))
     dealt = with_text.select("cluster", "node", "copies", "b", "sig", "text", pairs.alias("p")).select("cluster", "p.i", "p.j", "node", "copies", "b", "sig", "text")
     dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
