@@ -7,36 +7,43 @@ from collections.abc import Callable
 import numpy as np
 
 
+class _Index(dict):
+    """Numbers for words in the order in which they come; ``new`` holds those that were not asked for before."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordTable:
-    """Rows of numbers for words, made by ``make(list of new words)`` and kept up to ``limit`` words a task."""
+    """Rows of numbers for words, made by ``make(list of new words)`` and kept up to about ``limit`` words a task."""
 
     def __init__(self, make: Callable[[list], np.ndarray], limit: int = 200_000):
         self.make, self.limit = make, limit
-        self.index: dict = {}
+        self.index = _Index()
         self.rows: np.ndarray | None = None
         self.used = 0
 
     def ids(self, words: list) -> np.ndarray:
         """The rows of the words; :attr:`rows` holds their numbers until the next call."""
         if len(self.index) > self.limit:
-            self.index, self.used = {}, 0
-        index = self.index
-        get = index.get
-        found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        missing = np.nonzero(found < 0)[0]
-        if len(missing):
-            new = list(dict.fromkeys(words[i] for i in missing))
+            self.index, self.used = _Index(), 0
+        found = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if new := self.index.new:
             made = self.make(new)
             if self.rows is None or self.used + len(new) > len(self.rows):
-                grown = np.zeros((max(2 * (self.used + len(new)), 1024), *made.shape[1:]), made.dtype)
+                grown = np.zeros((max(int(1.5 * (self.used + len(new))), 1024), *made.shape[1:]), made.dtype)
                 if self.rows is not None:
                     grown[: self.used] = self.rows[: self.used]
                 self.rows = grown
             self.rows[self.used : self.used + len(new)] = made
-            for w in new:
-                index[w] = len(index)
             self.used += len(new)
-            found[missing] = [index[words[i]] for i in missing]
+            self.index.new = []
         return found
 
 
