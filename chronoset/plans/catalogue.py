@@ -1,4 +1,12 @@
 """The registered queries and their SQL."""
 
+from __future__ import annotations
+
+from chronoset.plans import study_queries, tree_queries
+
+MODULES = (study_queries, tree_queries)
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _m in MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLE |= _m.ORACLE
