@@ -87,7 +87,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, length: int = 10, k:
             marks.append(some.select(F.element_at(f"g{n}", 1).alias("mark")))
     if length in lengths:
         some = with_fingerprints(windows.where(F.col("length") == length), k, length - k + 1)
-        marks.append(some.select(F.explode("fp").alias("mark")))
+        # written first: else a filter on the exploded array repeats all steps that led to it
+        marks.append(settle(some.select("fp"), "window-fingerprints").select(F.explode("fp").alias("mark")))
     count = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     if not lengths:
         none = rows.select("doc_id", count.alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<first:int,last:int>>").alias("spans"))
@@ -95,16 +96,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, length: int = 10, k:
     union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
     table, marks = settle(union(table), "window-hashes"), settle(union(marks).distinct(), "marks")
 
-    # documents that share a fingerprint with the benchmark
-    hashed = rows.select("row", _hashed(words_of(F.col("text"))).alias("g1"))
+    # one scan gives the number of words of every document and the fingerprints shared with the benchmark
+    hashed = rows.select("row", "doc_id", _hashed(words_of(F.col("text"))).alias("g1"))
     sides = [n for n in lengths if n < length]
     if length in lengths:
         hashed = with_fingerprints(hashed, k, length - k + 1)
     for n in sides:
         hashed = with_grams(hashed, n)
-    every = F.concat(*([F.col("fp")] if length in lengths else []), *[F.col(f"g{n}") for n in sides])
-    hashed = hashed.select("row", F.explode(every).alias("mark"))
-    suspects = settle(hashed.join(small(marks), "mark").select("row").distinct(), "suspects")
+    every = F.concat(F.array(F.lit(0).cast("long")), *([F.col("fp")] if length in lengths else []), *[F.col(f"g{n}") for n in sides])
+    scanned = hashed.select("row", "doc_id", F.size("g1").cast("long").alias("n_words"), F.posexplode(every).alias("place", "mark"))
+    scanned = scanned.join(small(marks.withColumn("shared", F.lit(True))), "mark", "left").where((F.col("place") == 0) | F.col("shared"))
+    scanned = settle(scanned.select("row", "doc_id", "n_words", "place", (F.col("place") > 0).alias("shared")), "scanned")
+    suspects = settle(scanned.where("shared").select("row").distinct(), "suspects")
 
     # all windows of those documents
     near = rows.join(small(suspects), "row", "left_semi").select("row", words_of(F.col("text")).alias("words"))
@@ -120,7 +123,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, length: int = 10, k:
     per_row = hits.groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.col("at").alias("first"), (F.col("at") + F.col("length")).alias("last")))).alias("runs"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     per_row = settle(per_row.select("row", "items", _merged("runs").alias("spans")), "hits")
 
-    out = rows.select("row", "doc_id", count.alias("n_words")).join(small(per_row), "row", "left")
+    out = scanned.where("place = 0").select("row", "doc_id", "n_words").join(small(per_row), "row", "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>"))
     out = out.select("doc_id", "n_words", spans.alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["last"] - x["first"]))
