@@ -78,12 +78,14 @@ def transitions(tokens: list[str]) -> np.ndarray:
     return counts
 
 
-def fit(randoms: list[str], ordinary: list[str], *, smoothing: float = 0.5, **limits) -> MarkovModel:
-    """First-order models of both classes with add-``smoothing`` estimates."""
+def fit(randoms: list[str], ordinary: list[str], *, smoothing: float = 0.5, backing: float = 5.0, **limits) -> MarkovModel:
+    """First-order models of both classes; transitions back off to the class's single characters with the weight of
+    ``backing`` observations, and those to a uniform choice."""
     logs = []
     for tokens in (randoms, ordinary):
-        c = transitions(tokens) + smoothing
-        logs.append(np.log(c / c.sum(axis=1, keepdims=True)))
+        c = transitions(tokens)
+        single = c.sum(axis=0) + smoothing
+        logs.append(np.log((c + backing * single / single.sum()) / (c.sum(axis=1, keepdims=True) + backing)))
     return MarkovModel(logs[0] - logs[1], **limits)
 
 
