@@ -166,3 +166,11 @@ def ordered(population_: DataFrame) -> DataFrame:
     """
     order = Window.orderBy("bits", *KEY, "threshold", "direction")
     return population_.withColumn("detector_id", (F.row_number().over(order) - 1).cast("long"))
+
+
+def filter_thresholds(cuts: DataFrame, long: DataFrame, least_gap: float) -> DataFrame:
+    """Thresholds for which the medians of the values on both sides differ by at least ``least_gap``."""
+    met = cuts.join(long, list(KEY))
+    above = F.col("value") > F.col("threshold")
+    sides = met.groupBy(*KEY, "threshold").agg(F.median(F.when(above, F.col("value"))).alias("hi"), F.median(F.when(~above, F.col("value"))).alias("lo"))
+    return sides.where(F.col("hi") - F.col("lo") >= least_gap).select(*KEY, "threshold")

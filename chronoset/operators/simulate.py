@@ -72,3 +72,19 @@ def noisy_times(subjects: DataFrame, start: float, end: float, n: int, noise: fl
     rows = subjects.select("subject_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
     shift = F.greatest(F.lit(-0.249), F.least(F.lit(0.249), noise * normal(F.col("subject_id"), F.col("i"), seed=seed))) * step
     return rows.select("subject_id", F.greatest(F.lit(float(start)), F.least(F.lit(float(end)), F.lit(float(start)) + F.col("i") * step + shift)).alias("time"))
+
+
+def linear_test_data(subjects: DataFrame, variables: list[str], intervals: int, timepoints: int, seed: int = 1) -> DataFrame:
+    """(subject_id, time, variable, value): in each interval of [0, 1) every variable follows a line of its own."""
+    rows = subjects.select("subject_id", F.explode(F.sequence(F.lit(0), F.lit(timepoints - 1))).alias("i")).withColumn("time", F.col("i") * (0.99 / max(timepoints - 1, 1)))
+    rows = rows.select("subject_id", "time", F.explode(F.array(*[F.lit(v) for v in variables])).alias("variable"))
+    part = F.floor(F.col("time") * intervals)
+    key = (F.col("subject_id"), F.col("variable"), part)
+    within = F.col("time") * intervals - part
+    return rows.select("subject_id", "time", "variable", (normal(*key, seed=seed) + normal(*key, seed=seed + 5) * within).alias("value"))
+
+
+def outcomes(probabilities: DataFrame, seed: int = 1) -> DataFrame:
+    """(subject_id, y) drawn from (subject_id, p)."""
+    u = F.shiftrightunsigned(F.xxhash64("subject_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    return probabilities.select("subject_id", (u < F.col("p")).alias("y"))

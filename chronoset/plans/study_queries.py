@@ -368,3 +368,18 @@ def subsample_timepoints(spark, sf_dir):
     by = Window.partitionBy("subject_id").orderBy("time")
     rows = orders_study(spark, sf_dir).samples.withColumn("sample_ord", F.row_number().over(by).cast("long"))
     return rows.where(F.col("sample_ord").isin(1, 3, 5))
+
+
+@query("threshold_filter", f"""WITH {detector_sql()} SELECT t.t0, t.t1, t.variable, t.type, t.threshold FROM thr t JOIN long l USING (t0, t1, variable, type) GROUP BY ALL
+HAVING median(l.value) FILTER (l.value > t.threshold) - median(l.value) FILTER (l.value <= t.threshold) >= 8.0""")
+def threshold_filter(spark, sf_dir):
+    """Thresholds whose sides differ by 8 or more in their medians."""
+    _, long, cuts = mined(spark, sf_dir)
+    return detectors.filter_thresholds(cuts, long, 8.0)
+
+
+@query("detectors_for_outcome_classes", f"WITH {detector_sql()} SELECT t0, t1, variable, type, round(avg(value) FILTER (y), 8) + 0.0 AS positives, round(avg(value) FILTER (NOT y), 8) + 0.0 AS negatives FROM long JOIN subj USING (subject_id) GROUP BY ALL")
+def detectors_for_outcome_classes(spark, sf_dir):
+    s, long, _ = mined(spark, sf_dir)
+    both = long.join(s.subjects, "subject_id").groupBy("t0", "t1", "variable", "type")
+    return both.agg(r6(F.avg(F.when(F.col("y"), F.col("value"))), 8).alias("positives"), r6(F.avg(F.when(~F.col("y"), F.col("value"))), 8).alias("negatives"))

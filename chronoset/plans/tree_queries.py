@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoset.operators import tree
+from chronoset.operators import taxonomy, tree
 from chronoset.sources.studies import nation_tree, orders_study, r6, table
 
 QUERIES: dict = {}
@@ -184,3 +184,45 @@ def placement_assignment(spark, sf_dir):
     return tree.best_placements(p, closed(spark, sf_dir)[1]).withColumn("pendant", r6("pendant"))
 
 
+
+
+_LINEAGE = "lin AS (SELECT s_name AS seqname, r_name AS family, n_name AS genus, 'K' || (s_suppkey % 4) AS species FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+
+
+def lineage(spark, sf_dir):
+    """Suppliers as reference sequences: regions are families, nations genera, and a key modulo 4 the species."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    taxa = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("tax_id"), F.col("r_name").alias("family"), F.col("n_name").alias("genus"))
+    seqs = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("seqname"), F.col("s_nationkey").alias("tax_id"), F.concat(F.lit("K"), (F.col("s_suppkey") % 4).cast("string")).alias("species"))
+    return taxonomy.lineages(seqs, taxa)
+
+
+@query("taxon_groups", f"WITH {_LINEAGE} SELECT genus AS \"group\", seqname AS member FROM lin WHERE genus IN (SELECT genus FROM lin GROUP BY 1 HAVING count(DISTINCT species) > 1)")
+def taxon_groups(spark, sf_dir):
+    return taxonomy.groups_at(lineage(spark, sf_dir), "genus", "species")
+
+
+@query("taxon_lengths", f"""WITH {TREE}, {_LINEAGE},
+size AS (SELECT family, count(*) AS size FROM lin GROUP BY 1),
+held AS (SELECT family, ancestor, count(*) AS n, max(depth) AS far FROM lin JOIN paths ON seqname = descendant GROUP BY 1, 2),
+lca AS (SELECT family, arg_min(ancestor, (far, ancestor)) AS node FROM held JOIN size USING (family) WHERE n = size GROUP BY 1),
+len AS (SELECT ancestor AS node, sum(dist) AS length FROM paths JOIN edge ON descendant = edge.node GROUP BY 1)
+SELECT family AS "group", node, round(length, 6) AS length FROM lca JOIN len USING (node)""")
+def taxon_lengths(spark, sf_dir):
+    """Subtree lengths of the common ancestors of families."""
+    return taxonomy.rank_lengths(*closed(spark, sf_dir), lineage(spark, sf_dir), "family").withColumn("length", F.round("length", 6))
+
+
+_TABLE = "tab AS (SELECT s_name AS leaf, CASE WHEN s_suppkey % 5 > 0 THEN n_name END AS genus, CASE WHEN s_suppkey % 5 > 1 THEN 'K' || (s_suppkey % 2) END AS species FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+
+
+@query("annotate_from_table", f"""WITH {TREE}, {_TABLE},
+per AS (SELECT ancestor AS variable, count(DISTINCT genus) AS ng, min(genus) AS g, count(DISTINCT species) AS ns, min(species) AS s, count(*) AS n FROM paths JOIN tab ON descendant = leaf WHERE depth > 0 AND genus IS NOT NULL GROUP BY 1)
+SELECT leaf AS variable, coalesce(genus || ' ' || species, species, genus, '(unclassifiable sequence)') AS label FROM tab
+UNION ALL SELECT variable, CASE WHEN ng = 1 THEN g || CASE WHEN ns = 1 THEN ' ' || s ELSE '' END ELSE '(unclassifiable)' END || ' (' || n || ' leaves)' FROM per""")
+def annotate_from_table(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    t = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey")
+    t = t.select(F.col("s_name").alias("leaf"), F.when(k % 5 > 0, F.col("n_name")).alias("genus"), F.when(k % 5 > 1, F.concat(F.lit("K"), (k % 2).cast("string"))).alias("species"))
+    return taxonomy.from_table(t, closed(spark, sf_dir)[1], ("genus", "species"))

@@ -198,3 +198,24 @@ def test_streamed_sums_equal_batch(spark, tmp_path):
     got = statistics.values_of(statistics.merged(spark.read.parquet(str(tmp_path / "out")))).toPandas().sort_values("t0")
     want = detectors.values(obs, w).toPandas().sort_values("t0")
     assert np.allclose(got["slope"], want["slope"]) and np.allclose(got["average"], want["average"])
+
+
+def test_builders():
+    from chronoset.functions import builders
+
+    edges = builders.even_tree(["a", "b", "c", "d"], 2.0)
+    assert len(edges) == 6 and {p for _, p, _ in edges} == {"node1", "node2", "root"}
+    assert [e[1] for e in builders.uneven_tree(["a", "b", "c"])] == ["node1", "node1", "root", "root"]
+    assert builders.random_tree(["a", "b"], seed=3) == builders.random_tree(["a", "b"], seed=3)
+    picks = builders.nested_choices(9, [4, 2])
+    assert set(picks[2]) <= set(picks[4]) and len(picks[4]) == 4
+
+
+def test_linear_data_and_outcomes(spark):
+    from chronoset.operators import simulate
+
+    subjects = spark.createDataFrame([(i,) for i in range(3)], "subject_id long")
+    data = simulate.linear_test_data(subjects, ["a", "b"], 2, 5)
+    assert data.count() == 30 and data.toPandas().equals(simulate.linear_test_data(subjects, ["a", "b"], 2, 5).toPandas())
+    y = simulate.outcomes(spark.createDataFrame([(1, 0.0), (2, 1.0)], "subject_id long, p double"))
+    assert {r["subject_id"]: r["y"] for r in y.collect()} == {1: False, 2: True}
