@@ -47,7 +47,7 @@ def cohort(obs: DataFrame, samples: DataFrame, clade: list[str], start: float, e
     """A cohort made of a study: every second subject (in hash order) is a case whose clade is raised in a window.
 
     In cases the clade's share of a sample becomes size * exp(0.1 * normal) within start..end, the others shrink to
-    what is left; all values are relative abundances.
+    what is left; a sample without others stays as it is. All values are relative abundances.
     """
     w = Window.partitionBy("subject_id", "time")
     case = F.pmod(F.xxhash64("subject_id", F.lit(seed)), F.lit(2)) == 0
@@ -57,7 +57,7 @@ def cohort(obs: DataFrame, samples: DataFrame, clade: list[str], start: float, e
     level = F.least(F.lit(0.95), F.lit(size) * F.exp(0.1 * normal(F.col("subject_id"), F.col("time"), seed=seed + 7)))
     raised = F.when(inside, F.when(F.col("clade_sum") > 0, F.col("value") / F.col("clade_sum") * level).otherwise(level / len(clade)))
     left = F.coalesce(F.try_divide(F.col("value") * (1 - level), F.col("total") - F.col("clade_sum")), F.lit(0.0))
-    hit = F.col("case") & F.col("time").between(start, end) & (F.col("total") > 0)
+    hit = F.col("case") & F.col("time").between(start, end) & (F.col("total") - F.col("clade_sum") > 1e-12)
     value = F.when(hit, F.coalesce(raised, left)).otherwise(F.col("value"))
     return rel.select("subject_id", "time", "variable", value.alias("value"), F.col("case").alias("y"))
 
