@@ -173,7 +173,7 @@ def tree_layout(spark, sf_dir):
 sure AS (SELECT sequence, arg_max(edge, (lwr, edge)) AS node FROM p WHERE lwr > 0.5 GROUP BY 1),
 mass AS (SELECT sequence, ancestor, round(sum(lwr), 9) AS mass FROM p JOIN paths ON edge = descendant GROUP BY 1, 2),
 wide AS (SELECT sequence, arg_min(ancestor, (mass, ancestor)) AS node FROM mass WHERE mass > 0.5 GROUP BY 1)
-SELECT p.sequence, coalesce(any_value(sure.node), any_value(wide.node)) AS node, round(sum(lwr * pendant), 6) + 0.0 AS pendant FROM p LEFT JOIN sure USING (sequence) LEFT JOIN wide USING (sequence) GROUP BY p.sequence""")
+SELECT p.sequence, coalesce(any_value(sure.node), any_value(wide.node)) AS node, round(sum(lwr * pendant), 9) + 0.0 AS pendant FROM p LEFT JOIN sure USING (sequence) LEFT JOIN wide USING (sequence) GROUP BY p.sequence""")
 def placement_assignment(spark, sf_dir):
     """Parts placed on the supplier tree, with shares of quantity as likelihoods."""
     from pyspark.sql import Window
@@ -181,7 +181,7 @@ def placement_assignment(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     p = lines.groupBy(F.col("l_partkey").alias("sequence"), F.col("s_name").alias("edge")).agg(F.sum("l_quantity").alias("q"), F.round(F.avg("l_discount"), 6).alias("pendant"))
     p = p.withColumn("lwr", F.col("q") / F.sum("q").over(Window.partitionBy("sequence"))).drop("q")
-    return tree.best_placements(p, closed(spark, sf_dir)[1]).withColumn("pendant", r6("pendant"))
+    return tree.best_placements(p, closed(spark, sf_dir)[1]).withColumn("pendant", r6("pendant", 9))
 
 
 
