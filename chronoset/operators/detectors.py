@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -73,33 +75,35 @@ def thresholds(long: DataFrame, by: tuple[str, ...] = (), digits: int | None = 8
 def average_linkage_cut(x: np.ndarray, most: int) -> np.ndarray:
     """Cluster numbers of sorted values: average linkage, cut at the smallest height with at most ``most`` clusters.
 
-    On a line the nearest pair of clusters are neighbours, so only neighbours are compared. Merges at equal heights
-    happen together.
+    On a line the nearest pair of clusters are neighbours, and their average distance is that of their means, so a
+    heap of neighbouring gaps is enough. Merges at the height of the cut all happen.
     """
-    sizes, sums = [1] * len(x), [float(v) for v in x]
-    bounds = list(range(len(x)))
-    while len(sizes) > most:
-        means = np.array(sums) / np.array(sizes)
-        gaps = np.diff(means)
-        height = gaps.min()
-        i = 0
-        while i < len(gaps):
-            if gaps[i] <= height * (1 + 1e-12):
-                sizes[i + 1] += sizes[i]
-                sums[i + 1] += sums[i]
-                sizes[i] = 0
-            i += 1
-        keep = [k for k, n in enumerate(sizes) if n]
-        starts, start = [], None
-        for k, n in enumerate(sizes):
-            start = bounds[k] if start is None else start
-            if n:
-                starts.append(start)
-                start = None
-        sizes, sums, bounds = [sizes[k] for k in keep], [sums[k] for k in keep], starts
-    out = np.zeros(len(x), np.int64)
-    out[bounds[1:]] = 1
-    return np.cumsum(out)
+    n = len(x)
+    size, total = [1] * n, [float(v) for v in x]
+    after, before, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
+    stamp = [0] * n
+    gaps = [(float(x[i + 1] - x[i]), i, i + 1, 0, 0) for i in range(n - 1)]
+    heapify(gaps)
+    left, height = n, -1.0
+    while gaps:
+        gap, i, j, si, sj = heappop(gaps)
+        if not alive[i] or not alive[j] or stamp[i] != si or stamp[j] != sj:
+            continue
+        if left <= most and gap > height * (1 + 1e-12):
+            break
+        height = max(height, gap)
+        size[i] += size[j]
+        total[i] += total[j]
+        alive[j] = False
+        stamp[i] += 1
+        after[i] = after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        left -= 1
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b >= 0:
+                heappush(gaps, (total[b] / size[b] - total[a] / size[a], a, b, stamp[a], stamp[b]))
+    return np.cumsum(np.array(alive, np.int64)) - 1
 
 
 def clustered_thresholds(long: DataFrame, most: int) -> DataFrame:

@@ -57,7 +57,17 @@ def test_thresholds_truths_and_order(spark):
 
 def test_average_linkage():
     assert detectors.average_linkage_cut(np.array([0.0, 0.1, 5.0, 5.2, 9.0]), 3).tolist() == [0, 0, 1, 1, 2]
-    assert detectors.average_linkage_cut(np.array([1.0, 2.0, 3.0]), 2).tolist() == [0, 0, 0]
+    assert detectors.average_linkage_cut(np.array([1.0, 2.0, 3.0]), 2).tolist() == [0, 0, 1]
+    assert detectors.average_linkage_cut(np.array([0.0, 1.0, 10.0, 11.0]), 3).tolist() == [0, 0, 1, 1]
+    assert detectors.average_linkage_cut(np.array([2.0, 2.0, 2.0]), 3).tolist() == [0, 1, 2]
+    rng = np.random.default_rng(2)
+    x = np.sort(rng.normal(size=30))
+    groups = [[i] for i in range(30)]
+    while len(groups) > 6:
+        d = [np.mean(np.abs(x[a][:, None] - x[b][None, :])) for a, b in zip(groups, groups[1:])]
+        i = int(np.argmin(d))
+        groups[i : i + 2] = [groups[i] + groups[i + 1]]
+    assert detectors.average_linkage_cut(x, 6).tolist() == [k for k, g in enumerate(groups) for _ in g]
 
 
 def test_filters(spark):
