@@ -54,7 +54,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), distance=None).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,6 +283,43 @@ def test_line_dedup_against_brute_force(spark):
     assert lines.dedup_lines(docs(spark, rows).limit(0)).count() == 0
 
 
+def kept_lines(spark, ls, **options):
+    """The kept ones of the lines of one document, by edit similarity alone."""
+    row = lines.dedup_lines(docs(spark, [(1, "\n".join(ls))]), distance=None, **options).first()
+    assert row["n_lines"] == len(ls) and row["n_removed"] == len(ls) - len(row["text"].split("\n"))
+    return row["text"].split("\n")
+
+
+def kept_by_edits(ls):
+    """What brute force over edit similarity keeps, in no need of hashes."""
+    root = list(range(len(ls)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(ls)), 2):
+        if find(i) != find(j) and lines.edit_similarity(lines.normalised(ls[i]), lines.normalised(ls[j]), 0.8):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    return [x for i, x in enumerate(ls) if find(i) == i]
+
+
+def test_line_dedup_reaches_edit_similarity(spark):
+    rng = random.Random(5)
+    ls = []
+    for s in range(60):
+        base = words((6, 8, 12, 20, 50, 100)[s % 6], 900 + s, 30_000)
+        ls.append(" ".join(base))
+        for _ in range(2):
+            other = list(base)
+            for k in rng.sample(range(len(base)), max(1, len(base) // 8)):
+                other[k] = f"w{rng.randrange(30_000)}"
+            ls.append(" ".join(other))
+    want = kept_by_edits(ls)
+    assert len(want) < 70 and kept_lines(spark, ls) == want
+
+
 # ---------------------------------------------------------------- 9
 
 def test_decontamination_against_brute_force(spark):
