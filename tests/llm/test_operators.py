@@ -320,6 +320,28 @@ def test_line_dedup_reaches_edit_similarity(spark):
     assert len(want) < 70 and kept_lines(spark, ls) == want
 
 
+def test_line_dedup_compares_all_of_a_bucket(spark):
+    rng = random.Random(6)
+    ls = []
+    for s in range(5):  # templates with one word changed, and the template's words in other orders
+        base = words(40, 700 + s, 30_000)
+        for _ in range(16):
+            other = list(base)
+            other[rng.randrange(40)] = f"w{rng.randrange(30_000)}"
+            ls.append(" ".join(other))
+        ls += [" ".join(rng.sample(base, 40)) for _ in range(4)]
+    chain = words(40, 800, 30_000)  # each line is like the next, the ends are not alike
+    for _ in range(24):
+        ls.append(" ".join(chain))
+        chain = chain[2:] + words(2, rng.random(), 30_000)
+    rng.shuffle(ls)
+    want = kept_by_edits(ls)
+    assert len(want) == 5 + 20 + 1
+    assert kept_lines(spark, ls, block=6) == want == kept_lines(spark, ls)
+    group = [{"h": i, "norm": x, "b": 0, "i": 0, "j": 0} for i, x in enumerate(ls)]
+    assert len(lines.group_links([group], 0.8)) == len(ls) - len(want)  # spanning links only
+
+
 # ---------------------------------------------------------------- 9
 
 def test_decontamination_against_brute_force(spark):
