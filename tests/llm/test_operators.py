@@ -342,6 +342,14 @@ def test_line_dedup_compares_all_of_a_bucket(spark):
     assert len(lines.group_links([group], 0.8)) == len(ls) - len(want)  # spanning links only
 
 
+def test_line_dedup_of_short_lines(spark):
+    ls = ["confirm your subscription now", "confirm yuor subscription now", "Unsubscribe", "Unsubscribed", "read more here", "read more  hree!",
+          "contact us", "about us", "敏捷的棕色狐狸跳过了那只懒惰的狗然后离开", "敏捷的棕色狐狸跳过了那只懒惰的猫然后离开", "東京都は日本の首都であり人口が多い", "東京都は日本の首都であり人口が多い。",
+          "ประเทศไทยมีเมืองหลวงคือกรุงเทพมหานคร", "ประเทศไทยมีเมืองหลวงคือกรุงเทพมหานคน", "abcde", "abcdf", "abcd", "x", "y"]
+    want = kept_by_edits(ls)
+    assert len(want) == 11 and kept_lines(spark, ls) == want
+
+
 # ---------------------------------------------------------------- 9
 
 def test_decontamination_against_brute_force(spark):
