@@ -68,3 +68,23 @@ def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     Beyond that size the join shuffles both sides. Give it a settled table: its rows are counted.
     """
     return F.broadcast(df) if df.count() <= most_rows else df
+
+
+#: Slots of a sieve, as a power of two: 2**20 words of 64 bits, whatever the number of keys.
+SIEVE_BITS = 26
+
+
+def sieve(df: DataFrame, key: str, wanted: DataFrame, *, bits: int = SIEVE_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` whose ``key`` may be in ``wanted``, rows whose key is not there).
+
+    ``key`` is a 64-bit hash and the only column of ``wanted``. A bit stands for each slot of hashes, so what is
+    broadcast has at most 2**(bits - 6) rows of two numbers. A join with ``wanted`` settles the first part; rows of
+    the second need no shuffle. With more keys than slots the first part grows; results stay the same.
+    """
+    slot = F.pmod(F.col(key), F.lit(1 << bits))
+    word, bit = F.shiftright(slot, 6).alias("__word"), F.expr(f"shiftleft(1L, cast(pmod(`{key}`, 64) as int))")
+    words = settle(wanted.select(word, bit.alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits")), "sieve")
+    marked = df.withColumn("__word", F.shiftright(slot, 6)).join(F.broadcast(words), "__word", "left")
+    marked = marked.withColumn("__in", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False)))
+    part = lambda inside: marked.where(F.col("__in") if inside else ~F.col("__in")).drop("__word", "__bits", "__in").select(*df.columns)
+    return part(True), part(False)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoset.llm.common import row_key, settle, small
+from chronoset.llm.common import row_key, settle, sieve
 from chronoset.llm.graph import components
 from chronoset.llm.words import WordTable, pieces, portions
 
@@ -93,6 +93,14 @@ def pruned_pairs(a: np.ndarray, b: np.ndarray, same: bool, least: dict[int, int]
     return i, j
 
 
+def first_met(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """Whether pairs of signatures, row by row, have no band of ROWS equal values before the given one."""
+    apart = np.ones(len(a), bool)
+    for t in range(band):
+        apart &= (a[:, t * ROWS : (t + 1) * ROWS] != b[:, t * ROWS : (t + 1) * ROWS]).any(axis=1)
+    return apart
+
+
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, columns: int = 1 << 14) -> np.ndarray:
     """The exact number of common shingles of the sets i and j, pair by pair."""
     if len(i) <= 8 * len(sets):
@@ -118,12 +126,13 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, tole
     text): a row for each input row.
 
     1. Documents with the same set are one class; from here on each class has one row.
-    2. Classes that share a band of MinHash values are joined to their bucket's smallest one; the connected
-       components are clusters that hold every pair with a common band.
-    3. Clusters are cut into blocks, and each pair of blocks is one bounded group: its pairs are compared MinHash
-       value by value and dropped once the posterior probability of reaching the threshold is below ``tolerance``;
-       the rest are verified exactly on their sets. A group returns link counts and one link for each member to its
-       smallest partner, so rows stay linear while no link is lost from counts and groups.
+    2. Classes that share a band of MinHash values are a bucket. Buckets are cut into blocks, and each pair of blocks
+       is one bounded group, in which pairs are compared MinHash value by value and dropped once the posterior
+       probability of reaching the threshold is below ``tolerance``. A pair is looked at in its first common band
+       only. Classes without a pair left go no further.
+    3. The others get their texts, and their pairs are verified exactly on the sets. A group returns link counts and
+       one link for each member to its smallest partner, so rows stay linear while no link is lost from counts and
+       groups. Of the corpus only texts of these classes, found by :func:`common.sieve`, are shuffled.
 
     With 16 bands of 4 values a pair at similarity 0.8 shares one with probability 0.9998, more above it.
 
@@ -155,37 +164,68 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, tole
         F.min("doc_id").alias("copy_id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = settle(classes.withColumn("node", F.xxhash64("name")), "classes")
 
-    lead = Window.partitionBy("band")
-    banded = classes.select("node", F.explode("bands").alias("band")).withColumn("lead", F.min("node").over(lead))
-    near = components(banded.where(F.col("node") != F.col("lead")).select("node", "lead").distinct(), "node", "lead")
-    near = settle(near.select("node", F.col("root").alias("cluster")), "clusters")
-    sizes = near.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
-    members = classes.drop("bands").join(small(near), "node").join(small(settle(sizes, "cluster-sizes")), "cluster")
+    bucket = Window.partitionBy("t", "band")
+    banded = classes.select("node", F.posexplode("bands").alias("t", "band"))
+    banded = banded.select("*", F.count(F.lit(1)).over(bucket).alias("members")).where(F.col("members") > 1)
+    banded = settle(banded, "buckets").join(classes.select("node", "sig"), "node")
     n_blocks = F.ceil(F.col("members") / block)
-    members = settle(members.withColumn("n_blocks", n_blocks).withColumn("b", F.pmod(F.xxhash64("name", F.lit(3)), n_blocks)), "members")
-    with_text = rows.select("row", "text").join(small(members, 20_000), "row")  # a signature each; repeated rows of a class share row
+    banded = banded.withColumn("n_blocks", n_blocks).withColumn("b", F.pmod(F.xxhash64("node", F.lit(3)), F.col("n_blocks")))
     pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1), lambda x: F.struct(F.least("b", x).alias("i"), F.greatest("b", x).alias("j"))))
-    dealt = with_text.select("cluster", "node", "copies", "b", "sig", "text", pairs.alias("p")).select("cluster", "p.i", "p.j", "node", "copies", "b", "sig", "text")
-    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    group = ["t", "band", "i", "j"]
+    dealt = banded.select("t", "band", "node", "b", "sig", pairs.alias("p")).select("t", "band", "p.i", "p.j", "node", "b", "sig")
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group)
     least = least_matches((16, 32, HASHES), threshold, tolerance)
 
-    def one_group(group: list[dict], table: WordTable):
-        i, j = group[0]["i"], group[0]["j"]
-        group = list({g["node"]: g for g in group}.values())  # repeated rows
-        left = [g for g in group if g["b"] == i]
-        right = left if i == j else [g for g in group if g["b"] == j]
+    def left_pairs(members: list[dict]) -> tuple[list[dict], np.ndarray, np.ndarray]:
+        """The members of a group and the pairs of them that this group has to verify."""
+        i, j, t = members[0]["i"], members[0]["j"], members[0]["t"]
+        left = [g for g in members if g["b"] == i]
+        right = left if i == j else [g for g in members if g["b"] == j]
         if not left or not right:
-            return
+            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         sig = lambda part: np.frombuffer(b"".join(g["sig"] for g in part), np.uint32).reshape(-1, HASHES)
-        x, y = pruned_pairs(sig(left), sig(right), i == j, least)
+        a, b = sig(left), sig(right)
+        x, y = pruned_pairs(a, b, i == j, least)
+        fresh = first_met(a[x], b[y], t)
+        x, y = x[fresh], y[fresh]
+        return (left, x, y) if i == j else (left + right, x, y + len(left))
+
+    def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+        members, key = [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                now = (row["t"], row["band"], row["i"], row["j"])
+                if now != key:
+                    if len(members) > 1:
+                        yield members
+                    members, key = [], now
+                members.append(row)
+        if len(members) > 1:
+            yield members
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*group, "node", "b"]
+        found = []
+        for members in groups_of(batches):
+            used, x, y = left_pairs(members)
+            found += [tuple(used[k][n] for n in names) for k in np.unique(np.concatenate([x, y])).tolist()]
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names)
+
+    near = settle(dealt.withColumn("t", F.col("t").cast("long")).mapInArrow(prune, "t long, band long, i long, j long, node long, b long"), "near")
+    members = settle(classes.select("node", "row", "copies", "sig").join(near.select("node").distinct(), "node"), "members")
+    wanted = sieve(rows.select("row", "text"), "row", members.select("row"))[0]
+    texts = wanted.groupBy("row").agg(F.first("text").alias("text"))  # repeated rows once
+    members = settle(members.join(texts, "row").drop("row"), "member-texts")
+    dealt = near.join(members, "node").repartition(*group).sortWithinPartitions(*group)
+
+    def one_group(members: list[dict], table: WordTable):
+        used, x, y = left_pairs(members)
         if not len(x):
             return
-        used = left if i == j else left + right
-        if i != j:
-            y = y + len(left)
-        wanted, back = np.unique(np.concatenate([x, y]), return_inverse=True)
-        x, y = back[: len(x)], back[len(x) :]
-        used = [used[k] for k in wanted]
         h, runs = shingles([g["text"] for g in used], size, table)
         sets = [np.unique(s) for s in np.split(h, np.cumsum(runs)[:-1])]
         n = np.array([len(s) for s in sets])
@@ -210,29 +250,22 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, tole
             yield int(nodes[k]), int(links[k]), int(partner[k])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(word_hashes)
-        group, key, found = [], None, []
+        table, found = WordTable(word_hashes), []
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["node", "links", "partner"])
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                now = (row["cluster"], row["i"], row["j"])
-                if now != key:
-                    found += one_group(group, table) if group else []
-                    group, key = [], now
-                group.append(row)
+        for members in groups_of(batches):
+            found += one_group(members, table)
             if len(found) > 10_000:
                 yield batch_of(found)
                 found = []
-        found += one_group(group, table) if group else []
         yield batch_of(found)
 
     checked = settle(dealt.mapInArrow(verify, "node long, links long, partner long"), "links")
     groups = components(checked.where(F.col("node") != F.col("partner")), "node", "partner")
     counts = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    named = classes.select("name", "node", "copy_id", "copies").join(small(settle(counts, "link-counts")), "node", "left").join(small(settle(groups, "groups")), "node", "left")
+    named = classes.select("name", "node", "copy_id", "copies").join(settle(counts, "link-counts"), "node", "left").join(settle(groups, "groups"), "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     heads = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     labelled = named.join(heads, "root").select("name", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
