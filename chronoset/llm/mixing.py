@@ -11,12 +11,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _copies_up_to(cut, repeats: int) -> Column:
-    """How many copies of a row come at or before the cut in (finish time, source position, shuffle key) order."""
+    """How many copies of a row come at or before the cut in (finish time, source position) order."""
     total = F.lit(0)
     for e in range(repeats):
         f = (F.lit(e) * F.col("source_size") + F.col("cum")).cast("double") / F.col("target")
-        tie = (F.col("pos") < cut["pos"]) | ((F.col("pos") == cut["pos"]) & (F.col("k") <= cut["k"]))
-        total = total + F.when((f < F.lit(cut["f"])) | ((f == F.lit(cut["f"])) & tie), 1).otherwise(0)
+        total = total + F.when((f < F.lit(cut["f"])) | ((f == F.lit(cut["f"])) & (F.col("pos") <= cut["pos"])), 1).otherwise(0)
     return total
 
 
@@ -49,9 +48,9 @@ def source_targets(sizes: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, r
 def mix(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, repeats: int = 3, seed: str = "mix", bucket_rows: int = 2000) -> DataFrame:
     """Mix all rows of ``docs`` (doc_id, text, source) to target weights.
 
-    Every source is shuffled by md5(seed:doc_id). A copy of a document (up to ``repeats`` copies, one per pass over
+    Every source is shuffled by md5(seed:doc_id), then md5(text). A copy of a document (up to ``repeats`` copies, one per pass over
     its source) has the virtual finish time (words of its source up to and with it, over all passes) / target.
-    Copies are taken in the order of finish time, source position, shuffle key until the budget, ``share`` of all
+    Copies are taken in the order of finish time and source position (finish times of a source differ) until the budget, ``share`` of all
     words, is spent.
 
     Returns doc_id, source, size, source_size, target, taken, copies, finish: one row per input row.
@@ -60,13 +59,15 @@ def mix(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, repeats: int
     ``bucket_rows`` rows by shuffle key, sums of buckets give the offsets, and the global order is cut at the one
     bucket of finish times where the budget runs out.
 
-    Null text counts 0 words; a null source is a source of its own and comes last; null or repeated doc_ids share a
-    shuffle key and are taken together; a document of no words takes 0; an empty table gives an empty table. Other
+    Null text counts 0 words; a null source is a source of its own and comes last; null or repeated doc_ids follow
+    each other in the order of their texts' digests, and rows that are equal in all this in any order, each with its
+    own finish time; a document of no words takes 0; an empty table gives an empty table. Other
     columns are ignored.
     """
+    tie = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~"))).cast("binary"))
-    base = settle(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("k")), "mix-sizes")
+    base = settle(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.concat(key, tie).alias("k")), "mix-sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = settle(source_targets(sizes, weights=weights, share=share, repeats=repeats), "mix-targets")
     t = targets.withColumnRenamed("source", "of_source")
@@ -76,11 +77,11 @@ def mix(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, repeats: int
     # per source and bucket: the words of all earlier buckets
     ahead = Window.partitionBy("pos").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("pos", "b").agg(F.sum("size").alias("words")).select("pos", "b", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("pos", "b").orderBy("k")
+    within = Window.partitionBy("pos", "b").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("inner", F.sum("size").over(within)).join(offsets, ["pos", "b"])
     rows = rows.withColumn("cum", F.col("inner") + F.col("offset"))
     rows = rows.withColumn("finish", F.when(F.col("target") > 0, F.col("cum").cast("double") / F.col("target")).otherwise(F.lit(0.0)))
-    rows = settle(rows.select("doc_id", "source", "size", "source_size", "target", "n", "pos", "k", "cum", "finish"), "mix-queue")
+    rows = settle(rows.select("doc_id", "source", "size", "source_size", "target", "n", "pos", "cum", "finish"), "mix-queue")
 
     budget, n_rows = targets.agg(F.sum("source_size") * F.lit(share), F.sum("n")).first() or (0, 0)
     cut = _cut(rows, budget or 0, n_rows or 0, repeats, bucket_rows)
@@ -90,21 +91,21 @@ def mix(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, repeats: int
 
 
 def _cut(rows: DataFrame, budget: float, n_rows: int, repeats: int, bucket_rows: int):
-    """The last copy within the budget, as {f, pos, k}; None if all copies are."""
+    """The last copy within the budget, as {f, pos}; None if all copies are."""
     passes = F.explode(F.array(*[F.lit(e) for e in range(repeats)])).alias("e")
     copies = rows.where((F.col("target") > 0) & (F.col("size") > 0)).select("*", passes)
     copies = copies.withColumn("f", (F.col("e") * F.col("source_size") + F.col("cum")).cast("double") / F.col("target"))
     slices = max(1, -(-n_rows // bucket_rows))
-    copies = copies.select("f", "pos", "k", "size", F.floor(F.col("f") * slices).alias("slice"))
+    copies = copies.select("f", "pos", "size", F.floor(F.col("f") * slices).alias("slice"))
     run = Window.orderBy("slice")
     sums = copies.groupBy("slice").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(run))
     over = sums.where(F.col("upto") > budget).orderBy("slice").first()
     if over is None:
         return None
     start = over["upto"] - over["words"]
-    order = Window.orderBy("f", "pos", "k")
+    order = Window.orderBy("f", "pos")
     inside = copies.where(F.col("slice") == over["slice"]).withColumn("run", F.sum("size").over(order) + F.lit(start))
-    last = inside.where(F.col("run") <= budget).orderBy(F.desc("f"), F.desc("pos"), F.desc("k")).select("f", "pos", "k").first()
+    last = inside.where(F.col("run") <= budget).orderBy(F.desc("f"), F.desc("pos")).select("f", "pos").first()
     if last is None:  # the cut falls just before this slice
-        last = copies.where(F.col("slice") < over["slice"]).orderBy(F.desc("f"), F.desc("pos"), F.desc("k")).select("f", "pos", "k").first()
-    return last.asDict() if last else {"f": -1.0, "pos": -1, "k": ""}
+        last = copies.where(F.col("slice") < over["slice"]).orderBy(F.desc("f"), F.desc("pos")).select("f", "pos").first()
+    return last.asDict() if last else {"f": -1.0, "pos": -1}
