@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from chronoset.llm.common import settle
 
-DEPTHS = (1 / 8, 1 / 3, 1.0)
+#: Shares of each list that are read one after the other.
+DEPTHS = (1 / 64, 1 / 24, 1 / 8)
+#: Components whose contributions differ most are read; a query whose rows stay beyond this share reads all lists.
+HOPELESS = 0.5
 
 
 def _kind(q: np.ndarray, x: np.ndarray):
@@ -18,47 +21,82 @@ def _kind(q: np.ndarray, x: np.ndarray):
     return np.float32 if top < 2**23 else np.float64 if top < 2**52 else np.int64
 
 
-def nra_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, depths=DEPTHS):
-    """Top ``k`` rows of ``x`` for every row of ``q``: arrays (query row, row of x, score), ties to smaller ids.
+def nra_block(q: np.ndarray, own: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, depths=DEPTHS):
+    """Top ``k`` rows of ``x`` for every row of ``q``: arrays (query row, row of x, score), ties to smaller ids, and
+    the number of list entries read.
 
-    There is one sorted list of the block's rows for each component, read from its top by queries with a positive
-    component and from its end by those with a negative one. After a depth, an entry that was read is known; what
-    was not read lies between the list's frontier and its far end. So the upper bound of a score is the product with
-    max(x, frontier) for positive and min(x, frontier) for negative components, and the lower bound takes the far end
-    where x is beyond the frontier. A query stops once no row other than its k best lower bounds can reach the k-th;
-    rows that still can are resolved by reading their lists to the end.
+    ``own`` is the row of x that a query itself is, or -1. There is one sorted list of the block's rows for each
+    component. A query reads those of its components that are not zero, from the top for a positive one and from the
+    end for a negative one, in growing prefixes. What it read of a row is known; the rest of a list lies between its
+    frontier and its far end, which bounds the scores of rows from both sides, those of rows it has not seen too. It
+    stops once no row other than its k best lower bounds can reach the k-th of them; the rows that still can are
+    resolved by their missing entries. A query most of whose rows can still qualify reads all lists to the end, which
+    is one product for all such queries.
     """
     kind = _kind(q, x)
-    q, x = q.astype(kind), x.astype(kind)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    lists, n = np.sort(x, axis=0), len(x)
-    todo = np.arange(len(q))
-    alive = np.ones((len(q), n), bool)
-    alive &= q_ids[:, None] != x_ids[None, :]
-    for part in depths:
-        d = min(n, max(k, int(np.ceil(n * part))))
-        if d >= n or not len(todo):
-            break
-        high, low = lists[n - d], lists[d - 1]
-        top, bottom = lists[-1], lists[0]
-        best = up[todo] @ np.maximum(x, high).T + down[todo] @ np.minimum(x, low).T
-        least = up[todo] @ np.where(x >= high, x, bottom).T + down[todo] @ np.where(x <= low, x, top).T
-        far = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
-        least[~alive[todo]] = far
-        kth = np.partition(least, n - k, axis=1)[:, n - k] if n > k else least.min(axis=1)
-        alive[todo] &= best >= kth[:, None]
-        todo = todo[alive[todo].sum(axis=1) > k]
-    rows, cols = np.nonzero(alive)
-    if len(rows) > 0.02 * alive.size:  # read to the end for all
-        scores = (q @ x.T)[rows, cols]
-    else:
-        scores = np.concatenate([np.einsum("ij,ij->i", q[rows[i : i + 65536]], x[cols[i : i + 65536]]) for i in range(0, len(rows), 65536)] or [np.zeros(0)])
-    scores = scores.astype(np.int64)
+    order = np.argsort(x, axis=0, kind="stable")
+    lists = np.take_along_axis(x, order, axis=0)
+    n, read = len(x), 0
+    rows, cols, scores, rest = [], [], [], []
+    for r in range(len(q)):
+        live = np.nonzero(q[r])[0]
+        if n - (own[r] >= 0) <= 4 * k:
+            rest.append(r)
+            continue
+        w = q[r, live].astype(np.int64)
+        ends = np.where(w > 0, lists[0, live], lists[-1, live]) * w  # the least that a list adds
+        known, done = np.zeros(n, np.int64), 0  # what was read of each row, over the far ends of its lists
+        room, lost = np.zeros(n, np.int64), 0
+        low, qualify = None, None
+        for part in depths:
+            depth = min(n, max(k + 1, int(np.ceil(n * part))))
+            if depth >= n:
+                break
+            for c, weight, end in zip(live.tolist(), w.tolist(), ends.tolist(), strict=True):
+                places = slice(done, depth) if weight < 0 else slice(n - depth, n - done)
+                known[order[places, c]] += lists[places, c] * weight - end
+            read += (depth - done) * len(live)
+            done = depth
+            frontier = np.where(w > 0, lists[n - depth, live], lists[depth - 1, live]) * w
+            slack = frontier - ends  # an unread entry adds at most this to the lower bound
+            room[:] = slack.sum()
+            for c, gap in zip(live.tolist(), slack.tolist(), strict=True):
+                # entries that were read have no room left
+                places = slice(0, depth) if q[r, c] < 0 else slice(n - depth, n)
+                room[order[places, c]] -= gap
+            low = known.copy()
+            if own[r] >= 0:
+                low[own[r]] = -1
+            kth = np.partition(low, n - k)[n - k]
+            qualify = (known + room >= kth) & (np.arange(n) != own[r])
+            lost = int(qualify.sum())
+            if lost <= k or lost > HOPELESS * n:
+                break
+        if low is None or lost > HOPELESS * n / 4:
+            rest.append(r)
+            continue
+        found = np.nonzero(qualify)[0]
+        read += found.size * len(live)
+        rows.append(np.full(len(found), r))
+        cols.append(found)
+        scores.append(x[found] @ q[r].astype(np.int64))
+    if rest:
+        every = (q[rest].astype(kind) @ x.T.astype(kind)).astype(np.int64)
+        read += every.size * q.shape[1]
+        top = every.copy()
+        mine = own[rest] >= 0
+        least = np.iinfo(np.int64).min
+        top[np.nonzero(mine)[0], own[rest][mine]] = least
+        kth = np.partition(top, n - k, axis=1)[:, n - k] if n > k else np.full(len(rest), least + 1)
+        at, found = np.nonzero(top >= np.maximum(kth, least + 1)[:, None])
+        rows.append(np.asarray(rest)[at])
+        cols.append(found)
+        scores.append(every[at, found])
+    rows, cols, scores = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (rows, cols, scores))
     order = np.lexsort((x_ids[cols], -scores, rows))
     rows, cols, scores = rows[order], cols[order], scores[order]
-    starts = np.searchsorted(rows, np.arange(len(q)))
-    keep = np.arange(len(rows)) - starts[rows] < k
-    return rows[keep], cols[keep], scores[keep]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(q)))[rows] < k
+    return rows[keep], cols[keep], scores[keep], read
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -74,36 +112,38 @@ def search(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str
     """The ``k`` best rows for every query row, as (query_id, rank, vec_id, score).
 
     Components become floor(scale * x). Queries are the rows whose id is divisible by ``every``, candidates all rows
-    with another id. Query blocks meet row blocks pairwise; each pair is one group of bounded size, and only its
+    but the query's own. Query blocks meet row blocks pairwise; each pair is one group of bounded size, and only its
     k best rows for each query leave it.
 
-    Vectors that are null, empty, or hold a null or non-finite component take no part, nor do null ids. Shorter
-    vectors count as padded with zeros. Repeated query rows are searched once for each distinct vector of an id and
-    give that id's best list once; repeated candidate rows are candidates of their own. An empty table gives an
-    empty result. Other columns are ignored.
+    Vectors that are null or hold a null or non-finite component take no part, nor do null ids. Shorter vectors, empty
+    ones too, count as padded with zeros. Repeated rows are queries and candidates of their own, so a repeated id has
+    a list for each of its rows. An empty table gives an empty result. Other columns are ignored.
     """
     v = F.col(vector_column)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     whole = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
-    rows = vectors.where(F.col(id_column).isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(fine).select(F.col(id_column).cast("long").alias("id"), whole.alias("v"))
+    rows = vectors.where(F.col(id_column).isNotNull() & v.isNotNull()).where(fine)
+    rows = rows.select(F.col(id_column).cast("long").alias("id"), whole.alias("v"), F.monotonically_increasing_id().alias("row"))
     rows = settle(rows, "topk-vectors")
-    queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
+    queries = rows.where(F.col("id") % every == 0)
     n_rows, n_queries = rows.count(), queries.count()
     blocks, q_blocks = max(1, -(-n_rows // row_block)), max(1, -(-n_queries // query_block))
-    spread = lambda df, n, seed: F.pmod(F.xxhash64("id", "v", F.lit(seed)), F.lit(n)).cast("int")
-    copied = F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    left = queries.select("id", "v", spread(queries, q_blocks, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
-    right = rows.select("id", "v", copied.alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    spread = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n)).cast("int")
+    left = queries.select("id", "v", "row", spread(q_blocks, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
+    right = rows.select("id", "v", "row", spread(blocks, 2).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
 
     def meet(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(xs):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-        width = max(max(map(len, qs["v"])), max(map(len, xs["v"])))
-        q_ids, x_ids = qs["id"].to_numpy(), xs["id"].to_numpy()
-        r, c, s = nra_block(_matrix(qs["v"], width), q_ids, _matrix(xs["v"], width), x_ids, k)
-        return pd.DataFrame({"query_id": q_ids[r], "vec_id": x_ids[c], "score": s})
-
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(meet, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("row", "query_id", "vec_id", "score")})
+        width = max(max(map(len, qs["v"])), max(map(len, xs["v"])), 1)
+        x_rows = xs["row"].to_numpy()
+        order = np.argsort(x_rows)
+        at = np.minimum(np.searchsorted(x_rows[order], qs["row"].to_numpy()), len(xs) - 1)
+        own = np.where(x_rows[order][at] == qs["row"].to_numpy(), order[at], -1)
+        r, c, s, _ = nra_block(_matrix(qs["v"], width), own, _matrix(xs["v"], width), xs["id"].to_numpy(), k)
+        return pd.DataFrame({"row": qs["row"].to_numpy()[r], "query_id": qs["id"].to_numpy()[r], "vec_id": xs["id"].to_numpy()[c], "score": s})
+
+    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(meet, "row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
