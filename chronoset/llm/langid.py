@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoset.llm.common import bounded_sample
+from chronoset.llm.common import settle
 from chronoset.llm.words import WordTable, portions, sum_runs
 
 # The family of a language code; a code that is not listed is a family of its own.
@@ -31,7 +31,11 @@ _words = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _words.findall(text.lower())
+    """Runs of letters in lower case; numerals that are no digits, as in "x²", end a word."""
+    found = _words.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
 
 
 def family_of(language: str) -> str:
@@ -126,19 +130,26 @@ def _svm(x: np.ndarray, y: np.ndarray, *, steps: int = 150, c: float = 10.0) ->
     return w, b, 4.0 / spread
 
 
+def shares(words: list[str], size: int) -> np.ndarray:
+    """The share of each hashed n-gram in all of a text's words."""
+    ids = grams(words, size)[0]
+    ids = ids[ids >= 0]
+    return (np.bincount(ids, minlength=size) / len(ids)).astype(np.float32)
+
+
 def fit(texts: list[str], languages: list[str], *, size: int = 1 << 12, factor: float = 100.0) -> LanguageModel:
     """Fit on labelled texts; texts without a letter are left out."""
-    rows, kept = np.zeros((len(texts), size), np.float32), []
-    for text, lang in zip(texts, languages, strict=True):
-        words = words_of(text)
-        if words:
-            ids = grams(words, size)[0]
-            ids = ids[ids >= 0]
-            rows[len(kept)] = np.bincount(ids, minlength=size) * (factor / len(ids))
-            kept.append(lang)
+    some = [(shares(words, size), lang) for text, lang in zip(texts, languages, strict=True) if (words := words_of(text))]
+    return fit_rows(np.array([x for x, _ in some], np.float32).reshape(-1, size), [lang for _, lang in some], factor)
+
+
+def fit_rows(x: np.ndarray, kept: list[str], factor: float = 100.0) -> LanguageModel:
+    """Fit on :func:`shares` of texts, one row each, and their languages."""
+    size = x.shape[1]
     if not kept:
         return LanguageModel((), (), (), np.zeros((size, 0), np.float32), np.zeros(0), np.zeros(0))
-    x, y = rows[: len(kept)], np.array(kept)
+    y = np.array(kept)
+    x = x * np.float32(factor)
     centre = x.mean(axis=0)
     x -= centre
     langs = sorted(set(kept))
@@ -156,24 +167,39 @@ def fit(texts: list[str], languages: list[str], *, size: int = 1 << 12, factor:
     return LanguageModel(families, pairs, lonely, weights.astype(np.float32), bias, np.array([s[2] for s in solved]))
 
 
-def train(docs: DataFrame, usable: Column | None = None, *, bound: int = 3000, chars: int = 4000) -> LanguageModel:
-    """Fit on at most about ``bound`` labelled documents, of which ``chars`` characters each are learned from.
+def train(docs: DataFrame, usable: Column | None = None, *, bound: int = 3000, size: int = 1 << 12, chars: int = 250_000) -> LanguageModel:
+    """Fit on at most about ``bound`` labelled documents with a letter, drawn for each language alike by a hash of text.
 
-    Documents are drawn for each language alike, by a hash of text. These bounds concern fitting only.
+    Tasks turn whole texts into ``size`` shares each, and only those go to the driver; a text beyond ``chars``
+    characters is counted in portions.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows if usable is None else rows.where(usable)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
-    if not counts:
-        return fit([], [])
-    each = bound / len(counts)
-    draw = F.lit(False)
+    counts = settle(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")), "languages")
+    n = counts.count()
+    if not n:
+        return fit([], [], size=size)
     part = F.shiftrightunsigned(F.xxhash64("text", "lang", F.lit(11)), 11) / F.lit(float(1 << 53))
-    for lang, n in counts.items():
-        draw = draw | ((F.col("lang") == lang) & (part < F.lit(min(1.0, each / n))))
-    sample = rows.where(draw).select(F.substring("text", 1, chars).alias("text"), "lang").collect()
-    sample = sorted(((r["text"], r["lang"]) for r in sample), key=lambda r: (r[1], r[0]))
-    return fit([t for t, _ in sample], [v for _, v in sample])
+    drawn = rows.select("text", "lang").join(counts, "lang").where(part * F.col("__n") < F.lit(bound / n)).select("text", "lang")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, found = [], []
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                total, seen = np.zeros(size), 0
+                for start in range(0, len(text), chars):
+                    if words := words_of(text[start : start + chars]):
+                        ids = grams(words, size)[0]
+                        ids = ids[ids >= 0]
+                        total, seen = total + np.bincount(ids, minlength=size), seen + len(ids)
+                if seen:
+                    langs.append(lang)
+                    found.append((total / seen).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(langs, pa.string())], ["shares", "lang"])
+
+    sample = sorted((r["lang"], bytes(r["shares"])) for r in drawn.mapInArrow(counted, "shares binary, lang string").collect())
+    x = np.frombuffer(b"".join(v for _, v in sample), np.float32).reshape(-1, size)
+    return fit_rows(x, [lang for lang, _ in sample])
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
