@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoset.llm.common import bounded_sample, settle
 from chronoset.llm.words import WordTable, portions, sum_runs
 
 _words = re.compile(r"[^\W\d_]+")
@@ -76,19 +77,8 @@ class ToxicityModel:
         return sum_runs(self.weights[flat], np.array([len(f) for f in found], np.int64)) + self.bias
 
     def marginals(self, emissions: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """P(toxic) of each token, for texts of ``counts`` tokens one after the other.
-
-        A text is a chain; chains are cut after every SEGMENT tokens, which bounds memory by the text's length.
-        """
-        if not len(emissions):
-            return np.zeros(0)
-        rows, cols, height = segments(counts)
-        e = np.full((height, SEGMENT), 0.0)
-        live = np.zeros((height, SEGMENT), bool)
-        e[rows, cols] = emissions
-        live[rows, cols] = True
-        _, p, _ = forward_backward(e, live, self.start, self.moves)
-        return p[rows, cols]
+        """P(toxic) of each token, for texts of ``counts`` tokens one after the other; each text is one whole chain."""
+        return chain_marginals(emissions, counts, self.start, self.moves)[0]
 
     def score(self, top: np.ndarray, expected: np.ndarray) -> np.ndarray:
         """Document scores from the largest marginal and the expected number of toxic tokens."""
@@ -109,6 +99,70 @@ def segments(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return np.repeat(first, counts) + place // SEGMENT, place % SEGMENT, int(per.sum())
 
 
+def chain_marginals(emissions: np.ndarray, counts: np.ndarray, start: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(tag 1) of each token and the expected counts of tag pairs, for whole chains of ``counts`` tokens.
+
+    All segments of SEGMENT tokens step together. A first pass gives each segment's product of transfer matrices;
+    products are chained text by text, which gives what enters each segment from either side; a second pass runs
+    forward and backward from there. So results are those of the uncut chain, in time linear in tokens.
+    """
+    if not len(emissions):
+        return np.zeros(0), np.zeros((2, 2))
+    rows, cols, height = segments(counts)
+    x, live, first = np.ones((SEGMENT, height)), np.zeros((SEGMENT, height), bool), np.zeros((SEGMENT, height), bool)
+    x[cols, rows] = np.exp(np.clip(emissions, -30, 30))
+    live[cols, rows] = True
+    full = counts[counts > 0]
+    opens = np.cumsum(full) - full
+    first[cols[opens], rows[opens]] = True
+    m, s = np.exp(moves - moves.max()), np.exp(start - start.max())
+    # transfer[a][b] of each token; a first token has no predecessor, a missing one changes nothing
+    at = lambda a, b: np.where(first, s[b], m[a, b]) * (x if b else 1.0)
+    move = [[np.where(live, at(a, b), float(a == b)) for b in (0, 1)] for a in (0, 1)]
+
+    def through(v0: np.ndarray, v1: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        w0, w1 = v0 * move[0][0][t] + v1 * move[1][0][t], v0 * move[0][1][t] + v1 * move[1][1][t]
+        total = (w0 + w1).sum(axis=0) if w0.ndim > 1 else w0 + w1
+        return w0 / total, w1 / total
+
+    one, none = np.ones(height), np.zeros(height)
+    p0, p1 = np.stack([one, none]), np.stack([none, one])  # [entering tag, segment] of either leaving tag
+    for t in range(SEGMENT):
+        p0, p1 = through(p0, p1, t)
+    per = -(-full // SEGMENT)
+    begin = np.cumsum(per) - per
+    before, after = np.full((2, height), 0.5), np.full((2, height), 0.5)
+    for j in range(1, int(per.max(initial=1))):
+        now = begin[per > j] + j
+        v = before[:, now - 1]
+        w = np.stack([(v * p0[:, now - 1]).sum(axis=0), (v * p1[:, now - 1]).sum(axis=0)])
+        before[:, now] = w / w.sum(axis=0)
+    ends = begin + per - 1
+    for j in range(1, int(per.max(initial=1))):
+        now = ends[per > j] - j
+        v = after[:, now + 1]
+        w = p0[:, now + 1] * v[0] + p1[:, now + 1] * v[1]
+        after[:, now] = w / w.sum(axis=0)
+    alpha = np.zeros((SEGMENT + 1, 2, height))
+    alpha[0] = before
+    for t in range(SEGMENT):
+        alpha[t + 1] = through(alpha[t, 0], alpha[t, 1], t)
+    p, pairs = np.zeros((SEGMENT, height)), np.zeros((2, 2))
+    b0, b1 = after
+    for t in range(SEGMENT - 1, -1, -1):
+        z = alpha[t + 1, 0] * b0 + alpha[t + 1, 1] * b1
+        p[t] = alpha[t + 1, 1] * b1 / z
+        inner = live[t] & ~first[t]
+        joint = [[alpha[t, a] * move[a][b][t] * (b1 if b else b0) for b in (0, 1)] for a in (0, 1)]
+        total = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
+        for a in (0, 1):
+            for b in (0, 1):
+                pairs[a, b] += (joint[a][b] / total)[inner].sum()
+        c0, c1 = move[0][0][t] * b0 + move[0][1][t] * b1, move[1][0][t] * b0 + move[1][1][t] * b1
+        b0, b1 = c0 / (c0 + c1), c1 / (c0 + c1)
+    return p[cols, rows], pairs
+
+
 def forward_backward(e: np.ndarray, live: np.ndarray, start: np.ndarray, moves: np.ndarray):
     """Of padded chains with emissions ``e`` for tag 1 (0 for tag 0): log Z, P(tag 1), expected counts of tag pairs."""
     n, length = e.shape
@@ -137,8 +191,8 @@ def forward_backward(e: np.ndarray, live: np.ndarray, start: np.ndarray, moves:
     return z, p, pairs
 
 
-def fit_crf(texts: list[list[str]], tags: list[np.ndarray], *, size: int = 1 << 18, epochs: int = 12, batch: int = 512, rate: float = 0.3, l2: float = 1e-4, seed: int = 5) -> ToxicityModel:
-    """Weights by AdaGrad on the conditional log-likelihood of tagged texts, cut into segments."""
+def fit_crf(texts: list[list[str]], tags: list[np.ndarray], *, size: int = 1 << 18, epochs: int = 12, batch: int = 1 << 15, rate: float = 0.3, l2: float = 1e-4, seed: int = 5) -> ToxicityModel:
+    """Weights by AdaGrad on the conditional log-likelihood of tagged texts, with about ``batch`` tokens a step."""
     words = list(dict.fromkeys(w for t in texts for w in t))
     index = {w: i for i, w in enumerate(words)}
     feats = [hashed(w, size) for w in words]
@@ -149,32 +203,33 @@ def fit_crf(texts: list[list[str]], tags: list[np.ndarray], *, size: int = 1 <<
     weights, seen = np.zeros(size + 1), np.full(size + 1, 1e-2)
     other, seen_other = np.zeros(7), np.full(7, 1e-2)  # bias, start (2), moves (4)
     other[0] = -4.0
-    chains = [(np.array([index[w] for w in t[i : i + SEGMENT]]), np.asarray(y[i : i + SEGMENT])) for t, y in zip(texts, tags, strict=True) for i in range(0, len(t), SEGMENT)]
+    chains = [(np.array([index[w] for w in t], np.int64), np.asarray(y)) for t, y in zip(texts, tags, strict=True) if len(t)]
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         order = rng.permutation(len(chains))
-        for s in range(0, len(order), batch):
-            some = [chains[i] for i in order[s : s + batch]]
-            n = len(some)
-            ids, y, live = np.zeros((n, SEGMENT), np.int64), np.zeros((n, SEGMENT)), np.zeros((n, SEGMENT), bool)
-            for r, (c, t) in enumerate(some):
-                ids[r, : len(c)], y[r, : len(c)], live[r, : len(c)] = c, t, True
-            e = np.where(live, weights[table[ids]].sum(axis=2) + other[0], 0.0)
-            start, moves = other[1:3], other[3:].reshape(2, 2)
-            _, p, pairs = forward_backward(e, live, start, moves)
-            gap = np.where(live, y - p, 0.0)
+        tokens = np.cumsum([len(chains[i][0]) for i in order])
+        for some in np.split(order, np.searchsorted(tokens, np.arange(batch, tokens[-1] if len(tokens) else 0, batch))):
+            if not len(some):
+                continue
+            ids, y = (np.concatenate([chains[i][k] for i in some]) for k in (0, 1))
+            counts = np.array([len(chains[i][0]) for i in some], np.int64)
+            p, pairs = chain_marginals(weights[table[ids]].sum(axis=1) + other[0], counts, other[1:3], other[3:].reshape(2, 2))
+            gap = y - p
             grad = np.zeros(size + 1)
             hot = np.abs(gap) > 1e-4
             np.add.at(grad, table[ids[hot]].reshape(-1), np.repeat(gap[hot], width))
             grad[size] = 0.0
             touched = np.nonzero(grad)[0]
-            g = grad[touched] - l2 * weights[touched] * n
+            g = grad[touched] - l2 * weights[touched] * (counts.sum() / SEGMENT)
             seen[touched] += g * g
             weights[touched] += rate * g / np.sqrt(seen[touched])
-            real = np.zeros((2, 2))
-            np.add.at(real, (y[:, :-1][live[:, 1:]].astype(int), y[:, 1:][live[:, 1:]].astype(int)), 1)
-            first = np.array([(1 - y[:, 0]).sum() - (1 - p[:, 0]).sum(), y[:, 0].sum() - p[:, 0].sum()])
-            g = np.concatenate([[gap.sum()], first, (real - pairs).reshape(-1)])
+            opens = np.cumsum(counts) - counts
+            inner = np.ones(len(y), bool)
+            inner[opens] = False
+            at = np.nonzero(inner)[0]
+            real = np.bincount(2 * y[at - 1].astype(int) + y[at].astype(int), minlength=4).reshape(2, 2)
+            begun = (y[opens] - p[opens]).sum()
+            g = np.concatenate([[gap.sum(), -begun, begun], (real - pairs).reshape(-1)])
             seen_other += g * g
             other += 0.1 * g / np.sqrt(seen_other)
     return ToxicityModel(weights[:size], float(other[0]), other[1:3].copy(), other[3:].reshape(2, 2).copy(), np.array([0.0, 1.0, 0.0]))
@@ -197,8 +252,9 @@ def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray, *, ridge: floa
 def fit(texts: list[str], toxic: list[int], drawn: tuple[float, float] = (1.0, 1.0), **limits) -> ToxicityModel:
     """Label tokens, fit the field on them, then the document score on the field's marginals.
 
-    ``drawn`` tells which shares of the clean and of the toxic texts these are, so that scores follow the odds of
-    all labelled texts.
+    Tokens are labelled by what all texts hold; the field is fitted on the toxic texts and as many clean ones, the
+    score on all. ``drawn`` tells which shares of the clean and of the toxic texts these are, so that scores follow
+    the odds of all labelled texts.
     """
     split = [_words.findall(t.lower()) for t in texts]
     marks = label_tokens(split, toxic)
@@ -208,10 +264,13 @@ def fit(texts: list[str], toxic: list[int], drawn: tuple[float, float] = (1.0, 1
             for w in words:
                 if w not in marked:
                     marked[w] = any(f in marks for f in features(w))
-    tags = [np.array([marked[w] if label else False for w in words], np.int64) for words, label in zip(split, toxic, strict=True)]
-    model = fit_crf(split, tags, **limits)
+    clean = [k for k, label in enumerate(toxic) if not label]
+    chosen = [k for k, label in enumerate(toxic) if label]
+    step = max(1, len(clean) // max(len(chosen), 1))
+    chosen = sorted(chosen + clean[::step])
+    tags = [np.array([marked[w] if toxic[k] else False for w in split[k]], np.int64) for k in chosen]
+    model = fit_crf([split[k] for k in chosen], tags, **limits)
     counts = np.array([len(w) for w in split], np.int64)
-    known: dict[str, float] = {}
     flat = [w for ws in split for w in ws]
     new = list(dict.fromkeys(flat))
     known = dict(zip(new, model.word_rows(new), strict=True)) if new else {}
@@ -235,22 +294,25 @@ def summaries(p: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return top, expected
 
 
-def train(docs: DataFrame, labels: DataFrame, *, bound: int = 3000, words: int = 2000, **limits) -> ToxicityModel:
-    """Fit on about ``bound`` labelled documents at most, half of them toxic where there are enough.
+def train(docs: DataFrame, labels: DataFrame, *, bound: int = 3000, clean: int = 4, chars: int = 100_000, **limits) -> ToxicityModel:
+    """Fit on about ``bound`` / 2 toxic documents at most and up to ``clean`` times as many clean ones.
 
-    ``words`` cuts the texts that are learned from, not those that are scored. ``labels`` holds doc_id and toxic;
-    rows with a null label are left out, and so are documents without text.
+    Whole texts are learned from; documents beyond ``chars`` characters are not drawn for fitting. ``labels`` holds
+    doc_id and toxic; rows with a null label are left out, and so are documents without text. A doc_id with both
+    labels counts as toxic. Documents that share an id are thinned out by their texts if they exceed the bound.
     """
-    known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return ToxicityModel(np.zeros(1), -20.0, np.zeros(2), np.zeros((2, 2)), np.array([0.0, 1.0, 0.0]))
     part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(23)), 11) / F.lit(float(1 << 53))
-    shares = {1: min(1.0, bound / 2 / max(counts.get(1, 0), 1)), 0: min(1.0, bound / 2 / max(counts.get(0, 0), 1))}
-    drawn = known.where(F.when(F.col("toxic") == 1, part < shares[1]).otherwise(part < shares[0])).limit(2 * bound)
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id")  # 2 * bound small rows at most
-    sample = rows.select("doc_id", F.substring("text", 1, 8 * words).alias("text"), "toxic").collect()
-    sample = sorted(sample, key=lambda r: (r["doc_id"], r["text"]))
+    most = {1: bound / 2, 0: bound / 2 * clean}
+    shares = {k: min(1.0, most[k] / max(counts.get(k, 0), 1)) for k in (0, 1)}
+    drawn = known.where(F.when(F.col("toxic") == 1, part < shares[1]).otherwise(part < shares[0]))
+    total = (1 + clean) * bound
+    rows = docs.where(F.length("text") <= chars).join(F.broadcast(drawn.limit(total)), "doc_id")  # drawn to about half as many
+    rows = bounded_sample(settle(rows.select("doc_id", "text", "toxic"), "toxicity-sample"), total, "doc_id", "text")
+    sample = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in sample], [int(r["toxic"]) for r in sample], (shares[0], shares[1]), **limits)
 
 
