@@ -68,7 +68,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, length: int = 10, k:
     fingerprint. Documents with a common fingerprint have all their windows compared, first by hash, then word for
     word. Windows of short items are compared by the hash of the whole window.
 
-    Returns doc_id, n_words, n_hit, n_items, items (sorted array of ids as strings), spans (array of struct<first,
+    Returns row (a key of doc_id and text), doc_id, n_words, n_hit, n_items, items (sorted array of ids as strings), spans (array of struct<first,
     last> of word positions from 0, last exclusive), contaminated: a row for each input row.
 
     Null and empty texts have no words; null and repeated doc_ids give a row each; rows with the same id and text
@@ -91,7 +91,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, length: int = 10, k:
         marks.append(settle(some.select("fp"), "window-fingerprints").select(F.explode("fp").alias("mark")))
     count = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     if not lengths:
-        none = rows.select("doc_id", count.alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<first:int,last:int>>").alias("spans"))
+        none = rows.select("row", "doc_id", count.alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<first:int,last:int>>").alias("spans"))
         return none.withColumn("contaminated", F.lit(False))
     union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
     table, marks = settle(union(table), "window-hashes"), settle(union(marks).distinct(), "marks")
@@ -125,9 +125,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, length: int = 10, k:
 
     out = scanned.where("place = 0").select("row", "doc_id", "n_words").join(small(per_row), "row", "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>"))
-    out = out.select("doc_id", "n_words", spans.alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = out.select("row", "doc_id", "n_words", spans.alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["last"] - x["first"]))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (F.size("spans") > 0).alias("contaminated"))
+    return out.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (F.size("spans") > 0).alias("contaminated"))
 
 
 def _merged(runs: str) -> Column:

@@ -122,8 +122,8 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, tole
     """Link all documents of ``docs`` (doc_id, text) whose sets of word shingles have Jaccard similarity >= threshold.
 
     Returns doc_id, class_id (smallest doc_id of the connected group), copy_id (smallest doc_id with the same set),
-    n_links (number of other documents linked to this one, copies included), n_shingles, and row (a key of doc_id and
-    text): a row for each input row.
+    n_links (number of other documents linked to this one, copies included), n_shingles, row (a key of doc_id and
+    text) and link_group (a number of the connected group, null without shingles): a row for each input row.
 
     1. Documents with the same set are one class; from here on each class has one row.
     2. Classes that share a band of MinHash values are a bucket. Buckets are cut into blocks, and each pair of blocks
@@ -268,7 +268,7 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, tole
     named = classes.select("name", "node", "copy_id", "copies").join(settle(counts, "link-counts"), "node", "left").join(settle(groups, "groups"), "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     heads = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    labelled = named.join(heads, "root").select("name", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    labelled = named.join(heads, "root").select("name", "copy_id", "class_id", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = sketched.select("doc_id", "row", "name", "n_shingles").join(labelled, "name", "left")
     own = lambda c: F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
-    return out.select("doc_id", own("class_id"), own("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles", "row")
+    return out.select("doc_id", own("class_id"), own("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles", "row", F.col("root").alias("link_group"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoset.llm.common import settle
+from chronoset.llm.common import row_key, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -53,7 +53,7 @@ def mix(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, repeats: int
     Copies are taken in the order of finish time and source position (finish times of a source differ) until the budget, ``share`` of all
     words, is spent.
 
-    Returns doc_id, source, size, source_size, target, taken, copies, finish: one row per input row.
+    Returns doc_id, row (a key of doc_id and text), source, size, source_size, target, taken, copies, finish: one row per input row.
 
     Running sums never hold a source or the corpus in one task: each source is cut into buckets of about
     ``bucket_rows`` rows by shuffle key, sums of buckets give the offsets, and the global order is cut at the one
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, repeats: int
     tie = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~"))).cast("binary"))
-    base = settle(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.concat(key, tie).alias("k")), "mix-sizes")
+    base = settle(docs.select("doc_id", row_key("doc_id", "text").alias("row"), F.col("source").cast("string").alias("source"), size.alias("size"), F.concat(key, tie).alias("k")), "mix-sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = settle(source_targets(sizes, weights=weights, share=share, repeats=repeats), "mix-targets")
     t = targets.withColumnRenamed("source", "of_source")
@@ -81,13 +81,13 @@ def mix(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, repeats: int
     rows = rows.withColumn("inner", F.sum("size").over(within)).join(offsets, ["pos", "b"])
     rows = rows.withColumn("cum", F.col("inner") + F.col("offset"))
     rows = rows.withColumn("finish", F.when(F.col("target") > 0, F.col("cum").cast("double") / F.col("target")).otherwise(F.lit(0.0)))
-    rows = settle(rows.select("doc_id", "source", "size", "source_size", "target", "n", "pos", "cum", "finish"), "mix-queue")
+    rows = settle(rows.select("doc_id", "row", "source", "size", "source_size", "target", "n", "pos", "cum", "finish"), "mix-queue")
 
     budget, n_rows = targets.agg(F.sum("source_size") * F.lit(share), F.sum("n")).first() or (0, 0)
     cut = _cut(rows, budget or 0, n_rows or 0, repeats, bucket_rows)
     copies = F.when((F.col("target") > 0) & (F.col("size") > 0), _copies_up_to(cut, repeats) if cut else F.lit(repeats)).otherwise(0)
     out = rows.withColumn("copies", copies.cast("int"))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "finish")
+    return out.select("doc_id", "row", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "finish")
 
 
 def _cut(rows: DataFrame, budget: float, n_rows: int, repeats: int, bucket_rows: int):

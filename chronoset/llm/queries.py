@@ -18,7 +18,7 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(table(spark, sf_dir, "documents")).drop("row")
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents")).drop("row", "link_group")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
