@@ -17,7 +17,7 @@ from chronoset.llm.common import bounded_sample, settle
 from chronoset.llm.words import WordTable, portions, sum_runs
 
 _words = re.compile(r"[^\W\d_]+")
-SEGMENT = 64
+SEGMENT, PORTION = 64, 1 << 17
 
 
 def features(word: str) -> list[str]:
@@ -38,10 +38,18 @@ def label_tokens(texts: list[list[str]], toxic: list[int]) -> set[str]:
     """
     held: tuple[Counter, Counter] = (Counter(), Counter())
     for words, label in zip(texts, toxic, strict=True):
-        found: set[str] = set()
-        for w in set(words):
-            found.update(features(w))
-        held[label].update(found)
+        if label:
+            held[1].update({f for w in set(words) for f in features(w)})
+    wanted = {f for f, k in held[1].items() if k >= 3}  # others are no markers, whatever clean texts hold
+    known: dict[str, tuple[str, ...]] = {}
+    for words, label in zip(texts, toxic, strict=True):
+        if not label:
+            found: set[str] = set()
+            for w in set(words):
+                if w not in known:
+                    known[w] = tuple(f for f in features(w) if f in wanted)
+                found.update(known[w])
+            held[0].update(found)
     n1 = max(sum(toxic), 1)
     n0 = max(len(toxic) - sum(toxic), 1)
     base = n1 / (n0 + n1)
@@ -78,7 +86,15 @@ class ToxicityModel:
 
     def marginals(self, emissions: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """P(toxic) of each token, for texts of ``counts`` tokens one after the other; each text is one whole chain."""
-        return chain_marginals(emissions, counts, self.start, self.moves)[0]
+        out = np.zeros(len(emissions))
+        ends = np.cumsum(counts)
+        # texts in portions of about PORTION tokens, so that memory follows the longest text, not their sum
+        cuts = np.unique(np.searchsorted(ends, np.arange(PORTION, len(emissions), PORTION), side="right"))
+        for some in np.split(np.arange(len(counts)), cuts):
+            if len(some):
+                start, end = int(ends[some[0]] - counts[some[0]]), int(ends[some[-1]])
+                out[start:end] = chain_marginals(emissions[start:end], counts[some], self.start, self.moves)[0]
+        return out
 
     def score(self, top: np.ndarray, expected: np.ndarray) -> np.ndarray:
         """Document scores from the largest marginal and the expected number of toxic tokens."""
@@ -256,7 +272,8 @@ def fit(texts: list[str], toxic: list[int], drawn: tuple[float, float] = (1.0, 1
     score on all. ``drawn`` tells which shares of the clean and of the toxic texts these are, so that scores follow
     the odds of all labelled texts.
     """
-    split = [_words.findall(t.lower()) for t in texts]
+    one: dict[str, str] = {}  # each word is held once
+    split = [[one.setdefault(w, w) for w in _words.findall(t.lower())] for t in texts]
     marks = label_tokens(split, toxic)
     marked: dict[str, bool] = {}
     for words, label in zip(split, toxic, strict=True):
@@ -271,10 +288,9 @@ def fit(texts: list[str], toxic: list[int], drawn: tuple[float, float] = (1.0, 1
     tags = [np.array([marked[w] if toxic[k] else False for w in split[k]], np.int64) for k in chosen]
     model = fit_crf([split[k] for k in chosen], tags, **limits)
     counts = np.array([len(w) for w in split], np.int64)
-    flat = [w for ws in split for w in ws]
-    new = list(dict.fromkeys(flat))
-    known = dict(zip(new, model.word_rows(new), strict=True)) if new else {}
-    p = model.marginals(np.array([known[w] for w in flat]), counts)
+    new = list(dict.fromkeys(w for ws in split for w in ws))
+    known = dict(zip(new, model.word_rows(new).tolist(), strict=True)) if new else {}
+    p = model.marginals(np.fromiter((known[w] for ws in split for w in ws), np.float64, int(counts.sum())), counts)
     top, expected = summaries(p, counts)
     y = np.array(toxic)
     if 0 < y.sum() < len(y):
