@@ -118,7 +118,7 @@ def _svm(x: np.ndarray, y: np.ndarray, *, steps: int = 150, c: float = 10.0) ->
     weight = np.where(y, 0.5 / max(y.sum(), 1), 0.5 / max((~y).sum(), 1)).astype(np.float32)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     vw, vb = w.copy(), b
-    rate = 1.0 / (1.0 / c + 2.0 * float((x * x).sum(axis=1).max(initial=0.0) + 1))
+    rate = 1.0 / (1.0 / c + 2.0 * float(np.einsum("ij,ij->i", x, x).max(initial=0.0) + 1))
     for t in range(steps):
         slack = np.maximum(0, 1 - side * (x @ vw + vb))
         pull = 2 * weight * slack * side
@@ -143,13 +143,14 @@ def fit(texts: list[str], languages: list[str], *, size: int = 1 << 12, factor:
     return fit_rows(np.array([x for x, _ in some], np.float32).reshape(-1, size), [lang for _, lang in some], factor)
 
 
-def fit_rows(x: np.ndarray, kept: list[str], factor: float = 100.0) -> LanguageModel:
-    """Fit on :func:`shares` of texts, one row each, and their languages."""
+def fit_rows(x: np.ndarray, kept: list[str], factor: float = 100.0, times: float = 1.0) -> LanguageModel:
+    """Fit on :func:`shares` of texts, ``times`` that number, one row each, and their languages."""
     size = x.shape[1]
+    x = np.array(x, np.float32)  # the only copy
     if not kept:
         return LanguageModel((), (), (), np.zeros((size, 0), np.float32), np.zeros(0), np.zeros(0))
     y = np.array(kept)
-    x = x * np.float32(factor)
+    x *= np.float32(factor / times)
     centre = x.mean(axis=0)
     x -= centre
     langs = sorted(set(kept))
@@ -194,12 +195,15 @@ def train(docs: DataFrame, usable: Column | None = None, *, bound: int = 3000, s
                         total, seen = total + np.bincount(ids, minlength=size), seen + len(ids)
                 if seen:
                     langs.append(lang)
-                    found.append((total / seen).astype(np.float32).tobytes())
+                    found.append((total / seen * 64).astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(langs, pa.string())], ["shares", "lang"])
 
-    sample = sorted((r["lang"], bytes(r["shares"])) for r in drawn.mapInArrow(counted, "shares binary, lang string").collect())
-    x = np.frombuffer(b"".join(v for _, v in sample), np.float32).reshape(-1, size)
-    return fit_rows(x, [lang for lang, _ in sample])
+    table = drawn.mapInArrow(counted, "shares binary, lang string").toArrow()  # about ``bound`` rows of 2 * size bytes
+    table = table.sort_by([("lang", "ascending"), ("shares", "ascending")])
+    x = np.zeros((table.num_rows, size), np.float16)
+    for i, v in enumerate(table.column("shares")):
+        x[i] = np.frombuffer(v.as_buffer(), np.float16)
+    return fit_rows(x, table.column("lang").to_pylist(), times=64.0)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
