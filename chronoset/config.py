@@ -6,8 +6,19 @@ from configparser import ConfigParser
 from dataclasses import dataclass, field, fields
 
 
+@dataclass
+class General:
+    verbose: bool = False
+
+
+@dataclass
+class Description:
+    tag: str = ""
+
+
 @dataclass
 class Data:
+    load_example: str = ""
     abundance_data: str = ""
     sample_metadata: str = ""
     subject_data: str = ""
@@ -15,6 +26,13 @@ class Data:
     jplace_file: str = ""
     outcome_variable: str = ""
     outcome_positive_value: str = ""
+    taxonomy_source: str = ""
+    pplacer_taxa_table: str = ""
+    pplacer_seq_info: str = ""
+    placement_table: str = ""
+    additional_subject_covariates: str = ""
+    additional_covariate_default_states: str = ""
+    additional_subject_continuous_covariates: str = ""
 
 
 @dataclass
@@ -26,11 +44,20 @@ class Preprocessing:
     density_filter_n_samples: int = 0
     density_filter_n_intervals: int = 1
     density_filter_n_consecutive: int = 1
+    subsample_subjects: float | None = None
     take_relative_abundance: bool = False
+    do_internal_normalization: bool = False
+    internal_normalization_min_factor: float | None = None
+    normalization_variables_file: str = ""
+    normalize_by_taxon: str = ""
+    aggregate_on_phylogeny: bool = False
     log_transform: bool = False
     temporal_abundance_threshold: float | None = None
     temporal_abundance_consecutive_samples: int = 2
     temporal_abundance_n_subjects: int = 1
+    discard_surplus_internal_nodes: bool = False
+    randomize_labels: bool = False
+    pickle_dataset: bool = False
 
 
 @dataclass
@@ -41,6 +68,7 @@ class Model:
     max_thresholds: int = 20
     max_rules: int = 10
     max_primitives: int = 10
+    pickle_model: bool = False
 
 
 @dataclass
@@ -50,12 +78,31 @@ class Sampling:
     seed: int = 1
 
 
+@dataclass
+class Postprocessing:
+    burnin_fraction: float = 0.05
+    bayes_factor_samples: int = 10000
+    quick_summary: bool = False
+    full_summary: bool = False
+    gui_output: bool = False
+
+
 @dataclass
 class Config:
+    """Typed settings by section. ``other`` holds sections of runs that are started by calls of the library, not by
+    ``run``: replicates, crossvalidation, leave_one_out, comparison_methods, simulated_data and benchmarking."""
+
+    general: General = field(default_factory=General)
+    description: Description = field(default_factory=Description)
     data: Data = field(default_factory=Data)
     preprocessing: Preprocessing = field(default_factory=Preprocessing)
     model: Model = field(default_factory=Model)
     sampling: Sampling = field(default_factory=Sampling)
+    postprocessing: Postprocessing = field(default_factory=Postprocessing)
+    other: dict[str, dict[str, str]] = field(default_factory=dict)
+
+
+OTHER = ("replicates", "crossvalidation", "leave_one_out", "comparison_methods", "simulated_data", "benchmarking")
 
 
 def _typed(kind: str, text: str):
@@ -67,13 +114,16 @@ def _typed(kind: str, text: str):
 
 
 def read_config(text: str) -> Config:
-    """Typed settings; a section or key that is not known raises KeyError."""
-    parser = ConfigParser()
+    """Typed settings; a section or key that is not known raises KeyError. Comments may follow a ';' after a blank."""
+    parser = ConfigParser(inline_comment_prefixes=(";",))
     parser.read_string(text)
     out = Config()
     for name in parser.sections():
+        if name in OTHER:
+            out.other[name] = dict(parser[name])
+            continue
         section = getattr(out, name, None)
-        if section is None:
+        if section is None or name == "other":
             raise KeyError(f"unknown section {name}")
         kinds = {f.name: str(f.type) for f in fields(section)}
         for key, value in parser[name].items():

@@ -108,3 +108,93 @@ def greedy_clusters(items: list[tuple[float, object]], test: Callable[[list, obj
         out.append(cluster)
     out.sort(key=lambda c: -sum(p for p, _ in c))
     return [[x for _, x in c] for c in out]
+
+
+def states_and_atoms(chain_states: DataFrame, burn_in: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """(states, atoms) of stored chain states, less those of the burn-in.
+
+    Chain states have chain, iteration, rules ("1+2/3": detectors of a rule by +, rules by /), log_lik, log_prior and
+    beta (one for each rule, then the constant term). A state's number is chain:iteration, its score the posterior.
+    """
+    one = chain_states.groupBy("chain").agg((F.max("iteration") + 1).alias("of_chain"))
+    kept = chain_states.join(F.broadcast(one), "chain")  # a row for each chain
+    kept = kept.where((F.col("iteration") >= F.floor(F.col("of_chain") * burn_in)) & (F.col("iteration") < F.col("of_chain") - 1))
+    kept = kept.withColumn("state", F.concat_ws(":", "chain", "iteration"))
+    states = kept.select("state", "iteration", (F.col("log_lik") + F.col("log_prior")).alias("score"), "length", "n_rules")
+    ruled = kept.where(F.col("rules") != "").select("state", "beta", F.posexplode(F.split("rules", "/")).alias("rule", "text"))
+    ruled = ruled.select("state", "rule", F.element_at("beta", F.col("rule") + 1).alias("beta"), F.posexplode(F.split("text", r"\+")).alias("place", "detector"))
+    return states, ruled.select("state", F.col("rule").cast("long").alias("rule"), F.col("place").cast("long").alias("place"), F.col("detector").cast("long").alias("detector"), "beta")
+
+
+def grid_cells(detectors: DataFrame, paths: DataFrame, leaves: DataFrame, intervals: list[tuple[float, float]]) -> DataFrame:
+    """(detector, cell): cells are an interval and a leaf; a detector covers those whose interval's middle lies in its
+    window and whose leaf is its variable or below it.
+
+    ``detectors`` has detector, variable, t0, t1; variables outside the tree have no cells.
+    """
+    middles = F.array(*[F.struct(F.lit(i).alias("n"), F.lit((a + b) / 2).alias("at")) for i, (a, b) in enumerate(intervals)])
+    inside = F.filter(middles, lambda m: (m["at"] >= F.col("t0")) & (m["at"] <= F.col("t1")))
+    placed = detectors.select("detector", F.col("variable").alias("ancestor"), F.explode(inside).alias("m"))
+    ends = paths.join(leaves.select(F.col("node").alias("descendant")), "descendant", "left_semi").select("ancestor", F.col("descendant").alias("leaf"))
+    return placed.join(ends, "ancestor").select("detector", F.concat_ws(":", F.col("m.n"), "leaf").alias("cell"))
+
+
+def emptiness_factor(states: DataFrame, empty_prior: float, eps: float = 1e-9) -> DataFrame:
+    """(prior, posterior, bayes_factor) of lists without a detector."""
+    p = F.avg((F.col("length") == 0).cast("int"))
+    odds = F.col("posterior") / (1 - F.col("posterior")) / F.lit(empty_prior / (1 - empty_prior) if empty_prior < 1 else float("inf"))
+    out = states.agg(F.lit(float(empty_prior)).alias("prior"), p.alias("posterior"))
+    return out.withColumn("bayes_factor", F.when((F.col("prior") == 0) | (F.col("posterior") > 1 - eps), F.lit(float("inf"))).otherwise(odds))
+
+
+def best_by_factor(factors: DataFrame, key: str, tabulated: DataFrame, most: int = 10, least: float | None = None) -> DataFrame:
+    """The ``most`` categories with the largest Bayes factors (at least ``least``), with how often each was seen and
+    the median and 95 % range of its coefficients; ties to the larger key."""
+    wanted = factors if least is None else factors.where(F.col("bayes_factor") >= least)
+    top = wanted.orderBy(F.desc("bayes_factor"), F.desc(key)).limit(most)
+    seen = tabulated.select(key, "n_states", "beta_median", "beta_low", "beta_high")
+    return top.join(seen, key, "left").withColumn("n_states", F.coalesce("n_states", F.lit(0)).cast("long"))
+
+
+def quick_report(states: DataFrame, atoms: DataFrame) -> DataFrame:
+    """One row on a run: states, the share without detectors, mean length, and the point state with its rules."""
+    overall = states.agg(F.count(F.lit(1)).alias("n_states"), F.avg((F.col("length") == 0).cast("int")).alias("empty"), F.avg("length").alias("mean_length"))
+    point = point_state(states).select(F.col("state").alias("point_state"), F.col("score").alias("point_score"))
+    rules = atoms.join(F.broadcast(point.select(F.col("point_state").alias("state"))), "state").groupBy("state", "rule").agg(F.sort_array(F.collect_list(F.struct("place", "detector"))).alias("r"))
+    said = rules.groupBy("state").agg(F.sort_array(F.collect_list(F.struct("rule", F.array_join(F.transform("r", lambda x: x["detector"].cast("string")), "+").alias("t")))).alias("l"))
+    said = said.select(F.col("state").alias("point_state"), F.array_join(F.transform("l", lambda x: x["t"]), "/").alias("point_rules"))
+    return overall.crossJoin(F.broadcast(point)).join(F.broadcast(said), "point_state", "left").withColumn("point_rules", F.coalesce("point_rules", F.lit("")))
+
+
+def cluster_passes(states: DataFrame, atoms: DataFrame, detectors: DataFrame, most: int = 100) -> dict[str, list[list]]:
+    """Clusters of detectors, of rules and of lists, likeliest first, ``most`` of each.
+
+    ``detectors`` has detector, variable, t0, t1, type, direction. Detectors join by :func:`may_join`; rules are one
+    cluster if their detectors' clusters are the same, or if they are single detectors of opposite direction in what
+    is otherwise one cluster; lists if their rules' clusters are. Items are distinct detectors, rules and lists that
+    were stored, with the shares of states that hold them.
+    """
+    total = max(states.count(), 1)
+    facts = {r["detector"]: r.asDict() for r in detectors.join(atoms.select("detector").distinct(), "detector", "left_semi").collect()}
+    seen = [(r["n"] / total, r["detector"]) for r in atoms.groupBy("detector").agg(F.countDistinct("state").alias("n")).orderBy("n", "detector").collect()]
+    primitives = greedy_clusters(seen, lambda cluster, d: all(may_join(facts[c], facts[d]) for c in cluster))
+    of = {d: i for i, c in enumerate(primitives) for d in c}
+
+    def form(rule: str) -> tuple:
+        return tuple(sorted(of[int(d)] for d in rule.split(",")))
+
+    def opposite(a: str, b: str) -> bool:
+        if "," in a or "," in b:
+            return False
+        x, y = facts[int(a)], facts[int(b)]
+        return x["direction"] != y["direction"] and may_join(x, {**y, "direction": x["direction"]})
+
+    named = atoms.groupBy("state", "rule").agg(F.array_join(F.sort_array(F.collect_list(F.col("detector").cast("string"))), ",").alias("subrule"))
+    subs = [(r["n"] / total, r["subrule"]) for r in named.groupBy("subrule").agg(F.countDistinct("state").alias("n")).orderBy("n", "subrule").collect()]
+    subrule_clusters = greedy_clusters(subs, lambda cluster, x: all(form(c) == form(x) or opposite(c, x) for c in cluster))
+    of_rule = {x: i for i, c in enumerate(subrule_clusters) for x in c}
+    lists = named.groupBy("state").agg(F.array_join(F.sort_array(F.collect_list("subrule")), "/").alias("list"))
+    whole = [(r["n"] / total, r["list"]) for r in lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "list").collect()]
+    shape = lambda text: tuple(sorted(of_rule[x] for x in text.split("/")))
+    list_clusters = greedy_clusters(whole, lambda cluster, x: all(shape(c) == shape(x) for c in cluster))
+    return {"primitives": primitives[:most], "subrules": subrule_clusters[:most], "lists": list_clusters[:most]}

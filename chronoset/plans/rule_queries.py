@@ -109,7 +109,7 @@ _LISTS = """
 base AS (SELECT l_orderkey AS list, l_linenumber % 2 AS rule, l_linenumber AS atom, s_name AS variable, l_quantity AS t0, l_quantity + 1 + l_partkey % 7 AS t1, l_returnflag AS type
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 target AS (SELECT 0 AS list, p_size % 3 AS rule, p_partkey AS atom, s_name AS variable, p_size::DOUBLE AS t0, p_size + 3.0::DOUBLE AS t1, CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS type
-  FROM part JOIN supplier ON s_suppkey = 1 + p_partkey % (SELECT max(s_suppkey) FROM supplier) WHERE p_size <= 4),
+  FROM part JOIN supplier ON s_suppkey = 1 + p_partkey % (SELECT max(s_suppkey) FROM supplier)),
 sim AS (SELECT ancestor AS a, descendant AS b, pow(0.5, depth) AS similarity FROM paths UNION ALL SELECT descendant, ancestor, pow(0.5, depth) FROM paths WHERE depth > 0),
 scored AS (SELECT b.list, b.rule, b.atom, t.rule AS t_rule, t.atom AS t_atom, greatest(0.0, least(b.t1, t.t1) - greatest(b.t0, t.t0)) / nullif(greatest(b.t1 - b.t0, t.t1 - t.t0), 0) * similarity AS score
   FROM base b JOIN sim ON b.variable = sim.a JOIN target t ON t.variable = sim.b AND t.type = b.type)
@@ -121,7 +121,7 @@ def lists(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     base = lines.select(F.col("l_orderkey").alias("list"), (F.col("l_linenumber") % 2).cast("long").alias("rule"), F.col("l_linenumber").cast("long").alias("atom"), F.col("s_name").alias("variable"), F.col("l_quantity").alias("t0"), (F.col("l_quantity") + 1 + F.col("l_partkey") % 7).alias("t1"), F.col("l_returnflag").alias("type"))
     n = s.agg(F.max("s_suppkey").alias("n"))
-    p = table(spark, sf_dir, "part").where("p_size <= 4").crossJoin(F.broadcast(n)).withColumn("k", 1 + F.col("p_partkey") % F.col("n")).join(s, F.col("k") == F.col("s_suppkey"))
+    p = table(spark, sf_dir, "part").crossJoin(F.broadcast(n)).withColumn("k", 1 + F.col("p_partkey") % F.col("n")).join(s, F.col("k") == F.col("s_suppkey"))
     kind = F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("p_partkey") % 3 + 1).cast("int"))
     target = p.select(F.lit(0).cast("long").alias("list"), (F.col("p_size") % 3).cast("long").alias("rule"), F.col("p_partkey").alias("atom"), F.col("s_name").alias("variable"), F.col("p_size").cast("double").alias("t0"), (F.col("p_size") + 3.0).alias("t1"), kind.alias("type"))
     from chronoset.operators import tree
@@ -369,3 +369,57 @@ def mixing_traces(spark, sf_dir):
 def subject_events(spark, sf_dir):
     s = events_study(spark, sf_dir)
     return s.observations.join(s.subjects, "subject_id").groupBy("subject_id", "y", "variable").agg(F.round(F.avg("value"), 6).alias("mean"))
+
+
+_CHAIN = "SELECT o_orderkey % 5 AS chain, o_orderkey // 5 AS iteration FROM orders"
+
+
+def stored_states(spark, sf_dir):
+    """Chain states as the sampler stores them, made from orders: their parts are detectors, line numbers tell rules."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("rule")).agg(F.sort_array(F.collect_list(F.col("l_partkey"))).alias("d"), F.sum("l_quantity").alias("b"))
+    lists = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("rule", F.array_join(F.transform("d", lambda x: x.cast("string")), "+").alias("t"), F.col("b").cast("double").alias("b"), F.size("d").alias("n")))).alias("r"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price")).join(lists, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = rows.withColumn("r", F.coalesce("r", F.array().cast("array<struct<rule:long,t:string,b:double,n:int>>")))
+    return rows.select((F.col("o_orderkey") % 5).alias("chain"), F.floor(F.col("o_orderkey") / 5).alias("iteration"), F.aggregate("r", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("length"),
+                       F.size("r").cast("long").alias("n_rules"), F.array_join(F.transform("r", lambda x: x["t"]), "/").alias("rules"), (-F.col("price")).alias("log_lik"), F.lit(0.0).alias("log_prior"), F.concat(F.transform("r", lambda x: x["b"]), F.array(F.lit(0.0))).alias("beta"))
+
+
+_STORED = f"""c AS ({_CHAIN}), top AS (SELECT chain, max(iteration) + 1 AS of_chain FROM c GROUP BY 1),
+kept AS (SELECT o_orderkey FROM orders JOIN top ON o_orderkey % 5 = chain WHERE o_orderkey // 5 >= floor(of_chain * 0.25) AND o_orderkey // 5 < of_chain - 1),
+sub AS (SELECT l_orderkey, l_linenumber % 2 AS rule, sum(l_quantity)::DOUBLE AS beta FROM lineitem GROUP BY 1, 2),
+atom AS (SELECT l.l_orderkey AS state, l.l_partkey AS detector, beta FROM lineitem l JOIN kept ON l.l_orderkey = o_orderkey JOIN sub s ON s.l_orderkey = l.l_orderkey AND s.rule = l.l_linenumber % 2)"""
+
+
+@query("stored_state_summary", f"WITH {_STORED} SELECT detector, count(*)::BIGINT AS n, count(DISTINCT state)::BIGINT AS n_states, round(count(DISTINCT state)::DOUBLE / (SELECT count(*) FROM kept), 9) AS posterior, median(beta) AS beta_median FROM atom GROUP BY 1")
+def stored_state_summary(spark, sf_dir):
+    """Stored states less a quarter as burn-in, their rules taken apart, and how often each detector occurs."""
+    st, atoms = posterior.states_and_atoms(stored_states(spark, sf_dir), 0.25)
+    return posterior.tabulate(st, atoms, "detector").select("detector", "n", "n_states", F.round("posterior", 9).alias("posterior"), "beta_median")
+
+
+@query("emptiness_factor", f"WITH {_STATES}, p AS (SELECT avg((length = 0)::INT) AS posterior FROM state) SELECT 0.25::DOUBLE AS prior, round(posterior, 9) AS posterior, round(CASE WHEN posterior > 1 - 1e-9 THEN 'Infinity'::DOUBLE ELSE posterior / (1 - posterior) / (0.25 / 0.75) END, 6) AS bayes_factor FROM p")
+def emptiness_factor(spark, sf_dir):
+    """Posterior odds of lists without a detector by their prior odds."""
+    return posterior.emptiness_factor(states(spark, sf_dir)[0], 0.25).select("prior", F.round("posterior", 9).alias("posterior"), F.round("bayes_factor", 6).alias("bayes_factor"))
+
+
+@query("bayes_factor_top_betas", f"WITH b AS ({_bayes('detector')}), {_STATES.split('WITH ')[-1]}, t AS (SELECT detector, count(DISTINCT state)::BIGINT AS n_states, median(beta) AS beta_median FROM atom GROUP BY 1) SELECT b.detector, bayes_factor, coalesce(n_states, 0)::BIGINT AS n_states, beta_median FROM (SELECT * FROM b WHERE bayes_factor >= 0.5 ORDER BY bayes_factor DESC, detector DESC LIMIT 10) b LEFT JOIN t USING (detector)")
+def bayes_factor_top_betas(spark, sf_dir):
+    """The ten detectors with the largest Bayes factors, how often they were seen, and their coefficients."""
+    st, atoms = states(spark, sf_dir)
+    top = posterior.best_by_factor(_factors(spark, sf_dir, "detector"), "detector", posterior.tabulate(st, atoms, "detector"), 10, 0.5)
+    return top.select("detector", "bayes_factor", "n_states", "beta_median")
+
+
+@query("grid_cells", f"""WITH {TREE}, d AS (SELECT l_orderkey * 10 + l_linenumber AS detector, s_name AS ancestor, l_quantity::DOUBLE AS t0, (l_quantity + l_partkey % 20)::DOUBLE AS t1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+m AS (SELECT i AS n, i * 10 + 5.0 AS mid FROM range(6) r(i))
+SELECT leaf || '' AS leaf, n::BIGINT AS n, count(*)::BIGINT AS n_detectors FROM (SELECT detector, n, descendant AS leaf FROM d JOIN m ON mid BETWEEN t0 AND t1 JOIN paths USING (ancestor) WHERE descendant IN (SELECT node FROM leaf)) GROUP BY ALL""")
+def grid_cells(spark, sf_dir):
+    """How many detectors cover each cell of an interval's middle and a leaf of the tree."""
+    from chronoset.operators import tree
+
+    edges, paths = closed(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    d = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("detector"), F.col("s_name").alias("variable"), F.col("l_quantity").cast("double").alias("t0"), (F.col("l_quantity") + F.col("l_partkey") % 20).cast("double").alias("t1"))
+    cells = posterior.grid_cells(d, paths, tree.leaves(edges), [(10.0 * i, 10.0 * i + 10) for i in range(6)])
+    return cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n_detectors")).select(F.substring_index("cell", ":", -1).alias("leaf"), F.substring_index("cell", ":", 1).cast("long").alias("n"), "n_detectors")

@@ -123,13 +123,13 @@ def tree_surplus_nodes(spark, sf_dir):
     return tree.surplus_nodes(edges, paths, _rich(spark, sf_dir))
 
 
-@query("tree_lca_by_group", f"""WITH {TREE}, g AS (SELECT DISTINCT l_partkey % 97 AS "group", s_name AS member FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 50 AND l_returnflag = 'R'),
+@query("tree_lca_by_group", f"""WITH {TREE}, g AS (SELECT DISTINCT l_partkey % 97 AS "group", s_name AS member FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 size AS (SELECT "group", count(*) AS size FROM g GROUP BY 1),
 held AS (SELECT "group", ancestor, count(*) AS n, max(depth) AS far FROM g JOIN paths ON member = descendant GROUP BY 1, 2)
 SELECT "group", arg_min(ancestor, (far, ancestor)) AS node FROM held JOIN size USING ("group") WHERE n = size GROUP BY 1""")
 def tree_lca_by_group(spark, sf_dir):
     """The common ancestor of the suppliers of each group of parts."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_returnflag = 'R'").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     groups = lines.select((F.col("l_partkey") % 97).alias("group"), F.col("s_name").alias("member")).distinct()
     return tree.common_ancestors(closed(spark, sf_dir)[1], groups)
 

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoset.config import Config
-from chronoset.operators import detectors, filters, sampling, transforms
+from chronoset.operators import detectors, filters, sampling, transforms, tree
 from chronoset.operators import windows as W
 from chronoset.sources import readers
 
 
-def preprocess(obs: DataFrame, samples: DataFrame, subjects: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame, float, float]:
-    """The filter chain; its order is fixed, whatever the order of settings. Returns (obs, samples, subjects, start, end)."""
+def preprocess(obs: DataFrame, samples: DataFrame, subjects: DataFrame, config: Config, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, float, float]:
+    """The filter chain; its order is fixed, whatever the order of settings. Returns (obs, samples, subjects, start, end).
+
+    ``edges`` (node, parent, dist) is the tree of variables, on which observations are added up if that is asked for.
+    """
     p = config.preprocessing
     if p.min_overall_abundance:
         obs = filters.select_variables(obs, filters.high_overall_abundance(obs, p.min_overall_abundance))
@@ -30,11 +33,20 @@ def preprocess(obs: DataFrame, samples: DataFrame, subjects: DataFrame, config:
         obs, samples = filters.select_subjects(obs, subjects), filters.select_subjects(samples, subjects)
     if p.take_relative_abundance:
         obs = transforms.relative_abundance(obs)
+    paths = None
+    if p.aggregate_on_phylogeny:
+        if edges is None:
+            raise ValueError("aggregation needs a tree")
+        paths = tree.closure(edges)
+        obs = tree.aggregate(obs, edges, paths)
     if p.log_transform:
         obs = transforms.log_transform(obs)
     if p.temporal_abundance_threshold is not None:
         kept = filters.persistent_variables(obs, p.temporal_abundance_threshold, p.temporal_abundance_consecutive_samples, p.temporal_abundance_n_subjects)
         obs = filters.select_variables(obs, kept)
+    if p.discard_surplus_internal_nodes and paths is not None:
+        present = obs.select(F.col("variable").alias("node")).distinct()
+        obs = obs.join(tree.surplus_nodes(edges, paths, present).select(F.col("node").alias("variable")), "variable", "left_anti")
     if obs.isEmpty() or subjects.isEmpty():
         raise ValueError("all variables or all subjects were dropped")
     return obs, samples, subjects, float(start), float(end)
@@ -51,6 +63,26 @@ def mine(obs: DataFrame, samples: DataFrame, subjects: DataFrame, start: float,
     return detectors.ordered(detectors.population(long, detectors.clustered_thresholds(long, m.max_thresholds)))
 
 
+def placed_tree(spark: SparkSession, path: str, obs: DataFrame) -> DataFrame:
+    """(node, parent, dist): the tree of a jplace file with each placed and observed sequence attached to the node of
+    its best placement, pruned to these."""
+    document = readers.jplace(spark, path)
+    edges = readers.tree_edges(document).where(F.col("parent") != "").select("node", "parent", "dist")
+    best = tree.best_placements(readers.placements(document), tree.closure(edges))
+    seen = obs.select(F.col("variable").alias("sequence")).distinct()
+    hung = best.join(seen, "sequence", "left_semi").select(F.col("sequence").alias("node"), F.col("node").alias("parent"), F.col("pendant").alias("dist"))
+    whole = edges.unionByName(hung)
+    return tree.prune(whole, tree.closure(whole), hung.select("node"))
+
+
+def weights(variables: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """(variable, weight): the length of a node's subtree, its own branch included; 1 without a tree or outside it."""
+    if edges is None:
+        return variables.select("variable", F.lit(1.0).alias("weight"))
+    lengths = tree.subtree_lengths(edges, tree.closure(edges)).select(F.col("node").alias("variable"), F.col("length").alias("weight"))
+    return variables.join(lengths, "variable", "left").select("variable", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+
+
 def run(spark: SparkSession, config: Config) -> DataFrame:
     """Chain states for the files that the settings name."""
     d = config.data
@@ -58,7 +90,9 @@ def run(spark: SparkSession, config: Config) -> DataFrame:
     if d.sequence_key:
         abundance = readers.renamed(abundance, readers.fasta(spark, d.sequence_key))
     subjects, samples, obs = readers.combine(abundance, readers.sample_metadata(spark, d.sample_metadata), readers.subjects(spark, d.subject_data), d.outcome_variable, d.outcome_positive_value)
-    obs, samples, subjects, start, end = preprocess(obs, samples, subjects, config)
-    found = mine(obs, samples, subjects, start, end, config).withColumn("weight", F.lit(1.0))
+    edges = placed_tree(spark, d.jplace_file, obs) if d.jplace_file and config.preprocessing.aggregate_on_phylogeny else None
+    obs, samples, subjects, start, end = preprocess(obs, samples, subjects, config, edges)
+    found = mine(obs, samples, subjects, start, end, config)
+    found = found.join(weights(found.select("variable").distinct(), edges), "variable")
     s = config.sampling
     return sampling.run_chains(found, sampling.outcome_bits(subjects), chains=s.chains, iterations=s.total_samples, seed=s.seed)

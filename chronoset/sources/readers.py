@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 JPLACE = "tree string, fields array<string>, placements array<struct<p: array<array<double>>, nm: array<array<string>>>>"
@@ -147,16 +147,54 @@ def traces(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.unpivot(["chain", "iteration"], names, "parameter", "value")
 
 
+def equals(frame: DataFrame, column: str, literal) -> Column:
+    """Whether a column equals a setting: as whole numbers if the setting is one (booleans are 1 and 0), else as text.
+
+    For a boolean column ``true`` and ``false``, in any case, are taken for 1 and 0 too.
+    """
+    kind, text = frame.schema[column].dataType.typeName(), str(literal).strip()
+    if kind == "boolean" and text.lower() in ("true", "false"):
+        text = str(int(text.lower() == "true"))
+    try:
+        number = int(text)
+    except ValueError:
+        return F.coalesce(F.col(column).cast("string") == text, F.lit(False))
+    value = F.col(column).cast("int") if kind == "boolean" else F.col(column).try_cast("double")
+    return F.coalesce(value == F.lit(number), F.lit(False))
+
+
+def placement_table(spark: SparkSession, path: str, names: DataFrame | None = None) -> DataFrame:
+    """(variable, ranks...) of a CSV of taxonomic placements; its first column names variables, or sequences that
+    ``names`` (sequence, name) renames."""
+    rows = spark.read.csv(path, header=True)
+    first, *ranks = rows.columns
+    rows = rows.select(F.col(f"`{first}`").alias("variable"), *[F.col(f"`{r}`") for r in ranks])
+    if names is None:
+        return rows
+    known = names.select(F.col("sequence").alias("__sequence"), F.col("name").alias("__name"))
+    return rows.join(known, F.col("variable") == F.col("__sequence"), "left").select(F.coalesce("__name", "variable").alias("variable"), *[F.col(f"`{r}`") for r in ranks])
+
+
+def variable_list(spark: SparkSession, path: str) -> DataFrame:
+    """(variable) of a file with one name on a line; blank lines are left out."""
+    return spark.read.text(path).select(F.trim("value").alias("variable")).where(F.col("variable") != "").distinct()
+
+
+def variables_of_taxon(table: DataFrame, taxon: str) -> DataFrame:
+    """The rows of a placement table (variable, ranks...) that hold a taxon at any rank."""
+    ranks = [F.col(f"`{c}`").cast("string") for c in table.columns if c != "variable"]
+    return table.where(F.coalesce(F.array_contains(F.array(*ranks), taxon), F.lit(False))) if ranks else table.limit(0)
+
+
 def combine(abundance: DataFrame, metadata: DataFrame, subject_table: DataFrame, outcome: str, positive) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(subjects, samples, observations): samples without abundances and subjects without an outcome are left out.
 
-    A subject with samples that the subject table lacks raises KeyError. The outcome equals ``positive`` after both
-    are turned into text.
+    A subject with samples that the subject table lacks raises KeyError. The outcome is compared by :func:`equals`.
     """
     lost = metadata.select("subject_id").distinct().join(subject_table, "subject_id", "left_anti").limit(3).collect()
     if lost:
         raise KeyError(f"no subject data for {', '.join(r[0] for r in lost)}")
-    kept = subject_table.where(F.col(outcome).isNotNull()).withColumn("y", F.col(outcome).cast("string") == str(positive))
+    kept = subject_table.where(F.col(outcome).isNotNull()).withColumn("y", equals(subject_table, outcome, positive))
     samples = metadata.join(abundance.select("sample_id").distinct(), "sample_id", "left_semi").join(kept.select("subject_id"), "subject_id", "left_semi")
     obs = abundance.join(samples.select("sample_id", "subject_id", "time"), "sample_id").select("subject_id", "time", "sample_id", "variable", "value")
     return kept, samples, obs
