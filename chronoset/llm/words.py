@@ -61,7 +61,7 @@ def sum_runs(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def portions(texts: list, most_chars: int = 1_000_000):
+def portions(texts: list, most_chars: int = 300_000):
     """(start, end) of consecutive texts with about ``most_chars`` characters, so that memory follows texts, not batches."""
     start = held = 0
     for i, t in enumerate(texts):
