@@ -3,32 +3,36 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoset.llm.common import settle
 
 # Kinds of elements.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp", "noembed", "noframes")
-DROPPED = frozenset((*RAW, "head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "label", "fieldset", "dialog", "menu", "canvas", "object", "audio", "video", "map"))
+RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "xmp", "noembed", "noframes")
+DROPPED = frozenset((*RAW, "head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "fieldset", "dialog", "menu", "canvas", "object", "audio", "video", "map"))
 CONTAINERS = frozenset(("article", "main", "section", "div", "td", "body", "blockquote", "center", "li"))
 BLOCKS = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote", "table", "thead", "tbody", "tr", "td", "th", "figure", "figcaption", "address", "hr", "details", "summary", "caption", "header", "hgroup", "html")) | CONTAINERS
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "caption"} | {"form", "nav", "footer", "aside", "fieldset", "menu", "main"}
 UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|menu\w*|nav\w*|breadcrumbs?|header|masthead|footer|foot|"
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|menu\w*|nav\w*|breadcrumbs?|header|masthead|footer|"
     r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|"
-    r"comments?|replies|reply|disqus|respond|discussion|widget\w*|toolbar|pagination|pager|tags|skip|hidden|copyright|legal|disclaimer)(?:$|[\s_-]|\d)", re.I)
+    r"comments?|replies|reply|disqus|respond|discussion|widget\w*|toolbar|pagination|pager|skip|hidden|copyright)(?:$|[\s_-]|\d)", re.I)
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"))
 WANTED = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body|text|page)(?:$|[\s_-]|\d)", re.I)
 
+#: Steps of a path that are spelled out.
+MOST_STEPS = 50
 _tag = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _attr = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _digits = re.compile(r"\d+")
@@ -36,10 +40,12 @@ _digits = re.compile(r"\d+")
 
 @dataclass
 class Node:
-    """A container on the way through a page: its path, the blocks directly in it, and its score so far."""
+    """A container on the way through a page: its last path step, a number for its whole path, the blocks directly in
+    it, and its score so far."""
 
     tag: str
-    path: str
+    step: str
+    path: int
     parent: int
     blocks: list[tuple[int, str]] = field(default_factory=list)
     score: float = 0.0
@@ -52,7 +58,12 @@ def _attributes(raw: str) -> dict[str, str]:
 def _step(tag: str, attrs: dict[str, str]) -> str:
     """A generalised path step: the tag and its sorted classes, digits as #."""
     classes = sorted({_digits.sub("#", c.lower()) for c in attrs.get("class", "").split()})
-    return ".".join([tag, *classes[:3]])
+    return ".".join([tag, *classes])
+
+
+def _path(above: int, step: str) -> int:
+    """A 63-bit number for a path, from that of the path above it, so that deep pages take no long texts."""
+    return xxhash.xxh3_64_intdigest(step.encode("utf-8", "surrogatepass"), above) >> 1
 
 
 def _unwanted(tag: str, attrs: dict[str, str]) -> bool:
@@ -78,9 +89,10 @@ class Page:
     """The containers of a page and their blocks of text, without dropped elements."""
 
     def __init__(self, html: str):
-        self.nodes = [Node("html", "html", -1)]
+        self.nodes = [Node("html", "html", _path(0, "html"), -1)]
         self.order = 0
         stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # (tag, container, dropped from here)
+        open_ = Counter()  # of the tags above the first
         text: list[str] = []
         links = 0
         in_link = 0
@@ -90,14 +102,17 @@ class Page:
             if text:
                 joined = " ".join(unescape("".join(text)).split())
                 if joined:
-                    self._add(stack[-1][1], stack, joined, links)
+                    self._add(stack[-1][1], stack, joined, links, open_["header"] > 0 and not any(open_[h] > 0 for h in HEADINGS))
                 text.clear()
             links = 0
 
         def close(name: str) -> None:
-            while stack[-1][0] != name:
-                stack.pop()
-            stack.pop()
+            while (last := stack.pop()[0]) != name:
+                open_[last] -= 1
+            open_[name] -= 1
+
+        def foreign_header(name: str) -> bool:
+            return name == "header" and not open_["article"] and not open_["main"]
 
         at, size = 0, len(html)
         while at < size:
@@ -116,7 +131,7 @@ class Page:
             if m[1]:  # an end tag
                 if name == "a":
                     in_link = max(0, in_link - 1)
-                if any(t == name for t, _, _ in stack[1:]):
+                if open_[name] > 0:
                     if not stack[-1][2] and name in BLOCKS:
                         flush()
                     close(name)
@@ -136,15 +151,16 @@ class Page:
                 continue
             if name == "a":
                 in_link += 1
-            dropped = stack[-1][2] or unwanted or (name == "header" and not any(t in ("article", "main") for t, _, _ in stack))
+            dropped = stack[-1][2] or unwanted or foreign_header(name)
             if not stack[-1][2] and (name in BLOCKS or dropped):
                 flush()
             if name in CLOSES_P:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] == "p":
                         in_link = 0
+                        open_.subtract(t for t, _, _ in stack[depth:])
                         del stack[depth:]
-                        dropped = stack[-1][2] or unwanted or (name == "header" and not any(t in ("article", "main") for t, _, _ in stack))
+                        dropped = stack[-1][2] or unwanted or foreign_header(name)
                         break
                     if stack[depth][0] in CONTAINERS:
                         break
@@ -156,15 +172,16 @@ class Page:
                 continue
             inside = stack[-1][1]
             if not dropped and name in CONTAINERS:
-                self.nodes.append(Node(name, f"{self.nodes[inside].path}>{step}", inside, score=bonus))
+                self.nodes.append(Node(name, step, _path(self.nodes[inside].path, step), inside, score=bonus))
                 inside = len(self.nodes) - 1
             stack.append((name, inside, dropped))
+            open_[name] += 1
         if not stack[-1][2]:
             flush()
 
-    def _add(self, node: int, stack: list, joined: str, links: int) -> None:
+    def _add(self, node: int, stack: list, joined: str, links: int, in_header: bool) -> None:
         within = next((t for t, _, _ in reversed(stack) if t in HEADINGS or t in CONTAINERS or t in ("header", "p")), "")
-        if any(t == "header" for t, _, _ in stack) and not any(t in HEADINGS for t, _, _ in stack):
+        if in_header:
             return  # of an article's own header only headings belong to the text
         self.nodes[node].blocks.append((self.order, joined))
         self.order += 1
@@ -175,16 +192,16 @@ class Page:
             self.nodes[node].score += worth * share
             node, share = self.nodes[node].parent, share * 0.5
 
-    def votes(self) -> dict[str, float]:
+    def votes(self) -> dict[int, float]:
         """The score of each path with text, as a share of the page's."""
-        found: dict[str, float] = {}
+        found: dict[int, float] = {}
         for n in self.nodes:
             if n.score > 0 and n.tag != "html":
                 found[n.path] = found.get(n.path, 0.0) + n.score
         total = sum(found.values())
         return {p: s / total for p, s in found.items()} if total else {}
 
-    def text_of(self, path: str) -> str | None:
+    def text_of(self, path: int) -> str | None:
         """All blocks below the containers with this path in page order; None if there is no such container."""
         roots = {i for i, n in enumerate(self.nodes) if n.path == path}
         if not roots:
@@ -196,11 +213,20 @@ class Page:
                 blocks += n.blocks
         return "\n".join(t for _, t in sorted(blocks))
 
-    def best(self) -> str | None:
+    def spelled(self, path: int) -> str | None:
+        """The steps of a path that the page has, the last MOST_STEPS of them."""
+        at = next((i for i, n in enumerate(self.nodes) if n.path == path), -1)
+        steps = []
+        while at >= 0 and len(steps) < MOST_STEPS:
+            steps.append(self.nodes[at].step)
+            at = self.nodes[at].parent
+        return ">".join(reversed(steps)) or None
+
+    def best(self) -> int | None:
         own = [(n.score, -i, n.path) for i, n in enumerate(self.nodes) if n.score > 0 and n.tag != "html"]
         if own:
             return max(own)[2]
-        return "html" if any(n.blocks for n in self.nodes) else None
+        return self.nodes[0].path if any(n.blocks for n in self.nodes) else None
 
 
 def host_of(url: str | None) -> str:
@@ -211,22 +237,23 @@ def host_of(url: str | None) -> str:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path, votes): the winning path of each host over all its pages, ties to the smaller path.
+    """(host, path, votes): the winning path of each host over all its pages, ties to the smaller
+    number; a path is the number of :func:`_path`.
 
     Each task adds up its pages' votes before they are shuffled, so a host is never gathered.
     """
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, str], float] = {}
+            sums: dict[tuple[str, int], float] = {}
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 if html:
                     host = host_of(url)
                     for path, share in Page(html).votes().items():
                         sums[host, path] = sums.get((host, path), 0.0) + share
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array([round(v * 2**32) for v in sums.values()], pa.int64())], ["host", "path", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), pa.array([round(v * 2**32) for v in sums.values()], pa.int64())], ["host", "path", "votes"])
 
-    votes = pages.select("url", "html").mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    votes = pages.select("url", "html").mapInArrow(vote, "host string, path long, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     best = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
     return votes.withColumn("place", F.row_number().over(best)).where("place = 1").select("host", "path", "votes")
 
@@ -254,10 +281,10 @@ def extract(pages: DataFrame) -> DataFrame:
                 text, used = "", None
                 if html:
                     page = Page(html)
-                    used = path if path and page.text_of(path) else page.best()
-                    text = (page.text_of(used) if used else "") or ""
+                    used = path if path is not None and page.text_of(path) else page.best()
+                    text = (page.text_of(used) if used is not None else "") or ""
                 texts.append(text)
-                paths.append(used)
+                paths.append(page.spelled(used) if html and used is not None else None)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(paths, pa.string())], ["page_id", "url", "text", "n_chars", "path"])
 
     return joined.select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long, path string")
