@@ -392,3 +392,84 @@ def test_language_held_out(spark, small_dir):
     assert all(0 <= r["score"] <= 1 for r in found.values())
     none = langid.fit([], [])
     assert {r["lang_pred"] for r in langid.predict(docs(spark, rows), none).collect()} == {"und"}
+
+
+# ---------------------------------------------------------------- edges
+
+def test_deep_and_odd_pages(spark):
+    deep = '<div class="aaa bbb">' * 16_000 + "<p>at the bottom</p>"
+    inner = '<html><body><article><p>One.</p><div class="legal"><p>Part of the article.</p></div><p>Let <math><mi>x</mi></math> be.</p></article></body></html>'
+    rows = [(1, "http://d.org/", deep), (2, "http://i.org/", inner), (2, "http://i.org/", inner)]
+    out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in out) == [(1, "at the bottom")] + [(2, "One.\nPart of the article.\nLet x be.")] * 2
+
+
+def test_chains_are_not_cut():
+    rng = np.random.default_rng(3)
+    counts = np.array([300, 0, 1, 64, 65, 130], np.int64)
+    e, start, moves = rng.normal(size=counts.sum()) * 2, rng.normal(size=2), rng.normal(size=(2, 2)) * 2
+    p, pairs = toxicity.chain_marginals(e, counts, start, moves)
+    at, total = 0, np.zeros((2, 2))
+    for n in counts[counts > 0]:
+        _, want, two = toxicity.forward_backward(e[None, at : at + n], np.ones((1, n), bool), start, moves)
+        assert np.allclose(p[at : at + n], want[0])
+        at, total = at + n, total + two
+    assert np.allclose(pairs, total)
+
+
+def test_mixing_of_equal_ids(spark):
+    rows = [(i, None, f"w{i} " + "word " * 9, s) for i in range(50) for s in "abc"]
+    frame = spark.createDataFrame(rows, "n long, doc_id long, text string, source string")
+    got = {r["source"]: (r["t"], r["g"]) for r in mixing.mix(frame).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()}
+    assert all(abs(t - g) <= 20 for t, g in got.values()) and len(got) == 3
+
+
+def test_topk_edges(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (51, [1.0, 1.0]), (52, []), (100, []), (53, [0.5, -0.5])]
+    out = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(out) == 15
+    first = sorted((r["vec_id"], r["score"]) for r in out if r["query_id"] == 50 and r["rank"] == 1)
+    assert first == [(51, 65536), (51, 65536)]
+    assert [(r["vec_id"], r["score"]) for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == 100] == [(50, 0), (50, 0), (51, 0), (52, 0), (53, 0)]
+
+
+def test_lists_are_read_in_part_where_vectors_are_skewed():
+    rng = np.random.default_rng(4)
+    x = np.floor(256 * rng.pareto(1.2, (4000, 6))).astype(np.int64)
+    q = np.zeros((20, 6), np.int64)
+    q[np.arange(20), np.arange(20) % 6] = 256
+    r, c, s, read = topk.nra_block(q, np.full(20, -1), x, np.arange(4000), 5)
+    every = q @ x.T
+    for k in range(20):
+        want = sorted((-every[k, j], j) for j in range(4000))[:5]
+        assert [(-v, j) for v, j in zip(s[r == k], c[r == k])] == want
+    assert read < 0.2 * 20 * 4000
+
+
+def test_numerals_are_no_letters(spark):
+    model = langid.fit(["the cat and the dog"] * 3 + ["der hund und die katze"] * 3, ["en"] * 3 + ["de"] * 3)
+    rows = [(1, "½ ² ⅓"), (2, "x² the dog")]
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs(spark, rows), model).collect()} == {1: "und", 2: "en"}
+    assert langid.predict(docs(spark, rows).limit(0), model).count() == 0
+
+
+def test_markov_spans_of_planted_secrets(spark):
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    secret = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    syllables = ["con", "ter", "ing", "pro", "ment", "able", "tion", "re", "der", "sta", "lin", "o", "per"]
+    plain = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(2, 6)))
+    rows = [(i, f"{' '.join(plain() for _ in range(40))} token={secret(24)} {' '.join(plain() for _ in range(40))}") for i in range(200)]
+    model = secrets.train(docs(spark, rows))
+    planted = [secret(rng.choice((16, 24, 32))) for _ in range(200)]
+    test = [(i, f"{' '.join(plain() for _ in range(30))} {p} {' '.join(plain() for _ in range(30))}") for i, p in enumerate(planted)] + [(500, None), (501, "x" * 200_000), (0, "again")]
+    found = {(r["doc_id"], r["spans"]) for r in secrets.digests(secrets.scan(docs(spark, test), model)).collect()}
+    right = sum((i, f"markov:{t.index(p)}:{t.index(p) + len(p)}") in found for (i, t), p in zip(test, planted))
+    assert right >= 190  # the only span, at the right place
+    assert secrets.scan(docs(spark, rows).limit(0), model).count() == 0
+
+
+def test_repeated_rows_of_jaccard_join(spark):
+    text = " ".join(words(60, 5))
+    out = jaccard.jaccard_join(docs(spark, [(1, text)] * 300 + [(2, text + " more")] * 3 + [(None, text)])).collect()
+    assert len(out) == 304 and {r["class_id"] for r in out} == {1} and {r["n_links"] for r in out} == {303}
