@@ -104,13 +104,16 @@ def labelled_tokens(docs: DataFrame, *, bound: int = 4000, per_class: int = 2000
     """Tokens of at most ``bound`` documents, labelled by the base patterns.
 
     What a base pattern marks as a value is a random string; words, snake-case identifiers and numbers outside the
-    spans are ordinary. The documents are those with a base pattern whose hashes are smallest, found in one scan;
+    spans are ordinary. The documents are those with a base pattern whose hashes are smallest; only hashes are sorted;
     texts beyond ``chars`` characters are scanned but not learned from. At most ``per_class`` tokens of each class go
     to the driver.
     """
     texts = docs.where(F.length("text") <= chars).select("doc_id", "text")
     marked = texts.where(F.col("text").rlike(r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}|(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]"))
-    drawn = settle(marked.orderBy(F.xxhash64("doc_id", "text", F.lit(7))).limit(bound), "secrets-sample")
+    key = F.xxhash64("doc_id", "text", F.lit(7)).alias("key")
+    keys = settle(marked.select(key).orderBy("key").limit(bound), "secrets-keys").distinct()
+    drawn = texts.select("text", key).join(F.broadcast(keys), "key")  # ``bound`` numbers at most
+    drawn = settle(drawn.groupBy("key").agg(F.first("text").alias("text")), "secrets-sample")
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
