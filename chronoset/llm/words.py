@@ -23,7 +23,7 @@ class _Index(dict):
 class WordTable:
     """Rows of numbers for words, made by ``make(list of new words)`` and kept up to about ``limit`` words a task."""
 
-    def __init__(self, make: Callable[[list], np.ndarray], limit: int = 200_000):
+    def __init__(self, make: Callable[[list], np.ndarray], limit: int = 100_000):
         self.make, self.limit = make, limit
         self.index = _Index()
         self.rows: np.ndarray | None = None
