@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +91,24 @@ def sieve(df: DataFrame, key: str, wanted: DataFrame, *, bits: int = SIEVE_BITS)
     marked = marked.withColumn("__in", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False)))
     part = lambda inside: marked.where(F.col("__in") if inside else ~F.col("__in")).drop("__word", "__bits", "__in").select(*df.columns)
     return part(True), part(False)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, where the system's C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``function`` of batches, after whose last batch the task's freed memory goes back to the system.
+
+    Spark keeps idle Python workers beside the executor; without this each holds what its largest task needed.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        give_back()
+
+    return run

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoset.llm.common import row_key, settle, sieve
+from chronoset.llm.common import lean, row_key, settle, sieve
 from chronoset.llm.graph import components
 from chronoset.llm.words import WordTable, pieces, portions
 
@@ -159,7 +159,7 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, tole
                     ["doc_id", "row", "name", "n_shingles", "sig", "bands"])
 
     schema = "doc_id long, row long, name string, n_shingles long, sig binary, bands array<long>"
-    sketched = settle(rows.select("doc_id", "row", "text").mapInArrow(sketch, schema), "sketches")
+    sketched = settle(rows.select("doc_id", "row", "text").mapInArrow(lean(sketch), schema), "sketches")
     classes = sketched.where(F.col("name").isNotNull()).groupBy("name").agg(
         F.min("doc_id").alias("copy_id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = settle(classes.withColumn("node", F.xxhash64("name")), "classes")
@@ -215,7 +215,7 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, tole
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names)
 
-    near = settle(dealt.withColumn("t", F.col("t").cast("long")).mapInArrow(prune, "t long, band long, i long, j long, node long, b long"), "near")
+    near = settle(dealt.withColumn("t", F.col("t").cast("long")).mapInArrow(lean(prune), "t long, band long, i long, j long, node long, b long"), "near")
     members = settle(classes.select("node", "row", "copies", "sig").join(near.select("node").distinct(), "node"), "members")
     wanted = sieve(rows.select("row", "text"), "row", members.select("row"))[0]
     texts = wanted.groupBy("row").agg(F.first("text").alias("text"))  # repeated rows once
@@ -262,7 +262,7 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, tole
                 found = []
         yield batch_of(found)
 
-    checked = settle(dealt.mapInArrow(verify, "node long, links long, partner long"), "links")
+    checked = settle(dealt.mapInArrow(lean(verify), "node long, links long, partner long"), "links")
     groups = components(checked.where(F.col("node") != F.col("partner")), "node", "partner")
     counts = checked.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("name", "node", "copy_id", "copies").join(settle(counts, "link-counts"), "node", "left").join(settle(groups, "groups"), "node", "left")

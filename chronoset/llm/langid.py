@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoset.llm.common import settle
+from chronoset.llm.common import lean, settle
 from chronoset.llm.words import WordTable, portions, sum_runs
 
 # The family of a language code; a code that is not listed is a family of its own.
@@ -198,7 +198,7 @@ def train(docs: DataFrame, usable: Column | None = None, *, bound: int = 3000, s
                     found.append((total / seen * 64).astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(langs, pa.string())], ["shares", "lang"])
 
-    table = drawn.mapInArrow(counted, "shares binary, lang string").toArrow()  # about ``bound`` rows of 2 * size bytes
+    table = drawn.mapInArrow(lean(counted), "shares binary, lang string").toArrow()  # about ``bound`` rows of 2 * size bytes
     table = table.sort_by([("lang", "ascending"), ("shares", "ascending")])
     x = np.zeros((table.num_rows, size), np.float16)
     for i, v in enumerate(table.column("shares")):
@@ -238,4 +238,4 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     for f in schema.fields:
         f.nullable = True
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
