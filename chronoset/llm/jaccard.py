@@ -33,14 +33,14 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
 
 
-def shingles(texts: list[str], size: int, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: list[str], size: int, table: WordTable, split=words_of) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words, text after text, and their number for each text.
 
     A text of fewer words, but not none, has one shingle of all its words.
     """
-    split = [words_of(t) if t else [] for t in texts]
-    counts = np.array([len(s) for s in split], np.int64)
-    ids = table.ids([w for s in split for w in s])
+    found = [split(t) if t else [] for t in texts]
+    counts = np.array([len(s) for s in found], np.int64)
+    ids = table.ids([w for s in found for w in s])
     h = table.rows[ids] if len(ids) else np.zeros(0, np.uint64)
     runs = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     starts, at = pieces(counts), pieces(runs)

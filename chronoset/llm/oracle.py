@@ -95,3 +95,59 @@ SELECT d.doc_id, class.class_id, least(d.doc_id, coalesce(per.twin, d.doc_id)) A
 FROM d JOIN class USING (r) LEFT JOIN per USING (r) LEFT JOIN n USING (r)
 """
 ORACLE["op2_jaccard"] = JACCARD
+
+DIVERGENCE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS ln FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, count(*) AS v, sum(ln)::HUGEINT AS nl FROM kept GROUP BY lang),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS ns FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (
+  SELECT s.lang, s.source, kept.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (s.ns + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (kept.ln + 5)) // (l.nl + 5 * l.v) AS q
+  FROM s JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = kept.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sums.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+ORACLE["op12_divergence"] = DIVERGENCE
+
+NEGATIVES = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM v),
+s AS (SELECT q.r AS qr, x.r AS xr, sum(q.x * x.x)::BIGINT AS score FROM c q JOIN v a ON a.r = q.r AND a.vec_id % 100 = 0 JOIN c x ON q.d = x.d AND q.r <> x.r GROUP BY 1, 2),
+n AS (SELECT s.*, a.vec_id AS anchor_id, x.vec_id AS other_id, a.label = x.label AS same FROM s JOIN v a ON a.r = qr JOIN v x ON x.r = xr),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, other_id) AS k FROM n WHERE same) WHERE k <= 5),
+f AS (
+  SELECT p.qr, p.k, p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.qr, p.k ORDER BY n.score DESC, n.other_id)::INTEGER AS rank
+  FROM p JOIN n ON n.qr = p.qr AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM f WHERE rank <= 10
+"""
+ORACLE["op13_negatives"] = NEGATIVES
+
+CHOSEN_PATH = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{WORDS}') AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + 2], ' ') AS sh
+  FROM (SELECT r, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.r <> b.r GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT r, r AS o FROM d UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.o = links.a),
+c AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.o GROUP BY reach.r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, coalesce(d.doc_id = c.component_id, c.component_id IS NULL) AS kept
+FROM d JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+ORACLE["op11_chosenpath"] = CHOSEN_PATH

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoset.llm import chat, decontam, html, jaccard, langid, lines, mixing, secrets, topk, toxicity
+from chronoset.llm import chat, chosenpath, decontam, divergence, html, jaccard, langid, lines, mixing, negatives, secrets, topk, toxicity
 from chronoset.llm.common import crc_fold
 
 
@@ -70,4 +70,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_jaccard, op3_toxicity, op4_mixing, op5_chat, op6_topk, op7_secrets, op8_lines, op9_decontamination, op10_langid)}
+def op11_chosenpath(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(moved)
+
+
+QUERIES = {f.__name__: f for f in (op1_html, op2_jaccard, op3_toxicity, op4_mixing, op5_chat, op6_topk, op7_secrets, op8_lines, op9_decontamination, op10_langid, op11_chosenpath, op12_divergence, op13_negatives)}

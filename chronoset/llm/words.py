@@ -61,11 +61,14 @@ def sum_runs(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def portions(texts: list, most_chars: int = 300_000):
-    """(start, end) of consecutive texts with about ``most_chars`` characters, so that memory follows texts, not batches."""
+def portions(texts: list, most_chars: int = 300_000, sizes: bool = False):
+    """(start, end) of consecutive texts with about ``most_chars`` characters, so that memory follows texts, not batches.
+
+    With ``sizes`` the numbers of characters are given in place of texts.
+    """
     start = held = 0
     for i, t in enumerate(texts):
-        held += len(t) if t else 0
+        held += (t or 0) if sizes else len(t) if t else 0
         if held >= most_chars:
             yield start, i + 1
             start, held = i + 1, 0
