@@ -5,10 +5,11 @@ from __future__ import annotations
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoset.operators import linkage
+from chronoset.operators.ordering import numbered
 from chronoset.operators.windows import containing, edges
 
 KEY = ("t0", "t1", "variable", "type")
@@ -108,18 +109,8 @@ def average_linkage_cut(x: np.ndarray, most: int) -> np.ndarray:
 
 def clustered_thresholds(long: DataFrame, most: int) -> DataFrame:
     """Like :func:`thresholds`, but where more than ``most`` would come out, values are clustered into most + 1
-    groups and thresholds lie in the middle of the gaps between them. A group holds one value per subject."""
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf["value"].to_numpy(float))
-        if len(x) > most + 1:
-            edge = np.nonzero(np.diff(average_linkage_cut(x, most + 1)))[0]
-            t = 0.5 * (x[edge] + x[edge + 1])
-        else:
-            t = 0.5 * (x[:-1] + x[1:])
-        return pdf[list(KEY)].iloc[[0] * len(np.unique(t))].assign(threshold=np.unique(np.round(t, 8)) if len(t) else t)
-
-    return long.groupBy(*KEY).applyInPandas(cut, "t0 double, t1 double, variable string, type string, threshold double")
+    groups by average linkage and thresholds lie in the middle of the gaps between them."""
+    return linkage.clustered_thresholds(long, KEY, most)
 
 
 def truths(long: DataFrame, cuts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -164,12 +155,8 @@ def agreement(long: DataFrame, cuts: DataFrame, subjects: DataFrame, by: tuple[s
 
 
 def ordered(population_: DataFrame) -> DataFrame:
-    """The population with detector_id: sorted by truth bits, then by key, from 0.
-
-    The numbering is a global order over detectors.
-    """
-    order = Window.orderBy("bits", *KEY, "threshold", "direction")
-    return population_.withColumn("detector_id", (F.row_number().over(order) - 1).cast("long"))
+    """The population with detector_id: sorted by truth bits, then by key, from 0."""
+    return numbered(population_, "bits", *KEY, "threshold", "direction", name="detector_id")
 
 
 def filter_thresholds(cuts: DataFrame, long: DataFrame, least_gap: float) -> DataFrame:

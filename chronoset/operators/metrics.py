@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoset.operators.ordering import numbered
+
 
 def stratified_folds(subjects: DataFrame, folds: int = 5, seed: int | None = None) -> DataFrame:
     """(subject_id, y, fold): positives, then negatives, dealt in turn; in order of id, or of a hash with a seed.
 
-    Positions run over one row per subject. Outcomes that are all alike raise ValueError.
+    Outcomes that are all alike raise ValueError.
     """
     if subjects.select("y").distinct().count() < 2:
         raise ValueError("all outcomes are alike")
     key = F.col("subject_id") if seed is None else F.xxhash64("subject_id", F.lit(seed))
-    order = Window.orderBy(F.desc("y"), key, "subject_id")
-    return subjects.select("subject_id", "y", ((F.row_number().over(order) - 1) % folds).cast("long").alias("fold"))
+    return numbered(subjects.select("subject_id", "y"), F.desc("y"), key, "subject_id").select("subject_id", "y", (F.col("place") % folds).alias("fold"))
 
 
 def leave_one_out(subjects: DataFrame) -> DataFrame:
-    order = Window.orderBy("subject_id")
-    return subjects.select("subject_id", "y", (F.row_number().over(order) - 1).cast("long").alias("fold"))
+    return numbered(subjects.select("subject_id", "y"), "subject_id", name="fold")
 
 
 def memberships(folds: DataFrame, n_folds: int) -> DataFrame:

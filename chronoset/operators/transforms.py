@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoset.operators.ordering import numbered
 from chronoset.operators.windows import blocks_of
 
 SAMPLE = ("subject_id", "time")
@@ -57,13 +58,10 @@ def feature_vectors(means: DataFrame, windows: int, variables: list[str]) -> Dat
 
 
 def shuffled_labels(subjects: DataFrame, seed: int) -> DataFrame:
-    """Subjects with outcomes dealt anew: the i-th subject in one random order gets that of the i-th in another.
-
-    Both sides are numbered over one row per subject.
-    """
-    a = subjects.drop("y").withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("subject_id", F.lit(seed)), "subject_id")))
-    b = subjects.select("y", F.row_number().over(Window.orderBy(F.xxhash64("subject_id", F.lit(seed + 1)), "subject_id")).alias("n"))
-    return a.join(b, "n").drop("n")
+    """Subjects with outcomes dealt anew: the i-th subject in one random order gets that of the i-th in another."""
+    a = numbered(subjects.drop("y"), F.xxhash64("subject_id", F.lit(seed)), "subject_id", name="n")
+    b = numbered(subjects.select("subject_id", "y"), F.xxhash64("subject_id", F.lit(seed + 1)), "subject_id", name="n")
+    return a.join(b.select("n", "y"), "n").drop("n")
 
 
 def exclusive_sisters(obs: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoset.operators.ordering import numbered
+from chronoset.sources.scratch import settle
+
 
 def closure(edges: DataFrame, most_depth: int = 64) -> DataFrame:
     """(ancestor, descendant, depth, path_len) for every node and itself and all its ancestors.
@@ -12,6 +15,7 @@ def closure(edges: DataFrame, most_depth: int = 64) -> DataFrame:
     Paths double in length with each round, so rounds grow with the logarithm of the depth. A cycle raises
     ValueError. ``path_len`` is the sum of ``dist`` between the two nodes.
     """
+    edges = settle(edges.select("node", "parent", "dist"), "tree-edges")
     nodes = edges.select("node").union(edges.select("parent")).distinct()
     paths = edges.select(F.col("parent").alias("ancestor"), F.col("node").alias("descendant"), F.lit(1).alias("depth"), F.col("dist").alias("path_len"))
     reach = 1
@@ -20,6 +24,7 @@ def closure(edges: DataFrame, most_depth: int = 64) -> DataFrame:
         longer = a.join(b, F.col("a.descendant") == F.col("b.ancestor")).select(
             "a.ancestor", "b.descendant", (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.path_len") + F.col("b.path_len")).alias("path_len"))
         longer = longer.where((F.col("depth") > reach) & (F.col("depth") <= 2 * reach)).dropDuplicates(["ancestor", "descendant"])
+        longer = settle(longer, "tree-paths")
         if longer.isEmpty():
             break
         paths, reach = paths.unionByName(longer), 2 * reach
@@ -134,13 +139,14 @@ def layout(edges: DataFrame, paths: DataFrame) -> DataFrame:
     """
     tops = edges.select(F.col("parent").alias("ancestor")).distinct().join(edges.select(F.col("node").alias("ancestor")), "ancestor", "left_anti")
     place = paths.join(tops, "ancestor", "left_semi").select(F.col("descendant").alias("node"), F.col("path_len").alias("x"), F.col("depth").alias("level"))
-    order = Window.orderBy("node")
-    done = leaves(edges).select("node", (F.row_number().over(order) - 1).cast("double").alias("y"), F.lit(0.0).alias("height"))
+    done = numbered(leaves(edges), "node").select("node", F.col("place").cast("double").alias("y"), F.lit(0.0).alias("height"))
+    place, edges = settle(place, "layout-places"), settle(edges, "layout-edges")
     deepest = place.agg(F.max("level")).first()[0] or 0
     for level in range(deepest - 1, -1, -1):
         here = place.where(F.col("level") == level).select(F.col("node").alias("parent"))
         spans = edges.join(here, "parent", "left_semi").join(done, "node").groupBy("parent").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-        done = done.unionByName(spans.select(F.col("parent").alias("node"), ((F.col("lo") + F.col("hi")) / 2).alias("y"), (F.col("hi") - F.col("lo")).alias("height")))
+        spans = settle(spans.select(F.col("parent").alias("node"), ((F.col("lo") + F.col("hi")) / 2).alias("y"), (F.col("hi") - F.col("lo")).alias("height")), "layout-level")
+        done = done.unionByName(spans)
     return place.join(done, "node").select("node", "x", "y", "height")
 
 

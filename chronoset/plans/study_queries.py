@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoset.operators import detectors, filters, metrics, transforms
+from chronoset.operators import detectors, filters, linkage, metrics, subsample, transforms, truths
 from chronoset.operators import windows as W
+from chronoset.operators.ordering import numbered
+from chronoset.sources.scratch import settle
 from chronoset.sources.studies import Study, event_rows, events_study, order_rows, orders_study, r6, table
 
 QUERIES: dict = {}
@@ -86,6 +88,7 @@ def mined(spark: SparkSession, sf_dir: str, intervals: int = 3) -> tuple[Study,
     good = W.valid_windows(s.subjects, s.samples, W.windows_of(s.start, s.end, intervals)).collect()  # one row a window
     wide = detectors.values(s.observations, [(r["t0"], r["t1"]) for r in good])
     long = detectors.long_values(wide, [(r["t0"], r["t1"]) for r in good if r["slope_ok"]])
+    long = settle(long, "detector-values")  # read by several branches of what follows
     return s, long, detectors.thresholds(long)
 
 
@@ -164,7 +167,29 @@ def detector_thresholds(spark, sf_dir):
     return mined(spark, sf_dir)[2]
 
 
-@query("detector_thresholds_clustered")
+def linkage_sql(most: int) -> str:
+    """Average linkage of each key's values, one join at a time, and the thresholds it leaves."""
+    return f"""
+start AS (SELECT t0, t1, variable, type, list(n ORDER BY value) AS sizes, list(value * n ORDER BY value) AS totals, list(value ORDER BY value) AS ends, list(value ORDER BY value)[2:] AS starts
+  FROM (SELECT t0, t1, variable, type, value, count(*)::DOUBLE AS n FROM long GROUP BY ALL) GROUP BY ALL),
+joins AS (
+  SELECT *, NULL::DOUBLE AS height, NULL::DOUBLE AS v, NULL::DOUBLE AS w FROM start
+  UNION ALL
+  SELECT t0, t1, variable, type, list_concat(list_concat(sizes[1:i - 1], [sizes[i] + sizes[i + 1]]), sizes[i + 2:]), list_concat(list_concat(totals[1:i - 1], [totals[i] + totals[i + 1]]), totals[i + 2:]),
+    list_concat(ends[1:i - 1], ends[i + 1:]), list_concat(starts[1:i - 1], starts[i + 1:]), gaps[i], ends[i], starts[i]
+  FROM (SELECT *, list_position(gaps, list_min(gaps)) AS i FROM (SELECT * EXCLUDE (height, v, w), list_transform(range(1, len(sizes)), lambda j: totals[j + 1] / sizes[j + 1] - totals[j] / sizes[j]) AS gaps FROM joins WHERE len(sizes) > 1))),
+placed AS (SELECT t0, t1, variable, type, height, v, w, row_number() OVER (PARTITION BY t0, t1, variable, type ORDER BY height DESC, v) AS place FROM joins WHERE height IS NOT NULL),
+cut AS (SELECT t0, t1, variable, type, max(height) FILTER (place = {most + 1}) AS cut FROM placed GROUP BY ALL),
+sized AS (SELECT t0, t1, variable, type, count(*) AS n FROM long GROUP BY ALL),
+clustered AS (
+  SELECT DISTINCT t0, t1, variable, type, round(threshold, 8) AS threshold FROM (
+    SELECT t0, t1, variable, type, 0.5 * (v + w) AS threshold FROM placed JOIN cut USING (t0, t1, variable, type) JOIN sized USING (t0, t1, variable, type)
+    WHERE n <= {most + 1} OR cut IS NULL OR height > cut * (1 + 1e-12)
+    UNION ALL SELECT t0, t1, variable, type, value FROM long JOIN sized USING (t0, t1, variable, type) WHERE n <= {most + 1} GROUP BY t0, t1, variable, type, value HAVING count(*) > 1))
+"""
+
+
+@query("detector_thresholds_clustered", f"WITH RECURSIVE {detector_sql()}, {linkage_sql(20)} SELECT * FROM clustered")
 def detector_thresholds_clustered(spark, sf_dir):
     return detectors.clustered_thresholds(mined(spark, sf_dir)[1], 20)
 
@@ -183,8 +208,64 @@ sides AS (SELECT *, 'above' AS direction FROM pop UNION ALL SELECT * EXCLUDE (bi
 
 @query("detector_truth_order", f"WITH {detector_sql()} {_BITS} SELECT *, (row_number() OVER (ORDER BY bits, t0, t1, variable, type, threshold, direction) - 1)::BIGINT AS detector_id FROM sides")
 def detector_truth_order(spark, sf_dir):
-    _, long, cuts = mined(spark, sf_dir)
-    return detectors.ordered(detectors.population(long, cuts))
+    """Detectors numbered by their packed truths; the bits are put together for display only."""
+    s, long, cuts = mined(spark, sf_dir)
+    places = settle(truths.placed(s.subjects), "subject-places")
+    words = settle(truths.packed(long, cuts, places), "packed-truths")
+    return truths.ordered(words).join(truths.as_text(words, places), list(truths.DETECTOR))
+
+
+_WORDS = """, place AS (SELECT subject_id, y, (row_number() OVER (ORDER BY subject_id) - 1) // 63 AS block, 1::BIGINT << (62 - (row_number() OVER (ORDER BY subject_id) - 1) % 63)::INT AS bit FROM subj),
+met AS (SELECT t.t0, t.t1, t.variable, t.type, t.threshold, p.block, p.bit, p.y, l.value > t.threshold AS up FROM thr t JOIN long l USING (t0, t1, variable, type) JOIN place p USING (subject_id)),
+words AS (
+  SELECT t0, t1, variable, type, threshold, 'above' AS direction, block::BIGINT AS block, coalesce(bit_or(bit) FILTER (up), 0)::BIGINT AS word FROM met GROUP BY ALL
+  UNION ALL SELECT t0, t1, variable, type, threshold, 'below', block::BIGINT, coalesce(bit_or(bit) FILTER (NOT up), 0)::BIGINT FROM met GROUP BY ALL)
+"""
+
+
+@query("truth_words", f"WITH {detector_sql()} {_WORDS} SELECT * FROM words")
+def truth_words(spark, sf_dir):
+    """The truth matrix in words of 63 subjects."""
+    s, long, cuts = mined(spark, sf_dir)
+    return truths.packed(long, cuts, truths.placed(s.subjects))
+
+
+@query("truth_hamming", f"""WITH {detector_sql()} {_WORDS} SELECT t0, t1, variable, type, threshold, 'above' AS direction, count(*) FILTER (up)::BIGINT AS n_true, count(*) FILTER (up <> y)::BIGINT AS distance FROM met GROUP BY ALL
+UNION ALL SELECT t0, t1, variable, type, threshold, 'below', count(*) FILTER (NOT up)::BIGINT, count(*) FILTER (up = y)::BIGINT FROM met GROUP BY ALL""")
+def truth_hamming(spark, sf_dir):
+    """Each detector's number of true subjects and its Hamming distance to the outcome."""
+    s, long, cuts = mined(spark, sf_dir)
+    places = settle(truths.placed(s.subjects), "subject-places")
+    return truths.hamming(truths.packed(long, cuts, places), truths.outcome_words(s.subjects, places))
+
+
+_BINS = """, marks AS (SELECT t0, t1, variable, type, threshold AS upper FROM clustered UNION ALL SELECT DISTINCT t0, t1, variable, type, 'Infinity'::DOUBLE FROM clustered),
+bins AS (SELECT *, row_number() OVER (PARTITION BY t0, t1, variable, type ORDER BY upper) - 1 AS bin, lag(upper, 1, '-Infinity'::DOUBLE) OVER (PARTITION BY t0, t1, variable, type ORDER BY upper) AS lower FROM marks),
+medians AS (SELECT b.t0, b.t1, b.variable, b.type, b.bin, b.upper, coalesce(median(l.value), b.upper) AS m FROM bins b LEFT JOIN long l ON l.t0 = b.t0 AND l.t1 = b.t1 AND l.variable = b.variable AND l.type = b.type AND l.value >= b.lower AND l.value < b.upper GROUP BY b.t0, b.t1, b.variable, b.type, b.bin, b.upper),
+leaf AS (SELECT t0, t1, variable, type, list([m] ORDER BY bin) AS parts, list(upper ORDER BY bin) AS uppers FROM medians GROUP BY ALL),
+tree AS (
+  SELECT *, NULL::DOUBLE AS gap, NULL::DOUBLE AS egap, NULL::DOUBLE AS threshold FROM leaf
+  UNION ALL
+  SELECT t0, t1, variable, type, list_concat(list_concat(parts[1:i - 1], [list_concat(parts[i], parts[i + 1])]), parts[i + 2:]), list_concat(uppers[1:i - 1], uppers[i + 1:]),
+    list_aggregate(parts[i + 1], 'median') - list_aggregate(parts[i], 'median'), list_aggregate(list_transform(parts[i + 1], lambda x: exp(x)), 'median') - list_aggregate(list_transform(parts[i], lambda x: exp(x)), 'median'), uppers[i]
+  FROM (SELECT *, list_position(gaps, list_min(gaps)) AS i FROM (SELECT * EXCLUDE (gap, egap, threshold), list_transform(range(1, len(parts)), lambda j: list_sum(parts[j + 1]) / len(parts[j + 1]) - list_sum(parts[j]) / len(parts[j])) AS gaps FROM tree WHERE len(parts) > 1)))
+"""
+
+
+@query("threshold_bin_filter", f"WITH RECURSIVE {detector_sql()}, {linkage_sql(12)} {_BINS} SELECT t0, t1, variable, type, threshold FROM tree WHERE gap >= CASE WHEN type = 'average' THEN 4.0 ELSE 0.5 END")
+def threshold_bin_filter(spark, sf_dir):
+    """Thresholds whose two sides in the tree of bins differ by 4 in the medians of averages, or 0.5 of slopes."""
+    _, long, _ = mined(spark, sf_dir)
+    cuts = settle(detectors.clustered_thresholds(long, 12), "clustered-thresholds")
+    return linkage.filter_by_bin_medians(long, cuts, detectors.KEY, {"average": 4.0, "slope": 0.5})
+
+
+@query("threshold_bin_filter_exp", f"WITH RECURSIVE {detector_sql()}, {linkage_sql(12)} {_BINS} SELECT t0, t1, variable, type, threshold FROM tree WHERE type = 'slope' AND (gap >= 2.0 OR egap >= 0.75)")
+def threshold_bin_filter_exp(spark, sf_dir):
+    """The same for slopes, which may differ on the exponential scale in place of the linear one."""
+    long = mined(spark, sf_dir)[1].where("type = 'slope'")
+    cuts = settle(detectors.clustered_thresholds(long, 12), "clustered-thresholds")
+    return linkage.filter_by_bin_medians(long, cuts, detectors.KEY, 2.0, 0.75)
 
 
 @query("detector_best_match_outcome", f"""WITH {detector_sql()}, agree AS (
@@ -347,19 +428,17 @@ def window_mean_features(spark, sf_dir):
 
 @query("sample_order", f"WITH {ORDERS} SELECT subject_id, time, (dense_rank() OVER (ORDER BY subject_id))::BIGINT AS subject_ord, (row_number() OVER (PARTITION BY subject_id ORDER BY time))::BIGINT AS sample_ord FROM smp")
 def sample_order(spark, sf_dir):
-    """Samples in time order within subjects, and subjects in order of id; ids are numbered over one row each."""
+    """Samples in time order within subjects, and subjects in order of id."""
     s = orders_study(spark, sf_dir)
-    ids = s.samples.select("subject_id").distinct().withColumn("subject_ord", F.row_number().over(Window.orderBy("subject_id")).cast("long"))
+    ids = numbered(s.samples.select("subject_id").distinct(), "subject_id").select("subject_id", (F.col("place") + 1).alias("subject_ord"))
     by = Window.partitionBy("subject_id").orderBy("time")
     return s.samples.withColumn("sample_ord", F.row_number().over(by).cast("long")).join(ids, "subject_id").select("subject_id", "time", "subject_ord", "sample_ord")
 
 
-@query("subject_subsample")
+@query("subject_subsample", f"WITH {EVENTS}, r AS (SELECT subject_id, y, row_number() OVER (ORDER BY md5('1:' || subject_id::VARCHAR), subject_id) AS place, count(*) OVER () AS n FROM subj) SELECT subject_id, y FROM r WHERE 2 * place <= n")
 def subject_subsample(spark, sf_dir):
     """A sampling operator: half of the subjects, drawn by a hash of their id."""
-    s = events_study(spark, sf_dir)
-    n = F.row_number().over(Window.orderBy(F.xxhash64("subject_id", F.lit(1)), "subject_id"))
-    return s.subjects.select("subject_id", "y", n.alias("place"), F.count(F.lit(1)).over(Window.partitionBy()).alias("of")).where("2 * place <= of").select("subject_id", "y")
+    return subsample.draw_subjects(events_study(spark, sf_dir).subjects.select("subject_id", "y"), 0.5, seed=1)
 
 
 @query("subsample_timepoints", f"WITH {ORDERS}, o AS (SELECT subject_id, time, row_number() OVER (PARTITION BY subject_id ORDER BY time) AS sample_ord FROM smp) SELECT subject_id, time, sample_ord::BIGINT AS sample_ord FROM o WHERE sample_ord IN (1, 3, 5)")
