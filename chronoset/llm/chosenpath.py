@@ -134,7 +134,7 @@ def _binary(column) -> list[bytes]:
     return column.to_pylist()
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85, depth: int = 3, recall: float = 0.9999, leaf: int = LEAF) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85, least_depth: int = 2, depth: int = 3, recall: float = 0.9999, leaf: int = LEAF) -> DataFrame:
     """Near-duplicate groups of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, row.
 
     Documents are linked if 100 * |intersection| >= ``percent`` * |union| of their sets of ``size``-word shingles.
@@ -142,13 +142,16 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85, depth:
 
     1. Documents with the same set are one class. A set is embedded as VALUES tokens, its minwise values.
     2. In each of a number of independent trees, a node chooses tokens by hashing its path, each with probability
-       1 / (threshold * VALUES), and a class goes to the children of the chosen tokens it has. Nodes of one class end;
-       nodes of more than ``leaf`` classes branch again, up to ``depth`` times. The number of trees follows from
-       ``recall``, which a pair at the threshold reaches at full depth; most nodes end after one level, where it is higher.
+       1 / (threshold * VALUES), and a class goes to the children of the chosen tokens it has. The first
+       ``least_depth`` levels need no counts, so each class finds its nodes there by itself, and classes that have
+       little in common have parted. Nodes of one class end; nodes of more than ``leaf`` classes branch again, up to
+       ``depth`` levels. The number of trees follows from ``recall``, which a pair at the threshold reaches at full
+       depth; most nodes end before, where it is higher.
     3. Leaves are compared exhaustively by their minwise values, in two passes. The first one hands on each member's
-       best partner; these pairs are verified on the full sets. A leaf whose members are then connected is done. In the
-       others all pairs across components that can be links are verified on the full sets, each in the first leaf
-       that its classes share. So components lose no link, and copies need no pairs of their own.
+       best partner; these pairs are verified on the full sets. A leaf whose members are then connected is done, and
+       so is a member without a possible partner. Among the others all pairs across components that can be links are
+       verified on the full sets, each in the first leaf that its classes share. So components lose no link, and
+       copies need no pairs of their own.
 
     A leaf beyond ``leaf`` classes at full depth, as of thousands of near copies, is cut into blocks: in the first pass
     each block meets a bounded draw of the leaf's members, in the second one the members outside the largest
@@ -181,8 +184,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85, depth:
                 paths: list[list[int]] = [[] for _ in sets]
                 full = np.nonzero(runs)[0]
                 for seed in seeds.tolist():
-                    at, child = branch(np.full(len(full), seed), values[full], rate)
-                    for k, c in zip(full[at].tolist(), child.tolist(), strict=True):
+                    at, child = full, np.full(len(full), seed)
+                    for _ in range(least_depth):
+                        deeper, child = branch(child, values[at], rate)
+                        at = at[deeper]
+                    for k, c in zip(at.tolist(), child.tolist(), strict=True):
                         paths[k].append(c)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(start, end - start), batch.column("row").slice(start, end - start), pa.array([name_of(s) for s in sets], pa.binary()),
@@ -209,7 +215,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85, depth:
 
     members = shared(classes.select("name", F.explode("paths").alias("node")))
     done = members.where(F.col("size") <= leaf)
-    for _ in range(depth - 1):
+    for _ in range(depth - least_depth):
         large = members.where(F.col("size") > leaf)
         if large.isEmpty():
             break
@@ -255,9 +261,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85, depth:
                     better = equal[first] > best[own[first]]
                     best[own[first[better]]], partner[own[first[better]]] = equal[first[better]], other[first[better]]
             at = np.nonzero(partner >= 0)[0]
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), names.take(pa.array(partner[at]))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([table["node"].combine_chunks().take(pa.array(at)), names.take(pa.array(at)), names.take(pa.array(partner[at]))], ["node", "name", "partner"])
 
-    found = dealt.mapInArrow(lean(best_partners), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b"))
+    partnered = settle(dealt.mapInArrow(lean(best_partners), "node long, name binary, partner binary"), "chosenpath-partners")
+    found = partnered.select(F.least("name", "partner").alias("a"), F.greatest("name", "partner").alias("b")).where(F.col("a") != F.col("b"))
     found = settle(found.distinct(), "chosenpath-pairs")
 
     def full_sets(wanted: DataFrame) -> DataFrame:
@@ -293,8 +300,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85, depth:
     links = settle(both.select("a", "b", "s", "t").mapInArrow(lean(verify_pairs), "a binary, b binary"), "chosenpath-links")
     groups = settle(components(links), "chosenpath-groups")
 
-    # second pass: leaves that hold more than one component
-    labelled = done.join(groups.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    # second pass: leaves that hold more than one component; blocks of large ones have not met all others before
+    open_ = partnered.select("node", "name").distinct().unionByName(done.where(F.col("size") > leaf).select("node", "name")).distinct()
+    labelled = open_.join(groups.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     labelled = settle(labelled.select("node", "name", "root"), "chosenpath-labelled")
     parts = labelled.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("node").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
