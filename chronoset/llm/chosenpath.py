@@ -196,10 +196,15 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85, least_
                     ["doc_id", "row", "name", "n_shingles", "tokens", "paths"])
 
     sketched = settle(rows.select("doc_id", "row", "text").mapInArrow(lean(sketch), "doc_id long, row long, name binary, n_shingles long, tokens binary, paths array<long>"), "chosenpath-sketches")
-    classes = sketched.where(F.col("name").isNotNull()).groupBy("name").agg(
-        F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("paths").alias("paths"))
+    classes = sketched.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"))
     classes = settle(classes, "chosenpath-classes")
 
+    def tokens_of(names: DataFrame) -> DataFrame:
+        """(name, tokens) of the named classes; only their rows are shuffled."""
+        wanted = settle(names.select("name").distinct().withColumn("key", F.xxhash64("name")), "chosenpath-names")
+        some = sieve(sketched.where(F.col("name").isNotNull()).select("name", "tokens", F.xxhash64("name").alias("key")), "key", wanted.select("key"))[0]
+        return some.groupBy("name").agg(F.first("tokens").alias("tokens")).join(wanted.select("name"), "name")
+
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
@@ -209,17 +214,23 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85, least_
                 yield pa.RecordBatch.from_arrays([pa.array(child, pa.int64()), part.column("name").take(pa.array(at))], ["node", "name"])
 
     def shared(members: DataFrame) -> DataFrame:
-        """Members of nodes that hold two or more classes, with the number of these; only such rows are shuffled whole."""
-        sizes = settle(members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "chosenpath-nodes")
-        return settle(sieve(members, "node", sizes.select("node"))[0].join(sizes, "node"), "chosenpath-members")
+        """Members of nodes that hold two or more classes, with the number of these; only such rows are shuffled whole.
+
+        Copies of a document are counted first, which finds all wanted nodes, and told apart among the few rows left.
+        """
+        rows_in = settle(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), "chosenpath-nodes")
+        some = settle(sieve(members, "node", rows_in)[0].distinct(), "chosenpath-some")
+        sizes = some.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        return settle(some.join(sizes, "node"), "chosenpath-members")
 
-    members = shared(classes.select("name", F.explode("paths").alias("node")))
+    members = shared(sketched.select("name", F.explode("paths").alias("node")))
     done = members.where(F.col("size") <= leaf)
     for _ in range(depth - least_depth):
         large = members.where(F.col("size") > leaf)
         if large.isEmpty():
             break
-        members = shared(large.join(classes.select("name", "tokens"), "name").select("node", "name", "tokens").mapInArrow(lean(go_on), "node long, name binary"))
+        deeper = large.join(tokens_of(large), "name").select("node", "name", "tokens").mapInArrow(lean(go_on), "node long, name binary")
+        members = shared(settle(deeper, "chosenpath-deeper"))
         done = done.unionByName(members.where(F.col("size") <= leaf))
     else:
         done = done.unionByName(members.where(F.col("size") > leaf))
@@ -231,7 +242,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85, least_
             yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("n_shingles"), pa.array([v.tobytes() for v in values], pa.binary()), batch.column("leaves")], ["name", "n_shingles", "bytes", "leaves"])
 
     leaves = done.groupBy("name").agg(F.array_sort(F.collect_list("node")).alias("leaves"))  # a few for each tree
-    used = settle(classes.select("name", "n_shingles", "tokens").join(leaves, "name").mapInArrow(lean(narrow), "name binary, n_shingles long, bytes binary, leaves array<long>"), "chosenpath-used")
+    used = tokens_of(leaves).join(classes.select("name", "n_shingles"), "name").join(leaves, "name").select("name", "n_shingles", "tokens", "leaves")
+    used = settle(used.mapInArrow(lean(narrow), "name binary, n_shingles long, bytes binary, leaves array<long>"), "chosenpath-used")
 
     def candidates(table: pa.Table, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Pairs of places in the table that can be links, with the number of equal minwise values."""
