@@ -69,6 +69,32 @@ def fold_table(scores: DataFrame) -> DataFrame:
     return m.unionByName(total)
 
 
+def report(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Metrics of ``scores`` (method, fold, y, score) for each method and fold, and for all folds of a method pooled
+    (fold null), from one pass over the rows.
+
+    Rows are counted by distinct score, once for both groupings; ranks, precision and counts follow from running sums
+    over these. A score above the threshold counts as a yes; rates without a denominator are 0, the area is null if a
+    group's outcomes are all alike.
+    """
+    sets = [[F.col(c) for c in ("method", "fold", "score")], [F.col(c) for c in ("method", "score")]]
+    counts = scores.groupingSets(sets, "method", "fold", "score").agg(F.grouping("fold").alias("pooled"), F.count_if("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    by = ("method", "fold", "pooled")
+    rising = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    falling = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.coalesce(F.sum("n").over(rising), F.lit(0)) + (F.col("n") + 1) / 2
+    precision = F.sum("pos").over(falling) / F.sum("n").over(falling)
+    run = counts.select(*by, "score", "pos", "n", rank.alias("rank"), precision.alias("at"))
+    yes, zero = F.col("score") > threshold, F.lit(0)
+    pick = lambda c, where: F.sum(F.when(where, c).otherwise(zero))
+    per = run.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("pos").alias("p"), F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum(F.col("at") * F.col("pos")).alias("gained"),
+                               pick(F.col("n") - F.col("pos"), ~yes).alias("tn"), pick(F.col("n") - F.col("pos"), yes).alias("fp"), pick(F.col("pos"), ~yes).alias("fn"), pick(F.col("pos"), yes).alias("tp"))
+    p, tp, fp, fn, tn = (F.col(c).cast("double") for c in ("p", "tp", "fp", "fn", "tn"))
+    rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return per.select("method", "fold", "n", F.try_divide(F.col("ranks") - p * (p + 1) / 2, p * (F.col("n") - p)).alias("auc"), F.try_divide(F.col("gained"), p).alias("ap"),
+                      rate(2 * tp, 2 * tp + fp + fn).alias("f1"), rate(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))).alias("mcc"), rate(tp, tp + fp).alias("precision"), rate(tp, tp + fn).alias("recall"), "tn", "fp", "fn", "tp")
+
+
 def rank_panel(long: DataFrame) -> DataFrame:
     """(t0, t1, variable, type, subject_id, rank): ranks of subjects within a window, ties sharing their mean."""
     w = Window.partitionBy("t0", "t1", "variable", "type")

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoset.operators import clusters
+
 
 def with_lengths(states: DataFrame, atoms: DataFrame) -> DataFrame:
     n = atoms.groupBy("state").agg(F.count(F.lit(1)).alias("length"))
@@ -167,34 +169,6 @@ def quick_report(states: DataFrame, atoms: DataFrame) -> DataFrame:
 
 
 def cluster_passes(states: DataFrame, atoms: DataFrame, detectors: DataFrame, most: int = 100) -> dict[str, list[list]]:
-    """Clusters of detectors, of rules and of lists, likeliest first, ``most`` of each.
-
-    ``detectors`` has detector, variable, t0, t1, type, direction. Detectors join by :func:`may_join`; rules are one
-    cluster if their detectors' clusters are the same, or if they are single detectors of opposite direction in what
-    is otherwise one cluster; lists if their rules' clusters are. Items are distinct detectors, rules and lists that
-    were stored, with the shares of states that hold them.
-    """
-    total = max(states.count(), 1)
-    facts = {r["detector"]: r.asDict() for r in detectors.join(atoms.select("detector").distinct(), "detector", "left_semi").collect()}
-    seen = [(r["n"] / total, r["detector"]) for r in atoms.groupBy("detector").agg(F.countDistinct("state").alias("n")).orderBy("n", "detector").collect()]
-    primitives = greedy_clusters(seen, lambda cluster, d: all(may_join(facts[c], facts[d]) for c in cluster))
-    of = {d: i for i, c in enumerate(primitives) for d in c}
-
-    def form(rule: str) -> tuple:
-        return tuple(sorted(of[int(d)] for d in rule.split(",")))
-
-    def opposite(a: str, b: str) -> bool:
-        if "," in a or "," in b:
-            return False
-        x, y = facts[int(a)], facts[int(b)]
-        return x["direction"] != y["direction"] and may_join(x, {**y, "direction": x["direction"]})
-
-    named = atoms.groupBy("state", "rule").agg(F.array_join(F.sort_array(F.collect_list(F.col("detector").cast("string"))), ",").alias("subrule"))
-    subs = [(r["n"] / total, r["subrule"]) for r in named.groupBy("subrule").agg(F.countDistinct("state").alias("n")).orderBy("n", "subrule").collect()]
-    subrule_clusters = greedy_clusters(subs, lambda cluster, x: all(form(c) == form(x) or opposite(c, x) for c in cluster))
-    of_rule = {x: i for i, c in enumerate(subrule_clusters) for x in c}
-    lists = named.groupBy("state").agg(F.array_join(F.sort_array(F.collect_list("subrule")), "/").alias("list"))
-    whole = [(r["n"] / total, r["list"]) for r in lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "list").collect()]
-    shape = lambda text: tuple(sorted(of_rule[x] for x in text.split("/")))
-    list_clusters = greedy_clusters(whole, lambda cluster, x: all(shape(c) == shape(x) for c in cluster))
-    return {"primitives": primitives[:most], "subrules": subrule_clusters[:most], "lists": list_clusters[:most]}
+    """The ``most`` likeliest clusters of detectors, of rules and of lists, from :mod:`chronoset.operators.clusters`."""
+    primitives, subrules, lists = clusters.cluster_run(states, atoms, detectors)
+    return {"primitives": clusters.members(primitives, "detector", most), "subrules": clusters.members(subrules, "subrule", most), "lists": clusters.members(lists, "list", most)}

@@ -166,3 +166,56 @@ def best_placements(placements: DataFrame, paths: DataFrame) -> DataFrame:
 def placement_weights(placements: DataFrame, paths: DataFrame) -> DataFrame:
     """(sequence, node, probability): the likelihood of all placements in a node's subtree."""
     return placements.join(paths, F.col("edge") == F.col("descendant")).groupBy("sequence", F.col("ancestor").alias("node")).agg(F.sum("lwr").alias("probability"))
+
+
+def placement_pruned(placements: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges of the tree cut to the placements' nodes, the root, and common ancestors that branch."""
+    return prune(edges, closure(edges), placements.select(F.col("edge").alias("node")).distinct())
+
+
+def aggregate_by_placements(obs: DataFrame, placements: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(observations, lengths): observations with a row for every node that a variable may descend from, and the
+    weights of variables and nodes.
+
+    ``placements`` has sequence, edge, lwr and pendant. A node's value in a sample is the sum of its variables' values,
+    each times the likelihood that the node is its ancestor: the product of the sparse matrices of observations,
+    placements and closure, of which placements and closure meet first. A node's length is that of its subtree, its own
+    branch and the mean pendant branch of each edge in it, by likelihood, included; a variable's is its mean
+    pendant branch. A variable that is not placed, or a node named as a variable, raises ValueError.
+    """
+    seen = obs.select(F.col("variable").alias("sequence")).distinct()
+    lost = seen.join(placements, "sequence", "left_anti").limit(3).collect()
+    if lost:
+        raise ValueError(f"not placed: {', '.join(str(r[0]) for r in lost)}")
+    placed = settle(placements.join(seen, "sequence", "left_semi"), "placements")
+    cut = settle(placement_pruned(placed, edges), "placement-tree")
+    paths = settle(closure(cut), "placement-paths")
+    weights = settle(placement_weights(placed, paths), "placement-weights")
+    if not weights.join(seen.withColumnRenamed("sequence", "node"), "node", "left_semi").isEmpty():
+        raise ValueError("nodes of the tree are named as variables")
+    values = obs.groupBy("subject_id", "time", "variable").agg(F.sum("value").alias("value"))
+    met = values.join(weights, F.col("variable") == F.col("sequence"))
+    sums = met.groupBy("subject_id", "time", F.col("node").alias("variable")).agg(F.sum(F.col("value") * F.col("probability")).alias("value"))
+    mean_pendant = F.sum(F.col("lwr") * F.col("pendant")) / F.sum("lwr")
+    on_edge = placed.groupBy(F.col("edge").alias("descendant")).agg(mean_pendant.alias("pendant"))
+    own = paths.select("descendant").distinct().join(cut.select(F.col("node").alias("descendant"), "dist"), "descendant", "left").join(on_edge, "descendant", "left")
+    own = own.select("descendant", (F.coalesce("dist", F.lit(0.0)) + F.coalesce("pendant", F.lit(0.0))).alias("own"))
+    lengths = paths.join(own, "descendant").groupBy(F.col("ancestor").alias("variable")).agg(F.sum("own").alias("weight"))
+    lengths = lengths.unionByName(placed.groupBy(F.col("sequence").alias("variable")).agg(mean_pendant.alias("weight")))
+    return obs.select("subject_id", "time", "variable", "value").unionByName(sums), lengths
+
+
+def peaks(obs: DataFrame, clades: DataFrame) -> DataFrame:
+    """(clade, subject_id, peak): the largest share of a sample that the members of ``clades`` (clade, member) make up,
+    over the subject's samples. Samples that sum to 0 have no shares."""
+    sums = obs.join(clades, F.col("variable") == F.col("member")).groupBy("clade", "subject_id", "time").agg(F.sum("value").alias("value"))
+    totals = obs.groupBy("subject_id", "time").agg(F.sum("value").alias("total"))
+    return sums.join(totals, ["subject_id", "time"]).groupBy("clade", "subject_id").agg(F.max(F.try_divide(F.col("value"), F.col("total"))).alias("peak"))
+
+
+def clades_by_peak(obs: DataFrame, clades: DataFrame, least: float, most: float, most_members: int) -> DataFrame:
+    """(clade, n_members, lowest, highest): clades of at most ``most_members`` members whose peak lies between
+    ``least`` and ``most`` in every subject."""
+    sizes = clades.groupBy("clade").agg(F.count(F.lit(1)).alias("n_members")).where(F.col("n_members") <= most_members)
+    found = peaks(obs, clades.join(sizes.select("clade"), "clade", "left_semi")).groupBy("clade").agg(F.min("peak").alias("lowest"), F.max("peak").alias("highest"))
+    return found.where((F.col("lowest") >= least) & (F.col("highest") <= most)).join(sizes, "clade").select("clade", "n_members", "lowest", "highest")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronoset.plans import rule_queries, run_queries, study_queries, tree_queries
+from chronoset.plans import rule_queries, run_queries, study_queries, summary_queries, tree_queries
 
-MODULES = (study_queries, tree_queries, rule_queries, run_queries)
+MODULES = (study_queries, tree_queries, rule_queries, summary_queries, run_queries)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _m in MODULES:
