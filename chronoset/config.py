@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from configparser import ConfigParser
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
+
+from chronoset.functions.model import Hyper
 
 
 @dataclass
@@ -19,6 +21,7 @@ class Description:
 @dataclass
 class Data:
     load_example: str = ""
+    data_type: str = "16s"
     abundance_data: str = ""
     sample_metadata: str = ""
     subject_data: str = ""
@@ -44,7 +47,7 @@ class Preprocessing:
     density_filter_n_samples: int = 0
     density_filter_n_intervals: int = 1
     density_filter_n_consecutive: int = 1
-    subsample_subjects: float | None = None
+    subsample_subjects: int | None = None
     take_relative_abundance: bool = False
     do_internal_normalization: bool = False
     internal_normalization_min_factor: float | None = None
@@ -68,8 +71,26 @@ class Model:
     max_thresholds: int = 20
     max_rules: int = 10
     max_primitives: int = 10
+    hyperparameter_alpha_m: float = Hyper.alpha_m
+    hyperparameter_beta_m: float = Hyper.beta_m
+    hyperparameter_alpha_primitives: float = Hyper.alpha_primitives
+    hyperparameter_beta_primitives: float = Hyper.beta_primitives
+    hyperparameter_a_empty: float = Hyper.a_empty
+    hyperparameter_b_empty: float = Hyper.b_empty
+    window_concentration_typical: float = Hyper.concentration_typical
+    window_concentration_update_ratio: float = Hyper.concentration_ratio
+    window_fraction_proposal_std: float = Hyper.fraction_std
+    delta_l_scale_mean: float = Hyper.mean_scale
+    delta_l_scale_sigma: float = Hyper.std_scale
+    lambda_l_offset: float = Hyper.offset
     pickle_model: bool = False
 
+    def hyper(self) -> Hyper:
+        """The hyperparameters of the model that these settings ask for."""
+        return Hyper(alpha_m=self.hyperparameter_alpha_m, beta_m=self.hyperparameter_beta_m, alpha_primitives=self.hyperparameter_alpha_primitives, beta_primitives=self.hyperparameter_beta_primitives,
+                     a_empty=self.hyperparameter_a_empty, b_empty=self.hyperparameter_b_empty, concentration_typical=self.window_concentration_typical, concentration_ratio=self.window_concentration_update_ratio,
+                     fraction_std=self.window_fraction_proposal_std, mean_scale=self.delta_l_scale_mean, std_scale=self.delta_l_scale_sigma, offset=self.lambda_l_offset, max_rules=self.max_rules, max_primitives=self.max_primitives)
+
 
 @dataclass
 class Sampling:
@@ -131,3 +152,53 @@ def read_config(text: str) -> Config:
                 raise KeyError(f"unknown key {key} in section {name}")
             setattr(section, key, _typed(kinds[key], value))
     return out
+
+
+def read_examples(text: str, folder: str) -> dict[str, tuple[str, Data]]:
+    """(tag, data settings) of each named example bundle; ``$DIR`` stands for the bundle's own folder in ``folder``."""
+    parser = ConfigParser(inline_comment_prefixes=(";",))
+    parser.read_string(text)
+    kinds = {f.name: str(f.type) for f in fields(Data)}
+    out = {}
+    for name in parser.sections():
+        values = {k: v.replace("$DIR", f"{folder.rstrip('/')}/{name}") for k, v in parser[name].items()}
+        tag = values.pop("tag", name)
+        if unknown := sorted(set(values) - set(kinds)):
+            raise KeyError(f"unknown key {unknown[0]} in example {name}")
+        out[name] = (tag, Data(**{k: _typed(kinds[k], v) for k, v in values.items()}))
+    return out
+
+
+def with_example(config: Config, examples: dict[str, tuple[str, Data]]) -> Config:
+    """The settings with what the example that they name says; keys they set themselves stay.
+
+    An example that is not known raises KeyError.
+    """
+    name = config.data.load_example
+    if not name:
+        return config
+    if name not in examples:
+        raise KeyError(f"unknown example {name}")
+    tag, held = examples[name]
+    blank = Data()
+    own = {f.name: v for f in fields(Data) if (v := getattr(config.data, f.name)) != getattr(blank, f.name)}
+    return replace(config, data=replace(held, **own), description=replace(config.description, tag=config.description.tag or tag))
+
+
+def refuse_unsupported(config: Config) -> None:
+    """Settings that would change a run's result but are not acted on raise ValueError, before anything is read."""
+    d, p = config.data, config.preprocessing
+    asked = [k for k in ("additional_subject_covariates", "additional_covariate_default_states", "additional_subject_continuous_covariates") if getattr(d, k)]
+    asked += [s for s in config.other if s in OTHER]
+    if asked:
+        raise ValueError(f"a run does not act on {', '.join(asked)}")
+    if p.take_relative_abundance and p.do_internal_normalization:
+        raise ValueError("relative abundance and internal normalization exclude each other")
+    if p.do_internal_normalization and bool(p.normalization_variables_file) == bool(p.normalize_by_taxon):
+        raise ValueError("internal normalization needs either a file of variables or a taxon")
+    if p.normalize_by_taxon and not d.placement_table:
+        raise ValueError("normalization by taxon needs a placement table")
+    if d.data_type not in ("16s", "metaphlan"):
+        raise ValueError(f"unknown data type {d.data_type}")
+    if d.load_example and not d.abundance_data:
+        raise ValueError(f"example {d.load_example} is not expanded: give its settings to with_example")

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoset.functions.chain import Chain
+from chronoset.functions.model import Hyper
 from chronoset.operators import detectors
 
 STATES = "chain long, iteration long, length long, n_rules long, rules string, log_lik double, log_prior double, mean double, std double, fraction double, concentration double, empty double, beta array<double>"
 
 
-def _chain(pdf: pd.DataFrame, seed: int, prior_only: bool) -> tuple[Chain, pd.DataFrame]:
+def _chain(pdf: pd.DataFrame, seed: int, prior_only: bool, hyper: Hyper = Hyper()) -> tuple[Chain, pd.DataFrame]:
     pdf = pdf.sort_values("detector_id").reset_index(drop=True)
     truths = np.array([np.frombuffer(b.encode(), np.uint8) == 49 for b in pdf["bits"]])
     y = np.frombuffer(pdf["outcome"].iloc[0].encode(), np.uint8) == 49
@@ -24,11 +25,11 @@ def _chain(pdf: pd.DataFrame, seed: int, prior_only: bool) -> tuple[Chain, pd.Da
     logs = np.log(pdf["weight"].to_numpy(float))
     delta = max(float(logs.max() - np.percentile(logs, 2.5)), 1e-3)
     first = int(np.argmin((truths != y).sum(axis=1)))
-    chain = Chain(truths, logs, ((pdf["t1"] - pdf["t0"]) / span).to_numpy(float), inverse, y.astype(float), [[first]], np.random.default_rng(seed), delta, float(np.median(logs)), prior_only=prior_only)
+    chain = Chain(truths, logs, ((pdf["t1"] - pdf["t0"]) / span).to_numpy(float), inverse, y.astype(float), [[first]], np.random.default_rng(seed), delta, float(np.median(logs)), hyper, prior_only)
     return chain, pdf
 
 
-def run_chains(population: DataFrame, outcome_bits: str, *, chains: int = 4, iterations: int = 100, seed: int = 1, draws: int = 10, prior_only: bool = False) -> DataFrame:
+def run_chains(population: DataFrame, outcome_bits: str, *, chains: int = 4, iterations: int = 100, seed: int = 1, draws: int = 10, prior_only: bool = False, hyper: Hyper = Hyper()) -> DataFrame:
     """States of independent chains over ``population`` (detector_id, key, threshold, direction, bits, weight).
 
     ``outcome_bits`` are the outcomes in subject order, one bit for each subject. Each chain is one group whose size
@@ -38,7 +39,7 @@ def run_chains(population: DataFrame, outcome_bits: str, *, chains: int = 4, ite
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(pdf["chain"].iloc[0])
-        chain, _ = _chain(pdf, seed + number, prior_only)
+        chain, _ = _chain(pdf, seed + number, prior_only, hyper)
         rows = []
         for it in range(iterations):
             chain.step(draws)

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoset.config import Config
-from chronoset.operators import detectors, filters, sampling, transforms, tree
+from chronoset.config import Config, refuse_unsupported
+from chronoset.operators import detectors, filters, reports, sampling, subsample, transforms, tree
 from chronoset.operators import windows as W
 from chronoset.sources import readers
+from chronoset.sources.scratch import settle
+from chronoset.sources.studies import names_of
 
 
-def preprocess(obs: DataFrame, samples: DataFrame, subjects: DataFrame, config: Config, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, float, float]:
+def preprocess(obs: DataFrame, samples: DataFrame, subjects: DataFrame, config: Config, edges: DataFrame | None = None, normalizers: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, float, float]:
     """The filter chain; its order is fixed, whatever the order of settings. Returns (obs, samples, subjects, start, end).
 
-    ``edges`` (node, parent, dist) is the tree of variables, on which observations are added up if that is asked for.
+    ``edges`` (node, parent, dist) is the tree of variables, on which observations are added up if that is asked for;
+    ``normalizers`` (variable) are the variables of internal normalization.
     """
+    refuse_unsupported(config)
     p = config.preprocessing
     if p.min_overall_abundance:
         obs = filters.select_variables(obs, filters.high_overall_abundance(obs, p.min_overall_abundance))
@@ -31,14 +37,27 @@ def preprocess(obs: DataFrame, samples: DataFrame, subjects: DataFrame, config:
     if p.density_filter_n_samples:
         subjects = filters.select_subjects(subjects, filters.dense_subjects(subjects, samples, start, end, p.density_filter_n_intervals, p.density_filter_n_samples, p.density_filter_n_consecutive))
         obs, samples = filters.select_subjects(obs, subjects), filters.select_subjects(samples, subjects)
+    if p.subsample_subjects is not None:
+        there = subjects.count()
+        if p.subsample_subjects > there:
+            raise ValueError(f"{p.subsample_subjects} subjects are asked for, there are {there}")
+        subjects = subsample.draw_subjects(subjects, p.subsample_subjects / max(there, 1), config.sampling.seed)
+        obs, samples = filters.select_subjects(obs, subjects), filters.select_subjects(samples, subjects)
     if p.take_relative_abundance:
         obs = transforms.relative_abundance(obs)
+    if p.do_internal_normalization:
+        if normalizers is None:
+            raise ValueError("internal normalization needs variables")
+        floor = 1e-6 if p.internal_normalization_min_factor is None else p.internal_normalization_min_factor
+        obs = transforms.internal_normalization(obs, tuple(names_of(normalizers, "variable")), floor)
     paths = None
+    if edges is not None:
+        paths = settle(tree.closure(edges), "tree")
     if p.aggregate_on_phylogeny:
-        if edges is None:
+        if paths is None:
             raise ValueError("aggregation needs a tree")
-        paths = tree.closure(edges)
-        obs = tree.aggregate(obs, edges, paths)
+        if config.data.data_type != "metaphlan":  # whose tables hold the sums of clades already
+            obs = tree.aggregate(obs, edges, paths)
     if p.log_transform:
         obs = transforms.log_transform(obs)
     if p.temporal_abundance_threshold is not None:
@@ -47,20 +66,36 @@ def preprocess(obs: DataFrame, samples: DataFrame, subjects: DataFrame, config:
     if p.discard_surplus_internal_nodes and paths is not None:
         present = obs.select(F.col("variable").alias("node")).distinct()
         obs = obs.join(tree.surplus_nodes(edges, paths, present).select(F.col("node").alias("variable")), "variable", "left_anti")
+    if p.randomize_labels:
+        subjects = transforms.shuffled_labels(subjects, config.sampling.seed)
     if obs.isEmpty() or subjects.isEmpty():
         raise ValueError("all variables or all subjects were dropped")
     return obs, samples, subjects, float(start), float(end)
 
 
-def mine(obs: DataFrame, samples: DataFrame, subjects: DataFrame, start: float, end: float, config: Config) -> DataFrame:
-    """The numbered detector population."""
+def normalizers(spark: SparkSession, config: Config) -> DataFrame | None:
+    """(variable) of internal normalization: those of a file, or those that a placement table puts in a taxon."""
+    d, p = config.data, config.preprocessing
+    if not p.do_internal_normalization:
+        return None
+    if p.normalization_variables_file:
+        return readers.variable_list(spark, p.normalization_variables_file)
+    names = readers.fasta(spark, d.sequence_key) if d.sequence_key else None
+    found = readers.variables_of_taxon(readers.placement_table(spark, d.placement_table, names), p.normalize_by_taxon).select("variable")
+    if found.isEmpty():
+        raise ValueError(f"no variables in taxon {p.normalize_by_taxon}")
+    return found
+
+
+def mine(obs: DataFrame, samples: DataFrame, subjects: DataFrame, start: float, end: float, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(values, detectors): detector values of subjects, and the numbered detector population."""
     m = config.model
     good = W.valid_windows(subjects, samples, W.windows_of(start, end, m.n_intervals, m.t_min, m.t_max)).collect()
     if not good:
         raise ValueError("no window holds samples of all subjects")
     wide = detectors.values(obs, [(r["t0"], r["t1"]) for r in good])
-    long = detectors.long_values(wide, [(r["t0"], r["t1"]) for r in good if r["slope_ok"]])
-    return detectors.ordered(detectors.population(long, detectors.clustered_thresholds(long, m.max_thresholds)))
+    long = settle(detectors.long_values(wide, [(r["t0"], r["t1"]) for r in good if r["slope_ok"]]), "detector-values")
+    return long, detectors.ordered(detectors.population(long, detectors.clustered_thresholds(long, m.max_thresholds)))
 
 
 def placed_tree(spark: SparkSession, path: str, obs: DataFrame) -> DataFrame:
@@ -83,16 +118,66 @@ def weights(variables: DataFrame, edges: DataFrame | None) -> DataFrame:
     return variables.join(lengths, "variable", "left").select("variable", F.coalesce("weight", F.lit(1.0)).alias("weight"))
 
 
-def run(spark: SparkSession, config: Config) -> DataFrame:
-    """Chain states for the files that the settings name."""
+@dataclass(frozen=True)
+class Run:
+    """What a run has made: the study it kept, detector values, numbered detectors with weights, and chain states."""
+
+    subjects: DataFrame
+    samples: DataFrame
+    observations: DataFrame
+    edges: DataFrame | None
+    start: float
+    end: float
+    values: DataFrame
+    detectors: DataFrame
+    states: DataFrame
+
+
+def loaded(spark: SparkSession, config: Config) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(subjects, samples, observations, edges) of the files that the settings name."""
     d = config.data
-    abundance = readers.abundances(spark, d.abundance_data)
-    if d.sequence_key:
+    metaphlan = d.data_type == "metaphlan"
+    abundance = readers.clade_table(spark, d.abundance_data) if metaphlan else readers.abundances(spark, d.abundance_data)
+    if d.sequence_key and not metaphlan:
         abundance = readers.renamed(abundance, readers.fasta(spark, d.sequence_key))
     subjects, samples, obs = readers.combine(abundance, readers.sample_metadata(spark, d.sample_metadata), readers.subjects(spark, d.subject_data), d.outcome_variable, d.outcome_positive_value)
-    edges = placed_tree(spark, d.jplace_file, obs) if d.jplace_file and config.preprocessing.aggregate_on_phylogeny else None
-    obs, samples, subjects, start, end = preprocess(obs, samples, subjects, config, edges)
-    found = mine(obs, samples, subjects, start, end, config)
-    found = found.join(weights(found.select("variable").distinct(), edges), "variable")
+    edges = None
+    if metaphlan:
+        edges = readers.clade_edges(abundance)
+    elif d.jplace_file and config.preprocessing.aggregate_on_phylogeny:
+        edges = placed_tree(spark, d.jplace_file, obs)
+    return subjects, samples, obs, edges
+
+
+def execute(spark: SparkSession, config: Config) -> Run:
+    """Load, filter, mine and sample as the settings say; settings that a run cannot act on raise ValueError first."""
+    refuse_unsupported(config)
+    subjects, samples, obs, edges = loaded(spark, config)
+    edges = None if edges is None else settle(edges, "variable-tree")
+    obs, samples, subjects, start, end = preprocess(obs, samples, subjects, config, edges, normalizers(spark, config))
+    obs, subjects = settle(obs, "observations"), settle(subjects, "subjects")
+    long, found = mine(obs, samples, subjects, start, end, config)
+    found = settle(found.join(weights(found.select("variable").distinct(), edges), "variable"), "detectors")
     s = config.sampling
-    return sampling.run_chains(found, sampling.outcome_bits(subjects), chains=s.chains, iterations=s.total_samples, seed=s.seed)
+    states = sampling.run_chains(found, sampling.outcome_bits(subjects), chains=s.chains, iterations=s.total_samples, seed=s.seed, hyper=config.model.hyper())
+    return Run(subjects, samples, obs, edges, start, end, long, found, settle(states, "chain-states"))
+
+
+def run(spark: SparkSession, config: Config) -> DataFrame:
+    """Chain states for the files that the settings name."""
+    return execute(spark, config).states
+
+
+def summaries(made: Run, config: Config) -> dict[str, str]:
+    """The texts that the settings ask for: quick, full and bayes."""
+    p, m = config.postprocessing, config.model
+    out = {}
+    if not (p.quick_summary or p.full_summary):
+        return out
+    stored = reports.Stored.of(made.states, p.burnin_fraction, made.detectors, made.values, made.subjects)
+    out["quick"] = reports.quick(stored, m.hyper())
+    if p.full_summary:
+        out["full"] = out["quick"] + "\n" + reports.cluster_table(stored)
+        if p.bayes_factor_samples:
+            out["bayes"] = reports.bayes(stored, m.hyper(), made.end - made.start, p.bayes_factor_samples, config.sampling.seed)
+    return out

@@ -35,3 +35,9 @@ def rule_text(rules: list[dict]) -> str:
         verb = "increases" if r["median"] > 0 else "decreases"
         out.append(f"Rule {i}: if {' and '.join(r['atoms'])}, log-odds {verb} by {abs(r['median']):.3g} ({r['low']:.3g} to {r['high']:.3g}); {r['covered']} subjects, {r['positive']} of them positive")
     return "\n".join(out) or "(no rules)"
+
+
+def write_texts(spark, texts: dict[str, str], path: str) -> None:
+    """Each text as a folder of one text file, wherever Spark can write."""
+    for name, text in texts.items():
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
