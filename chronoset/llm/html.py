@@ -18,22 +18,81 @@ from chronoset.llm.common import settle
 
 # Kinds of elements.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "xmp", "noembed", "noframes")
-DROPPED = frozenset((*RAW, "head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "fieldset", "dialog", "menu", "canvas", "object", "audio", "video", "map"))
+INLINE = frozenset((*RAW, "button", "select", "option", "optgroup", "datalist", "input", "label", "legend", "canvas", "object", "audio", "video", "map"))
+DROPPED = INLINE | {"head", "nav", "footer", "aside", "dialog", "menu"}
 CONTAINERS = frozenset(("article", "main", "section", "div", "td", "body", "blockquote", "center", "li"))
-BLOCKS = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote", "table", "thead", "tbody", "tr", "td", "th", "figure", "figcaption", "address", "hr", "details", "summary", "caption", "header", "hgroup", "html")) | CONTAINERS
+BLOCKS = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote", "table", "thead", "tbody", "tr", "td", "th", "figure", "figcaption", "address", "hr", "details", "summary", "caption", "header", "hgroup", "html", "form", "fieldset")) | CONTAINERS
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "caption"} | {"form", "nav", "footer", "aside", "fieldset", "menu", "main"}
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|menu\w*|nav\w*|breadcrumbs?|header|masthead|footer|"
-    r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|"
-    r"comments?|replies|reply|disqus|respond|discussion|widget\w*|toolbar|pagination|pager|skip|hidden|copyright)(?:$|[\s_-]|\d)", re.I)
+#: Elements that a class or id can drop; headings, paragraphs and what stands in them never are.
+NAMED = CONTAINERS - {"body", "article", "main", "td", "center"} | {"ul", "ol", "dl", "table", "header", "figure", "span", "details"}
+#: Words of class and id tokens that drop an element wherever they stand.
+ALWAYS = re.compile(r"^(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|sidebar|menus?|navbar|navigation|breadcrumbs?|masthead|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|signup|sharing|disqus|pagination|pager)$")
+#: Words that drop an element if the token says nothing else but where and how.
+ALONE = re.compile(r"^(?:nav|banner|headers?|footers?|notices?|alerts?|overlay|login|share|social|related|recommend\w*|comments?|replies|reply|respond|widgets?|toolbar|skip|hidden|copyright)$")
+PLAIN = re.compile(r"^(?:site|page|main|global|top|bottom|left|right|section|area|list|wrapper|wrap|container|box|block|bar|inner|outer|thread|form|posts?|articles?|stories|links?|items?|content|buttons?|icons?|media|tools?|text|link|info|the|in|of|js|m|l|r)$")
+_words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"))
 WANTED = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body|text|page)(?:$|[\s_-]|\d)", re.I)
 
 #: Steps of a path that are spelled out.
 MOST_STEPS = 50
-_tag = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_open = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_unquoted = re.compile(r"[^>\"']*")
+#: Characters outside labels and controls from which on a form is taken for a page's frame, not for a form to fill in.
+FRAME_CHARS = 300
+
+
+class Scanner:
+    """Tags of a page from left to right. Each character is looked at a bounded number of times, however broken the page."""
+
+    def __init__(self, html: str):
+        self.html, self.size = html, len(html)
+        self.last = html.rfind(">")
+        self.last_quote = {q: html.rfind(q) for q in "\"'"}
+        self.quoted = True
+
+    def _end(self, at: int) -> int:
+        """The place of the > that ends the tag whose names end at ``at``; quotes hide it until one turns out to be open."""
+        html = self.html
+        while self.quoted:
+            at_ = _unquoted.match(html, at).end()
+            if at_ >= self.size:
+                self.quoted = False  # a quote was open: from here on quotes hide nothing
+                break
+            if html[at_] == ">":
+                return at_
+            close = html.find(html[at_], at_ + 1) if at_ < self.last_quote[html[at_]] else at_
+            at = close + 1
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str, bool]:
+        """(start, end, is an end tag, name, attributes, closes itself) of the next tag; the name is empty for comments
+        and the like, and for the end of the page, where start is its size. A tag that nothing ends is cut off."""
+        html = self.html
+        while True:
+            start = html.find("<", at)
+            if start < 0:
+                return self.size, self.size, False, "", "", False
+            follows = html[start + 1 : start + 2]
+            if follows in ("!", "?"):
+                if html.startswith("<!--", start):
+                    end = html.find("-->", start + 4)
+                    return start, end + 3 if end >= 0 else self.size, False, "", "", False
+                return start, html.find(">", start) + 1 if start < self.last else self.size, False, "", "", False
+            m = _open.match(html, start)
+            if not m:
+                at = start + 1
+                continue
+            if start > self.last:
+                return start, self.size, False, "", "", False
+            end = self._end(m.end())
+            if end < 0:
+                end = html.find(">", m.end())
+            return start, end + 1, bool(m[1]), m[2].lower(), html[m.end() : end], html[end - 1] == "/"
+
+
 _attr = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _digits = re.compile(r"\d+")
 
@@ -71,7 +130,15 @@ def _unwanted(tag: str, attrs: dict[str, str]) -> bool:
         return True
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    return tag not in ("body", "html", "article", "main") and bool(UNWANTED.search(attrs.get("class", "")) or UNWANTED.search(attrs.get("id", "")))
+    return tag in NAMED and any(_speaks_against(t) for c in ("class", "id") for t in attrs.get(c, "").split())
+
+
+def _speaks_against(token: str) -> bool:
+    """Whether a class or id says that its element is no part of an article."""
+    words = [w.lower() for w in _words.findall(token)]
+    if any(ALWAYS.match(w) for w in words):
+        return True
+    return any(ALONE.match(w) for w in words) and all(ALONE.match(w) or PLAIN.match(w) for w in words)
 
 
 @lru_cache(20_000)
@@ -91,8 +158,12 @@ class Page:
     def __init__(self, html: str):
         self.nodes = [Node("html", "html", _path(0, "html"), -1)]
         self.order = 0
-        stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # (tag, container, dropped from here)
+        # of each open element: tag, container, dropped from here, place of the paragraph that a block would end, the
+        # nearest heading, container, header or paragraph, and the form it lies in
+        stack: list[tuple[str, int, bool, int, str, int]] = [("html", 0, False, -1, "html", -1)]
         open_ = Counter()  # of the tags above the first
+        found: list[tuple[int, str, int, str, bool, int]] = []
+        forms: list[int] = []  # characters in paragraphs and the like of each form
         text: list[str] = []
         links = 0
         in_link = 0
@@ -102,7 +173,10 @@ class Page:
             if text:
                 joined = " ".join(unescape("".join(text)).split())
                 if joined:
-                    self._add(stack[-1][1], stack, joined, links, open_["header"] > 0 and not any(open_[h] > 0 for h in HEADINGS))
+                    _, node, _, _, within, form = stack[-1]
+                    found.append((node, joined, links, within, open_["header"] > 0 and not any(open_[h] > 0 for h in HEADINGS), form))
+                    if form >= 0:
+                        forms[form] += len(joined) - min(links, len(joined))
                 text.clear()
             links = 0
 
@@ -114,21 +188,17 @@ class Page:
         def foreign_header(name: str) -> bool:
             return name == "header" and not open_["article"] and not open_["main"]
 
-        at, size = 0, len(html)
+        at, size, scanner = 0, len(html), Scanner(html)
         while at < size:
-            m = _tag.search(html, at)
-            upto = m.start() if m else size
-            if upto > at and not stack[-1][2]:
-                piece = html[at:upto]
+            start, after, is_end, name, raw, alone = scanner.next(at)
+            if start > at and not stack[-1][2]:
+                piece = html[at:start]
                 text.append(piece)
                 links += len(piece) if in_link else 0
-            if not m:
-                break
-            at = m.end()
-            name = (m[2] or "").lower()
+            at = after
             if not name:
                 continue
-            if m[1]:  # an end tag
+            if is_end:
                 if name == "a":
                     in_link = max(0, in_link - 1)
                 if open_[name] > 0:
@@ -138,7 +208,6 @@ class Page:
                 elif name in BLOCKS and not stack[-1][2]:
                     flush()
                 continue
-            raw = m[3]
             if raw and not _telling.search(raw):
                 raw = ""
             unwanted, step, bonus = _facts(name, raw)
@@ -152,35 +221,37 @@ class Page:
             if name == "a":
                 in_link += 1
             dropped = stack[-1][2] or unwanted or foreign_header(name)
-            if not stack[-1][2] and (name in BLOCKS or dropped):
+            if not stack[-1][2] and (name in BLOCKS or dropped and name not in INLINE):
                 flush()
-            if name in CLOSES_P:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == "p":
-                        in_link = 0
-                        open_.subtract(t for t, _, _ in stack[depth:])
-                        del stack[depth:]
-                        dropped = stack[-1][2] or unwanted or foreign_header(name)
-                        break
-                    if stack[depth][0] in CONTAINERS:
-                        break
-            if name in RAW and not m[0].endswith("/>"):
+            if name in CLOSES_P and (depth := stack[-1][3]) > 0:
+                in_link = 0
+                open_.subtract(entry[0] for entry in stack[depth:])
+                del stack[depth:]
+                dropped = stack[-1][2] or unwanted or foreign_header(name)
+            if name in RAW and not alone:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
                 at = end.end() if end else size
                 continue
-            if m[0].endswith("/>") and name not in BLOCKS:
+            if alone and name not in BLOCKS:
                 continue
-            inside = stack[-1][1]
+            _, inside, _, paragraph, within, form = stack[-1]
+            if name == "form" and form < 0:
+                form = len(forms)
+                forms.append(0)
             if not dropped and name in CONTAINERS:
                 self.nodes.append(Node(name, step, _path(self.nodes[inside].path, step), inside, score=bonus))
                 inside = len(self.nodes) - 1
-            stack.append((name, inside, dropped))
+            paragraph = len(stack) if name == "p" else -1 if name in CONTAINERS else paragraph
+            within = name if name in HEADINGS or name in CONTAINERS or name in ("header", "p") else within
+            stack.append((name, inside, dropped, paragraph, within, form))
             open_[name] += 1
         if not stack[-1][2]:
             flush()
+        for node, joined, in_links, within, in_header, form in found:
+            if form < 0 or forms[form] >= FRAME_CHARS:
+                self._add(node, joined, in_links, within, in_header)
 
-    def _add(self, node: int, stack: list, joined: str, links: int, in_header: bool) -> None:
-        within = next((t for t, _, _ in reversed(stack) if t in HEADINGS or t in CONTAINERS or t in ("header", "p")), "")
+    def _add(self, node: int, joined: str, links: int, within: str, in_header: bool) -> None:
         if in_header:
             return  # of an article's own header only headings belong to the text
         self.nodes[node].blocks.append((self.order, joined))

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -51,6 +52,32 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("page", ["<a " * 100_000, '<a "x>" ' * 60_000, "<!x " * 100_000, "<b>" * 50_000 + "<h1></h1>" * 30_000, "<p><td>" + "<b>" * 40_000 + "<h1>x</h1>" * 20_000, "<script " * 50_000, "<div>" * 60_000 + "x"])
+def test_broken_pages_take_linear_time(page):
+    began = time.time()
+    html.Page(page).votes()
+    assert time.time() - began < 3
+
+
+def text_of(page):
+    held = html.Page(page)
+    best = held.best()
+    return held.text_of(best) if best is not None else ""
+
+
+def test_words_do_not_drop_parts_of_an_article():
+    page = ("<body><article><h1>Title</h1><p>Introduction of the matter, of some length.</p><section id='discussion'><p>What it means.</p></section><h2 id='comments'>Remarks</h2>"
+            "<p>More.</p><div class='related-work'><p>Others.</p></div><div class='related-posts'>x</div><div class='ad'>Buy</div><section class='comments'><p>First!</p></section><div id='comment-list'>No</div></article></body>")
+    assert text_of(page) == "Title\nIntroduction of the matter, of some length.\nWhat it means.\nRemarks\nMore.\nOthers."
+
+
+def test_page_in_a_form_and_inline_elements():
+    body = "<div class='content'><h1>H</h1><p>" + "word " * 100 + "</p></div>"
+    assert text_of(f"<body><form action='x'><input type='hidden'>{body}<label>Search</label><select><option>A</option></select></form></body>") == "H\n" + " ".join(["word"] * 100)
+    assert text_of("<body><div><p>A<script>x</script>B <button>Go</button>C</p><form><p>Sign here</p><input></form></div></body>") == "AB C"
+    assert text_of("<div><p>1 < 2 and 3 > 2</p><p title='a > b'>c</p></div><p") == "1 < 2 and 3 > 2\nc"
+
+
 def test_host_winner_decides(spark):
     long = "<p>" + "plenty of words here " * 8 + "</p>"
     many = [(i, "http://h.org/", f"<body><div class='story'>{long}</div><div class='box'><p>short</p></div></body>") for i in range(5)]
