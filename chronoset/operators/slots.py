@@ -45,7 +45,7 @@ def slot_priors(detectors: DataFrame, draws: DataFrame, total: float, *, epsilon
     met = dealt.join(packs, "pack").select("pair", "weight", "duration", "n", F.explode("draws").alias("h"))
     d = F.col("duration") / ((1.0 + epsilon) * total)
     a, b = F.col("h.concentration") * F.col("h.fraction"), F.col("h.concentration") * (1 - F.col("h.fraction"))
-    z = (F.ln("weight") - F.col("h.mean")) / F.col("h.std")
+    z = F.try_divide(F.ln("weight") - F.col("h.mean"), F.col("h.std"))
     raw = met.select("pair", "n", F.col("h.draw").alias("draw"), ((a - 1) * F.ln(d) + (b - 1) * F.ln(1 - d) - z * z / 2).alias("raw"))
     raw = settle(raw, "slot-raw")
     tops = raw.groupBy("draw").agg(F.max("raw").alias("top"))
