@@ -55,6 +55,9 @@ def from_placements(assigned: DataFrame, node_labels: DataFrame) -> DataFrame:
     return rows.select(F.col("sequence").alias("variable"), F.concat(F.lit("OTU mapped to "), F.coalesce("parent_label", "node")).alias("label"))
 
 
-def hybrid(table_labels: DataFrame, tree_labels: DataFrame) -> DataFrame:
-    """The table's label where there is one that names a species, else the tree's."""
-    return tree_labels.join(table_labels.select("variable", F.col("label").alias("own")), "variable", "left").select("variable", F.coalesce("own", "label").alias("label"))
+def hybrid(placement: DataFrame, assigned: DataFrame, node_labels: DataFrame, ranks: tuple[str, ...] = RANKS) -> DataFrame:
+    """(variable, label): inner nodes by ``node_labels`` (node, label); leaves by ``placement`` (leaf, ranks) if it names
+    their species, else by the node they are ``assigned`` to (sequence, node)."""
+    species = placement.where(F.col(ranks[-1]).isNotNull()).select(F.col("leaf").alias("variable"), finest(ranks).alias("own"))
+    leaves = from_placements(assigned, node_labels).join(species, "variable", "left").select("variable", F.coalesce("own", "label").alias("label"))
+    return leaves.unionByName(node_labels.select(F.col("node").alias("variable"), "label"))

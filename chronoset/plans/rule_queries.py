@@ -411,6 +411,14 @@ def bayes_factor_top_betas(spark, sf_dir):
     return top.select("detector", "bayes_factor", "n_states", "beta_median")
 
 
+@query("bayes_factor_top_ranges", f"WITH b AS ({_bayes('variable')}), {_STATES.split('WITH ')[-1]}, t AS (SELECT variable, count(DISTINCT state)::BIGINT AS n_states, median(beta) AS beta_median, quantile_cont(beta, 0.025) AS lo, quantile_cont(beta, 0.975) AS hi FROM atom GROUP BY 1) SELECT b.variable, bayes_factor, coalesce(n_states, 0)::BIGINT AS n_states, beta_median, round(lo, 6) AS beta_low, round(hi, 6) AS beta_high FROM (SELECT * FROM b ORDER BY bayes_factor DESC, variable DESC LIMIT 10) b LEFT JOIN t USING (variable)")
+def bayes_factor_top_ranges(spark, sf_dir):
+    """The ten variables with the largest Bayes factors, with the 95 % ranges of their coefficients."""
+    st, atoms = states(spark, sf_dir)
+    top = posterior.best_by_factor(_factors(spark, sf_dir, "variable"), "variable", posterior.tabulate(st, atoms, "variable"), 10)
+    return top.select("variable", "bayes_factor", "n_states", "beta_median", F.round("beta_low", 6).alias("beta_low"), F.round("beta_high", 6).alias("beta_high"))
+
+
 @query("grid_cells", f"""WITH {TREE}, d AS (SELECT l_orderkey * 10 + l_linenumber AS detector, s_name AS ancestor, l_quantity::DOUBLE AS t0, (l_quantity + l_partkey % 20)::DOUBLE AS t1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 m AS (SELECT i AS n, i * 10 + 5.0 AS mid FROM range(6) r(i))
 SELECT leaf || '' AS leaf, n::BIGINT AS n, count(*)::BIGINT AS n_detectors FROM (SELECT detector, n, descendant AS leaf FROM d JOIN m ON mid BETWEEN t0 AND t1 JOIN paths USING (ancestor) WHERE descendant IN (SELECT node FROM leaf)) GROUP BY ALL""")

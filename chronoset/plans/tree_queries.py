@@ -226,3 +226,23 @@ def annotate_from_table(spark, sf_dir):
     k = F.col("s_suppkey")
     t = t.select(F.col("s_name").alias("leaf"), F.when(k % 5 > 0, F.col("n_name")).alias("genus"), F.when(k % 5 > 1, F.concat(F.lit("K"), (k % 2).cast("string"))).alias("species"))
     return taxonomy.from_table(t, closed(spark, sf_dir)[1], ("genus", "species"))
+
+
+_NODES = """per AS (SELECT ancestor AS node, count(DISTINCT r_name) AS na, min(r_name) AS a, count(DISTINCT n_name) AS nb, min(n_name) AS b FROM paths JOIN supplier ON descendant = s_name JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE depth > 0 GROUP BY 1),
+named AS (SELECT node, concat_ws(' ', CASE WHEN na = 1 THEN a END, CASE WHEN na = 1 AND nb = 1 THEN b END) AS label FROM per)"""
+
+
+@query("annotate_hybrid", f"""WITH {TREE}, {_TABLE}, {_NODES}
+SELECT s_name AS variable, coalesce(CASE WHEN tab.species IS NOT NULL THEN coalesce(genus || ' ' || species, species) END, 'OTU mapped to ' || named.label) AS label
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN named ON named.node = n_name LEFT JOIN tab ON tab.leaf = s_name
+UNION ALL SELECT node, label FROM named""")
+def annotate_hybrid(spark, sf_dir):
+    """Suppliers named by the table where it knows their species, else by their nation; other nodes by their leaves."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    t = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("s_suppkey")
+    own = t.select(F.col("s_name").alias("leaf"), F.when(k % 5 > 0, F.col("n_name")).alias("genus"), F.when(k % 5 > 1, F.concat(F.lit("K"), (k % 2).cast("string"))).alias("species"))
+    ranks = t.select(F.col("s_name").alias("leaf"), F.col("r_name").alias("family"), F.col("n_name").alias("genus"))
+    nodes = tree.consensus(closed(spark, sf_dir)[1].where(F.col("depth") > 0), ranks, ("family", "genus"))
+    assigned = t.select(F.col("s_name").alias("sequence"), F.col("n_name").alias("node"))
+    return taxonomy.hybrid(own, assigned, nodes.select("node", "label"), ("genus", "species"))
