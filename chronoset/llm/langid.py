@@ -169,7 +169,8 @@ def fit_rows(x: np.ndarray, kept: list[str], factor: float = 100.0, times: float
 
 
 def train(docs: DataFrame, usable: Column | None = None, *, bound: int = 3000, size: int = 1 << 12, chars: int = 250_000) -> LanguageModel:
-    """Fit on at most about ``bound`` labelled documents with a letter, drawn for each language alike by a hash of text.
+    """Fit on at most about ``bound`` labelled documents with a letter, drawn for each language alike by a hash of text;
+    copies of a text are one of them.
 
     Tasks turn whole texts into ``size`` shares each, and only those go to the driver; a text beyond ``chars``
     characters is counted in portions.
@@ -181,7 +182,7 @@ def train(docs: DataFrame, usable: Column | None = None, *, bound: int = 3000, s
     if not n:
         return fit([], [], size=size)
     part = F.shiftrightunsigned(F.xxhash64("text", "lang", F.lit(11)), 11) / F.lit(float(1 << 53))
-    drawn = rows.select("text", "lang").join(counts, "lang").where(part * F.col("__n") < F.lit(bound / n)).select("text", "lang")
+    drawn = rows.select("text", "lang").join(counts, "lang").where(part * F.col("__n") < F.lit(bound / n)).select("text", "lang").dropDuplicates()  # copies of a text share its hash
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

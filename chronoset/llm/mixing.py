@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoset.llm.common import row_key, settle
+from chronoset.operators.ordering import running_sum
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,9 +56,9 @@ def mix(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, repeats: int
 
     Returns doc_id, row (a key of doc_id and text), source, size, source_size, target, taken, copies, finish: one row per input row.
 
-    Running sums never hold a source or the corpus in one task: each source is cut into buckets of about
-    ``bucket_rows`` rows by shuffle key, sums of buckets give the offsets, and the global order is cut at the one
-    bucket of finish times where the budget runs out.
+    Running sums never hold a source or the corpus in one task, nor the rows of one id or without one: sources are cut
+    into ranges of the shuffle key and of rows that share it, sums of ranges give the offsets, and the global order is
+    cut at the one slice of finish times, of about ``bucket_rows`` rows, where the budget runs out.
 
     Null text counts 0 words; a null source is a source of its own and comes last; null or repeated doc_ids follow
     each other in the order of their texts' digests, and rows that are equal in all this in any order, each with its
@@ -71,15 +72,8 @@ def mix(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, repeats: int
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = settle(source_targets(sizes, weights=weights, share=share, repeats=repeats), "mix-targets")
     t = targets.withColumnRenamed("source", "of_source")
-    unit = F.conv(F.substring("k", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-    rows = base.join(t, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
-    rows = rows.withColumn("b", F.floor(unit * F.ceil(F.col("n") / bucket_rows)).cast("int"))
-    # per source and bucket: the words of all earlier buckets
-    ahead = Window.partitionBy("pos").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("pos", "b").agg(F.sum("size").alias("words")).select("pos", "b", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("pos", "b").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("inner", F.sum("size").over(within)).join(offsets, ["pos", "b"])
-    rows = rows.withColumn("cum", F.col("inner") + F.col("offset"))
+    rows = base.join(t, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source").withColumn("nth", F.monotonically_increasing_id())
+    rows = running_sum(rows, F.col("size"), ("pos",), "k", "nth", name="cum")
     rows = rows.withColumn("finish", F.when(F.col("target") > 0, F.col("cum").cast("double") / F.col("target")).otherwise(F.lit(0.0)))
     rows = settle(rows.select("doc_id", "row", "source", "size", "source_size", "target", "n", "pos", "cum", "finish"), "mix-queue")
 

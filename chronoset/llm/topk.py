@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoset.llm.common import settle
+from chronoset.llm.vectors import exact_products, key_of_score, long_score, matrix, spread, usable, whole_numbers
 
 #: Shares of each list that are read one after the other.
 DEPTHS = (1 / 64, 1 / 24, 1 / 8)
@@ -16,11 +17,22 @@ HOPELESS = 0.5
 
 
 def _kind(q: np.ndarray, x: np.ndarray):
-    """A number type in which every inner product of the two blocks is exact."""
+    """A number type in which every inner product of the two blocks is exact; they fit in 64 bits."""
     top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1)
     return np.float32 if top < 2**23 else np.float64 if top < 2**52 else np.int64
 
 
+def huge_block(q: np.ndarray, own: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, top: float) -> tuple[list[int], list[int], list[int]]:
+    """(query rows, rows of x, scores) of the ``k`` best where scores leave 64 bits: the whole product, in Python's integers."""
+    rows, cols, scores = [], [], []
+    for r, every in enumerate(exact_products(q, x, top)):
+        best = sorted((c for c in range(len(x)) if c != own[r]), key=lambda c: (-every[c], x_ids[c]))[:k]
+        rows += [r] * len(best)
+        cols += best
+        scores += [int(every[c]) for c in best]
+    return rows, cols, scores
+
+
 def nra_block(q: np.ndarray, own: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, depths=DEPTHS):
     """Top ``k`` rows of ``x`` for every row of ``q``: arrays (query row, row of x, score), ties to smaller ids, and
     the number of list entries read.
@@ -99,15 +111,6 @@ def nra_block(q: np.ndarray, own: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
     return rows[keep], cols[keep], scores[keep], read
 
 
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    if all(len(v) == width for v in column):
-        return np.stack(column.to_numpy()).astype(np.int64) if len(column) else np.zeros((0, width), np.int64)
-    out = np.zeros((len(column), width), np.int64)
-    for i, v in enumerate(column):
-        out[i, : len(v)] = v
-    return out
-
-
 def search(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 50, k: int = 5, scale: int = 256, query_block: int = 1024, row_block: int = 4096) -> DataFrame:
     """The ``k`` best rows for every query row, as (query_id, rank, vec_id, score).
 
@@ -117,33 +120,38 @@ def search(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str
 
     Vectors that are null or hold a null or non-finite component take no part, nor do null ids. Shorter vectors, empty
     ones too, count as padded with zeros. Repeated rows are queries and candidates of their own, so a repeated id has
-    a list for each of its rows. An empty table gives an empty result. Other columns are ignored.
+    a list for each of its rows. Scores beyond 64 bits are compared exactly and returned as the nearest long. An
+    empty table gives an empty result. Other columns are ignored.
     """
-    v = F.col(vector_column)
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    whole = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
-    rows = vectors.where(F.col(id_column).isNotNull() & v.isNotNull()).where(fine)
-    rows = rows.select(F.col(id_column).cast("long").alias("id"), whole.alias("v"), F.monotonically_increasing_id().alias("row"))
+    rows = vectors.where(usable(F.col(id_column), F.col(vector_column)))
+    rows = rows.select(F.col(id_column).cast("long").alias("id"), whole_numbers(F.col(vector_column), scale).alias("v"), F.monotonically_increasing_id().alias("row"))
     rows = settle(rows, "topk-vectors")
+    top, most_width = rows.agg(F.coalesce(F.max(F.array_max(F.transform("v", F.abs))), F.lit(0.0)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    wide = top * top * max(most_width, 1) >= 2.0**62
     queries = rows.where(F.col("id") % every == 0)
     n_rows, n_queries = rows.count(), queries.count()
     blocks, q_blocks = max(1, -(-n_rows // row_block)), max(1, -(-n_queries // query_block))
-    spread = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n)).cast("int")
-    left = queries.select("id", "v", "row", spread(q_blocks, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
-    right = rows.select("id", "v", "row", spread(blocks, 2).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    left = queries.select("id", "v", "row", spread("row", q_blocks, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
+    right = rows.select("id", "v", "row", spread("row", blocks, 2).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
 
     def meet(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
+        names = ("row", "query_id", "vec_id", "score")
         if not len(qs) or not len(xs):
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("row", "query_id", "vec_id", "score")})
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in names} | {"key": np.zeros(0, object)})
         width = max(max(map(len, qs["v"])), max(map(len, xs["v"])), 1)
         x_rows = xs["row"].to_numpy()
         order = np.argsort(x_rows)
         at = np.minimum(np.searchsorted(x_rows[order], qs["row"].to_numpy()), len(xs) - 1)
         own = np.where(x_rows[order][at] == qs["row"].to_numpy(), order[at], -1)
-        r, c, s, _ = nra_block(_matrix(qs["v"], width), own, _matrix(xs["v"], width), xs["id"].to_numpy(), k)
-        return pd.DataFrame({"row": qs["row"].to_numpy()[r], "query_id": qs["id"].to_numpy()[r], "vec_id": xs["id"].to_numpy()[c], "score": s})
-
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(meet, "row long, query_id long, vec_id long, score long")
-    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+        q, x, ids, key = matrix(qs["v"], width), matrix(xs["v"], width), xs["id"].to_numpy(), None
+        if wide:
+            r, c, exact = huge_block(q, own, x, ids, k, top)
+            s, key = [long_score(v) for v in exact], [key_of_score(v) for v in exact]
+        else:
+            r, c, s, _ = nra_block(q.astype(np.int64), own, x.astype(np.int64), ids, k)
+        return pd.DataFrame({"row": qs["row"].to_numpy()[r], "query_id": qs["id"].to_numpy()[r], "vec_id": ids[c], "score": np.asarray(s, np.int64)}).assign(key=key)
+
+    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(meet, "row long, query_id long, vec_id long, score long, key string")
+    best = Window.partitionBy("row").orderBy(F.desc("key"), F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

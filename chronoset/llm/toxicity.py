@@ -315,7 +315,8 @@ def train(docs: DataFrame, labels: DataFrame, *, bound: int = 3000, clean: int =
 
     Whole texts are learned from; documents beyond ``chars`` characters are not drawn for fitting. ``labels`` holds
     doc_id and toxic; rows with a null label are left out, and so are documents without text. A doc_id with both
-    labels counts as toxic. Documents that share an id are thinned out by their texts if they exceed the bound.
+    labels counts as toxic. Repeated rows are one; documents that share an id are thinned out by their texts if they
+    exceed the bound.
     """
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -327,7 +328,7 @@ def train(docs: DataFrame, labels: DataFrame, *, bound: int = 3000, clean: int =
     drawn = known.where(F.when(F.col("toxic") == 1, part < shares[1]).otherwise(part < shares[0]))
     total = (1 + clean) * bound
     rows = docs.where(F.length("text") <= chars).join(F.broadcast(drawn.limit(total)), "doc_id")  # drawn to about half as many
-    rows = bounded_sample(settle(rows.select("doc_id", "text", "toxic"), "toxicity-sample"), total, "doc_id", "text")
+    rows = bounded_sample(settle(rows.select("doc_id", "text", "toxic").dropDuplicates(), "toxicity-sample"), total, "doc_id", "text")
     sample = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in sample], [int(r["toxic"]) for r in sample], (shares[0], shares[1]), **limits)
 

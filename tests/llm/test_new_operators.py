@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chronoset.llm import chosenpath, divergence, negatives, vectors
+from chronoset.llm import chosenpath, divergence, langid, mixing, negatives, topk, toxicity, vectors
 from tests.llm.test_operators import docs, words
 
 # ---------------------------------------------------------------- 11
@@ -214,3 +214,39 @@ def test_exact_products_and_keys():
     scores = [-(10**90), -5, 0, 7, 10**80]
     keys = [vectors.key_of_score(s) for s in scores]
     assert keys == sorted(keys) and [vectors.score_of_key(k) for k in keys] == scores
+
+
+# ---------------------------------------------------------------- scale of the earlier ones
+
+
+def test_topk_of_huge_components(spark):
+    """Scores beyond 64 bits keep their order; they come out as the nearest long."""
+    rows = [(0, [2.0**40] * 64), (1, [2.0**40] * 64), (2, [2.0**39] * 64), (3, [-(2.0**40)] * 64), (4, [1.0] * 64), (50, [0.5] * 64)]
+    out = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in out) == [(0, 1, 1), (0, 2, 2), (0, 3, 4), (50, 1, 0), (50, 2, 1), (50, 3, 2)]
+    assert {r["score"] for r in out if r["query_id"] == 0 and r["rank"] < 3} == {2**63 - 1}
+
+
+def test_mixing_without_ids(spark):
+    """All ids null: rows are told by their texts, and the sums are those of one order over all."""
+    rows = [(None, " ".join(["w"] * (1 + i % 7)) + f" x{i}", "en", "ab"[i % 2]) for i in range(300)] + [(None, "same text", "en", "a")] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mix(df).toPandas()
+    total = sum(len(t.split()) for _, t, _, _ in rows)
+    assert len(out) == 360 and not out.duplicated(["source", "finish"]).any() and abs(out["taken"].sum() - total) <= 3 * 8
+    for _, part in out.groupby("source"):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 3 * 8
+    again = mixing.mix(df.repartition(5)).toPandas()
+    assert sorted(out["taken"]) == sorted(again["taken"])
+
+
+def test_copies_are_drawn_once_for_training(spark):
+    texts = [(f"the house and the river of {i}", "en") for i in range(60)] + [(f"das haus und der fluss von {i}", "de") for i in range(60)]
+    copied = spark.createDataFrame([(i, *t) for i, t in enumerate(texts * 40)], "doc_id long, text string, lang string")
+    once = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    a, b = langid.train(copied, bound=10**6), langid.train(once, bound=10**6)
+    assert np.allclose(a.weights, b.weights)
+    docs_ = spark.createDataFrame([(1, "bad bad word")] * 500 + [(2, "good word")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs_, labels)
+    assert toxicity.tag(docs_, model).count() == 1000
