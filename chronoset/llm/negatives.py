@@ -15,6 +15,8 @@ from chronoset.llm.vectors import exact_products, key_of_score, long_score, matr
 
 #: Bits to which a rotated query is rounded; each is a plane of the popcount.
 PLANES = 8
+#: One-bit codes of a vector, each of what the ones before left; every one narrows the intervals, the first ones by 0.6 each.
+LEVELS = 6
 
 
 def rotation(width: int, seed: int = 13) -> np.ndarray:
@@ -23,17 +25,27 @@ def rotation(width: int, seed: int = 13) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, lengths, alignments) of the rows of ``x``: the signs of the rotated vector as 64-bit words, its length,
-    and the inner product of its direction with the direction of its code, in [1/sqrt(width), 1]; 1 for a zero vector."""
+def encode(x: np.ndarray, turn: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, lengths, alignments, rests) of the rows of ``x``.
+
+    A code is the signs of the rotated vector as 64-bit words, (rows, levels, words); an alignment is the inner
+    product of the vector's direction with that of its code. What the code leaves of the direction is orthogonal to
+    it and is coded in the same way, ``levels`` times in all; rests are the lengths of what is left at the end.
+    """
     y = x @ turn.T
+    width = y.shape[1]
     length = np.sqrt((y * y).sum(axis=1))
-    bits = y >= 0
-    padded = np.zeros((len(x), -(-y.shape[1] // 64) * 64), bool)
-    padded[:, : y.shape[1]] = bits
-    codes = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
-    align = np.abs(y).sum(axis=1) / np.maximum(length, 1e-300) / np.sqrt(y.shape[1])
-    return codes, length, np.where(length > 0, np.minimum(align, 1.0), 1.0)
+    left = y / np.maximum(length, 1e-300)[:, None]
+    codes = np.zeros((len(x), levels, -(-width // 64)), np.uint64)
+    align = np.zeros((len(x), levels))
+    for level in range(levels):
+        bits = left >= 0
+        padded = np.zeros((len(x), codes.shape[2] * 64), bool)
+        padded[:, :width] = bits
+        codes[:, level] = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
+        align[:, level] = np.abs(left).sum(axis=1) / np.sqrt(width)
+        left = left - np.where(bits, 1.0, -1.0) * (align[:, level] / np.sqrt(width))[:, None]
+    return codes, length, align, np.sqrt((left * left).sum(axis=1))
 
 
 class QueryBlock:
@@ -53,23 +65,28 @@ class QueryBlock:
         padded[:, : self.width] = level
         self.planes = [np.packbits((padded >> b) & 1, axis=1, bitorder="little").view(np.uint64) for b in range(PLANES)]
 
-    def bounds(self, r: int, codes: np.ndarray, length: np.ndarray, align: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, r: int, codes: np.ndarray, length: np.ndarray, align: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of the inner products of query ``r`` with the coded rows.
 
-        With c the direction of a row's code, its own direction is align * c plus a residual that is orthogonal to c
-        and has length sqrt(1 - align^2). The part of the query beside c has length sqrt(|q|^2 - <q,c>^2), so by
-        Cauchy-Schwarz the residual adds at most the product of both. <q,c> comes from popcounts up to what rounding
-        lost. A margin far above rounding errors keeps the bounds safe.
+        A row's direction is the sum of its codes' directions, each times its alignment, and of a rest that is
+        orthogonal to the last code c. The part of the query beside c has length sqrt(|q|^2 - <q,c>^2), so by
+        Cauchy-Schwarz the rest adds at most the product of both lengths. Inner products with codes come from
+        popcounts, up to what rounding the query lost. A margin far above rounding errors keeps the bounds safe.
         """
-        on = np.zeros(len(codes), np.int64)
-        for b, plane in enumerate(self.planes):
-            on += np.bitwise_count(codes & plane[r]).sum(axis=1, dtype=np.int64) << b
-        signs = 2 * np.bitwise_count(codes).sum(axis=1, dtype=np.int64) - self.width
-        along = (self.low[r] * signs + self.step[r] * (2 * on - self.total[r])) / np.sqrt(self.width)
+        middle, lost, along = np.zeros(len(codes)), np.zeros(len(codes)), np.zeros(len(codes))
+        for level in range(codes.shape[1]):
+            code = codes[:, level]
+            on = np.zeros(len(codes), np.int64)
+            for b, plane in enumerate(self.planes):
+                on += np.bitwise_count(code & plane[r]).sum(axis=1, dtype=np.int64) << b
+            signs = 2 * np.bitwise_count(code).sum(axis=1, dtype=np.int64) - self.width
+            along = (self.low[r] * signs + self.step[r] * (2 * on - self.total[r])) / np.sqrt(self.width)
+            middle += align[:, level] * along
+            lost += align[:, level] * self.lost[r]
         least = np.maximum(np.abs(along) - self.lost[r], 0.0)
-        beside = np.sqrt(np.maximum(self.length[r] ** 2 - least**2, 0.0)) * np.sqrt(np.maximum(1 - align**2, 0.0))
-        gap = (align * self.lost[r] + beside) * (1 + 1e-9) + 1e-7 * self.length[r] + 1e-9
-        return (align * along - gap) * length, (align * along + gap) * length
+        beside = np.sqrt(np.maximum(self.length[r] ** 2 - least**2, 0.0)) * rest
+        gap = (lost + beside) * (1 + 1e-9) + 1e-7 * self.length[r] + 1e-9
+        return (middle - gap) * length, (middle + gap) * length
 
 
 def kth_largest(values: np.ndarray, k: int) -> float:
@@ -78,8 +95,7 @@ def kth_largest(values: np.ndarray, k: int) -> float:
 
 def best_rows(block: QueryBlock, r: int, rows: tuple, allowed: np.ndarray, k: int) -> np.ndarray:
     """The allowed rows that can be among the ``k`` best of query ``r``."""
-    codes, length, align = rows
-    low, high = block.bounds(r, codes, length, align)
+    low, high = block.bounds(r, *rows)
     return np.nonzero(allowed & (high >= kth_largest(low[allowed], k)))[0]
 
 
@@ -107,8 +123,8 @@ def mine(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str =
     of them the ``negatives`` best rows of other labels are returned whose score, in percent of the positive's, lies
     in ``band``.
 
-    Each row is stored with the signs of its rotated vector, its length and its alignment with that code. Blocks of
-    anchors meet blocks of rows, for positives only those of their label, which may hold any share of all rows.
+    Each row is stored with its length, the signs of its rotated vector and its alignment with that code, and LEVELS
+    such codes in all, each of what the ones before left. Blocks of anchors meet blocks of rows, for positives only those of their label, which may hold any share of all rows.
     Intervals from popcounts drop rows that cannot be wanted; the rest is scored in integers, and only the best of a
     block leave its task. Nothing else decides, so results are exact.
 
@@ -127,16 +143,16 @@ def mine(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str =
     def add_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = rotation(width)
         for batch in batches:
-            codes, length, align = encode(matrix(batch.column("v").to_pylist(), width) / unit, turn)
-            extra = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(align)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], ["id", "label", "v", "row", "code", "length", "align"])
+            codes, length, align, rest = encode(matrix(batch.column("v").to_pylist(), width) / unit, turn)
+            extra = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(list(align), pa.list_(pa.float64())), pa.array(rest)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], ["id", "label", "v", "row", "code", "length", "align", "rest"])
 
-    coded = settle(rows.mapInArrow(lean(add_codes), "id long, label long, v array<double>, row long, code binary, length double, align double"), "mining-codes")
+    coded = settle(rows.mapInArrow(lean(add_codes), "id long, label long, v array<double>, row long, code binary, length double, align array<double>, rest double"), "mining-codes")
     anchors = coded.where(F.col("id") % every == 0).select("id", "label", "v", "row")
 
     def stored(xs: pd.DataFrame) -> tuple:
-        codes = np.frombuffer(b"".join(xs["code"]), np.uint64).reshape(len(xs), -1)
-        return codes, xs["length"].to_numpy(), xs["align"].to_numpy()
+        codes = np.frombuffer(b"".join(xs["code"]), np.uint64).reshape(len(xs), LEVELS, -1)
+        return codes, xs["length"].to_numpy(), np.stack(xs["align"].to_numpy()), xs["rest"].to_numpy()
 
     def nearest(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {c: [] for c in ("row", "other", "score", "key")}

@@ -195,13 +195,16 @@ def test_intervals_hold_every_score(width):
     turn = negatives.rotation(width)
     assert np.allclose(turn @ turn.T, np.eye(width))
     block, stored = negatives.QueryBlock(q, turn), negatives.encode(x, turn)
-    narrow = 0
+    narrow = wider = 0
+    one = negatives.encode(x, turn, 1)
     for i in range(len(q)):
         low, high = block.bounds(i, *stored)
         score = x @ q[i]
         assert (low <= score).all() and (score <= high).all()
-        narrow += (high - low < 2 * np.linalg.norm(x, axis=1) * np.linalg.norm(q[i])).sum()
-    assert narrow > 0.9 * 20 * 299
+        rough = block.bounds(i, *one)
+        assert (rough[0] <= score).all() and (score <= rough[1]).all()
+        narrow, wider = narrow + (high - low).sum(), wider + (rough[1] - rough[0]).sum()
+    assert narrow < (0.4 * wider if width > 3 else wider + 1)
 
 
 def test_exact_products_and_keys():
