@@ -49,7 +49,7 @@ def merge_run(size: np.ndarray, total: np.ndarray, before: float, after: float)
     return out
 
 
-def merge_heights(values: DataFrame, key: tuple[str, ...], run: int = 20_000) -> DataFrame:
+def merge_heights(values: DataFrame, key: tuple[str, ...], run: int = 50_000) -> DataFrame:
     """(key, value, next_value, height): for each two neighbouring distinct values the height at which average linkage
     of all values of their key joins them.
 
@@ -109,7 +109,7 @@ def merge_heights(values: DataFrame, key: tuple[str, ...], run: int = 20_000) ->
     return out
 
 
-def clustered_thresholds(long: DataFrame, key: tuple[str, ...], most: int, digits: int = 8, run: int = 20_000) -> DataFrame:
+def clustered_thresholds(long: DataFrame, key: tuple[str, ...], most: int, digits: int = 8, run: int = 50_000) -> DataFrame:
     """(key, threshold): midpoints of neighbouring values; where a key has more than ``most`` + 1 values, only those
     between the ``most`` + 1 clusters that average linkage leaves, cut at the smallest height with no more of them.
 

@@ -96,4 +96,5 @@ def crossvalidate(long: DataFrame, folds: DataFrame, weights: DataFrame, *, n_fo
                 n += 1
         return pd.DataFrame({"fold": fold, "subject_id": test.to_numpy(), "y": y.loc[test, "y"].to_numpy(bool), "probability": total / max(n, 1)})
 
-    return dealt.groupBy("fold").applyInPandas(run, "fold long, subject_id long, y boolean, probability double")
+    kind = folds.schema["subject_id"].dataType.simpleString()
+    return dealt.groupBy("fold").applyInPandas(run, f"fold long, subject_id {kind}, y boolean, probability double")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +75,24 @@ def exclusive_sisters(obs: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
     joined = obs.join(sides, "variable", "left")
     zero = F.col("left").isNotNull() & (coin == F.col("is_left"))
     return joined.withColumn("value", F.when(zero, F.lit(0.0)).otherwise(F.col("value"))).drop("left", "is_left")
+
+
+def dirichlet_noise(obs: DataFrame, noise: float, zero_threshold: float, seed: int) -> DataFrame:
+    """Each sample's values drawn anew from the Dirichlet distribution around them.
+
+    Its parameters are ``noise`` times the values, of which none counts less than ``zero_threshold``. A draw is a row's
+    gamma variate, by a hash of its keys and the seed, over the sum of its sample's, so rows are drawn apart.
+    """
+    shape = F.lit(float(noise)) * F.greatest(F.col("value"), F.lit(float(zero_threshold)))
+    keyed = obs.withColumn("__shape", shape).withColumn("__key", F.xxhash64("subject_id", "time", "variable", F.lit(seed)))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("__key").to_numpy(), batch.column("__shape").to_numpy(), strict=True)
+            drawn = np.array([np.random.Generator(np.random.Philox(key=int(k) % (1 << 63))).standard_gamma(a) for k, a in pairs], float)
+            columns = {n: batch.column(n) for n in batch.schema.names if not n.startswith("__")} | {"value": pa.array(drawn)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    drawn = keyed.mapInArrow(draw, obs.schema)
+    whole = Window.partitionBy(*SAMPLE).orderBy("variable").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # reruns add up alike
+    return drawn.withColumn("value", F.coalesce(F.try_divide(F.col("value"), F.sum("value").over(whole)), F.lit(0.0)))

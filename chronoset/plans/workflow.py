@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoset.config import Config, refuse_unsupported
-from chronoset.operators import detectors, filters, reports, sampling, subsample, transforms, tree
+from chronoset.operators import compare, detectors, filters, metrics, reports, sampling, subsample, transforms, tree
 from chronoset.operators import windows as W
 from chronoset.sources import readers
 from chronoset.sources.scratch import settle
@@ -21,6 +21,13 @@ def preprocess(obs: DataFrame, samples: DataFrame, subjects: DataFrame, config:
     ``edges`` (node, parent, dist) is the tree of variables, on which observations are added up if that is asked for;
     ``normalizers`` (variable) are the variables of internal normalization.
     """
+    obs, samples, subjects, start, end = first_steps(obs, samples, subjects, config, normalizers)
+    obs, subjects = later_steps(obs, subjects, config, edges)
+    return obs, samples, subjects, start, end
+
+
+def first_steps(obs: DataFrame, samples: DataFrame, subjects: DataFrame, config: Config, normalizers: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, float, float]:
+    """The filter chain up to relative abundances or internal normalization."""
     refuse_unsupported(config)
     p = config.preprocessing
     if p.min_overall_abundance:
@@ -50,7 +57,20 @@ def preprocess(obs: DataFrame, samples: DataFrame, subjects: DataFrame, config:
             raise ValueError("internal normalization needs variables")
         floor = 1e-6 if p.internal_normalization_min_factor is None else p.internal_normalization_min_factor
         obs = transforms.internal_normalization(obs, tuple(names_of(normalizers, "variable")), floor)
-    paths = None
+    return obs, samples, subjects, float(start), float(end)
+
+
+def temporal_filter(obs: DataFrame, config: Config) -> DataFrame:
+    p = config.preprocessing
+    if p.temporal_abundance_threshold is None:
+        return obs
+    kept = filters.persistent_variables(obs, p.temporal_abundance_threshold, p.temporal_abundance_consecutive_samples, p.temporal_abundance_n_subjects)
+    return filters.select_variables(obs, kept)
+
+
+def later_steps(obs: DataFrame, subjects: DataFrame, config: Config, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(obs, subjects) after aggregation, logarithms, the temporal filter, surplus nodes and shuffled labels."""
+    p, paths = config.preprocessing, None
     if edges is not None:
         paths = settle(tree.closure(edges), "tree")
     if p.aggregate_on_phylogeny:
@@ -60,9 +80,7 @@ def preprocess(obs: DataFrame, samples: DataFrame, subjects: DataFrame, config:
             obs = tree.aggregate(obs, edges, paths)
     if p.log_transform:
         obs = transforms.log_transform(obs)
-    if p.temporal_abundance_threshold is not None:
-        kept = filters.persistent_variables(obs, p.temporal_abundance_threshold, p.temporal_abundance_consecutive_samples, p.temporal_abundance_n_subjects)
-        obs = filters.select_variables(obs, kept)
+    obs = temporal_filter(obs, config)
     if p.discard_surplus_internal_nodes and paths is not None:
         present = obs.select(F.col("variable").alias("node")).distinct()
         obs = obs.join(tree.surplus_nodes(edges, paths, present).select(F.col("node").alias("variable")), "variable", "left_anti")
@@ -70,7 +88,7 @@ def preprocess(obs: DataFrame, samples: DataFrame, subjects: DataFrame, config:
         subjects = transforms.shuffled_labels(subjects, config.sampling.seed)
     if obs.isEmpty() or subjects.isEmpty():
         raise ValueError("all variables or all subjects were dropped")
-    return obs, samples, subjects, float(start), float(end)
+    return obs, subjects
 
 
 def normalizers(spark: SparkSession, config: Config) -> DataFrame | None:
@@ -181,3 +199,44 @@ def summaries(made: Run, config: Config) -> dict[str, str]:
         if p.bayes_factor_samples:
             out["bayes"] = reports.bayes(stored, m.hyper(), made.end - made.start, p.bayes_factor_samples, config.sampling.seed)
     return out
+
+
+def benchmark(spark: SparkSession, config: Config, methods: tuple[str, ...] = ("random_forest", "l1_logistic"), **settings) -> dict[str, DataFrame]:
+    """Metrics of the comparison methods at three places of the filter chain, and of the rule model at its end.
+
+    The chain is run up to relative abundances, to which noise is added if the section ``benchmarking`` has a
+    noise_parameter. The methods of ``comparison_methods`` (n_intervals, n_consecutive, n_folds) are cross-validated on
+    these (step3), on what the temporal filter leaves of them (step4), and on the data that all later steps make
+    (step5), which the rule model is cross-validated on too (step6), in n_folds of ``crossvalidation``, or one subject
+    at a time if the section is ``leave_one_out``.
+    """
+    b, c = config.other.get("benchmarking", {}), config.other.get("comparison_methods", {})
+    section = "crossvalidation" if "crossvalidation" in config.other else "leave_one_out"
+    if section not in config.other or not c:
+        raise ValueError("a benchmark needs comparison_methods, and crossvalidation or leave_one_out")
+    cv, own = config.other[section], replace(config, other={})
+    subjects, samples, obs, edges = loaded(spark, own)
+    edges = None if edges is None else settle(edges, "variable-tree")
+    obs, samples, subjects, start, end = first_steps(obs, samples, subjects, own, normalizers(spark, own))
+    if "noise_parameter" in b:
+        obs = transforms.dirichlet_noise(obs, float(b["noise_parameter"]), float(b["zero_threshold"]), config.sampling.seed)
+    obs, subjects = settle(obs, "benchmark-observations"), settle(subjects, "benchmark-subjects")
+    logged = transforms.log_transform(obs) if own.preprocessing.log_transform else obs
+    last, people = later_steps(obs, subjects, own, edges)
+    last, people = settle(last, "benchmark-last"), settle(people, "benchmark-people")
+    n, width, folds = int(c["n_intervals"]), int(c.get("n_consecutive", 1)), None if c.get("cv_type") == "leave_one_out" else int(c.get("n_folds", 5))
+
+    def compared(data: DataFrame, who: DataFrame) -> DataFrame:
+        means = transforms.window_means(data, start, end, n, width)
+        features = transforms.feature_vectors(means, n - width + 1, names_of(data, "variable"))
+        return compare.comparison(features, who, methods=methods, folds=folds, **settings)
+
+    out = {"step3": compared(logged, subjects), "step4": compared(temporal_filter(logged, own), subjects), "step5": compared(last, people)}
+    long, found = mine(last, samples, people, start, end, own)
+    of = settle(metrics.stratified_folds(people, int(cv["n_folds"])) if section == "crossvalidation" else metrics.leave_one_out(people), "benchmark-folds")
+    n_folds = int(cv["n_folds"]) if section == "crossvalidation" else people.count()
+    p = sampling.crossvalidate(long, of, weights(found.select("variable").distinct(), edges), n_folds=n_folds, most_thresholds=own.model.max_thresholds,
+                               iterations=int(cv.get("total_samples", own.sampling.total_samples)), seed=own.sampling.seed, burn_in=float(cv.get("burnin_fraction", own.postprocessing.burnin_fraction)))
+    scores = settle(p.select(F.lit("rules").alias("method"), "fold", "y", F.col("probability").alias("score")), "benchmark-scores")
+    report = metrics.report(scores)
+    return out | {"step6": report if section == "crossvalidation" else report.where(F.col("fold").isNull())}

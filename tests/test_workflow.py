@@ -4,9 +4,11 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronoset import __main__ as command
 from chronoset import config
+from chronoset.operators import transforms
 from chronoset.plans import workflow
 
 SETTINGS = """[description]
@@ -157,3 +159,27 @@ def test_commands(spark, bundle, tmp_path):
     grid = spark.read.parquet(str(tmp_path / "grid"))
     assert {(r["n_subjects"], r["n_points"]): r["count"] for r in grid.groupBy("n_subjects", "n_points").count().collect()} == {(6, 4): 24, (6, 2): 12, (4, 4): 16, (4, 2): 8}
     assert command.main([]) == 2
+
+
+def test_benchmark_protocol(spark, bundle):
+    sections = "[benchmarking]\nnoise_parameter = 300\nzero_threshold = 1e-4\n[comparison_methods]\nn_intervals = 2\nn_consecutive = 1\nn_folds = 2\n[crossvalidation]\nn_folds = 2\ntotal_samples = 10\n"
+    c = config.read_config(SETTINGS.format(bundle, TREE) + sections)
+    out = workflow.benchmark(spark, c, methods=("random_forest",), trees=4)
+    assert list(out) == ["step3", "step4", "step5", "step6"]
+    for step, table in out.items():
+        rows = {r["fold"]: r for r in table.collect()}
+        assert set(rows) == {None, 0, 1} and rows[None]["n"] == 12, step
+    with pytest.raises(ValueError):
+        workflow.benchmark(spark, config.read_config(SETTINGS.format(bundle, TREE)))
+
+
+def test_dirichlet_noise(spark):
+    obs = spark.createDataFrame([(s, 0.0, v, x) for s in range(400) for v, x in zip("abc", (0.7, 0.3, 0.0))], "subject_id long, time double, variable string, value double")
+    out = transforms.dirichlet_noise(obs, 50.0, 0.01, seed=1)
+    sums = out.groupBy("subject_id", "time").sum("value").toPandas()["sum(value)"]
+    assert (abs(sums - 1) < 1e-9).all() and out.columns == obs.columns
+    mean = {r["variable"]: (r["m"], r["s"]) for r in out.groupBy("variable").agg(F.avg("value").alias("m"), F.stddev("value").alias("s")).collect()}
+    assert mean["a"][0] == pytest.approx(0.7 / 1.01, abs=0.02) and mean["c"][0] == pytest.approx(0.01 / 1.01, abs=0.005)
+    assert mean["a"][1] == pytest.approx((0.693 * 0.307 / 51.5) ** 0.5, rel=0.15)
+    again = transforms.dirichlet_noise(obs.repartition(3), 50.0, 0.01, seed=1)
+    assert out.exceptAll(again).count() == 0
