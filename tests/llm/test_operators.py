@@ -377,6 +377,23 @@ def test_line_dedup_of_short_lines(spark):
     assert len(want) == 11 and kept_lines(spark, ls) == want
 
 
+def test_many_edit_distances_at_once():
+    rng = random.Random(9)
+    ls = []
+    for n in (1, 3, 40, 63, 64, 65, 128, 129, 200, 300) * 8:
+        x = [rng.choice("abcd é中") for _ in range(n)]
+        y = list(x)
+        for _ in range(rng.randrange(1 + n // 3)):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + rng.randrange(2)] = rng.choice(["", "a", "b "])
+        ls += ["".join(x), "".join(y[len(y) // 6 :] + y[: len(y) // 8]), "".join(y)]
+    pairs = [(i, j) for i in range(len(ls)) for j in range(i + 1, min(i + 4, len(ls)))]
+    x, y = np.array(pairs).T
+    for s in (0.5, 0.8, 0.95):
+        got = lines.Comparer(ls, s).alike(x, y)
+        assert got.tolist() == [levenshtein(ls[i], ls[j]) <= int((1 - s) * max(len(ls[i]), len(ls[j])) + 1e-9) for i, j in pairs]
+
+
 # ---------------------------------------------------------------- 9
 
 def test_decontamination_against_brute_force(spark):
