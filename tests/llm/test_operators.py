@@ -377,6 +377,20 @@ def test_line_dedup_of_short_lines(spark):
     assert len(want) == 11 and kept_lines(spark, ls) == want
 
 
+def test_line_dedup_compares_followers_of_leaders(spark):
+    """Lines with the same clauses in other orders follow one leader; twins among them are like each other only."""
+    rng = random.Random(8)
+    clauses = [" ".join(words(4, 1200 + s, 30_000)) for s in range(16)]
+    ls = []
+    for _ in range(24):
+        line = "; ".join(rng.sample(clauses, len(clauses)))
+        ls += [line, line + " ok"]
+    rng.shuffle(ls)
+    want = kept_by_edits(ls)
+    assert len(want) == 24
+    assert kept_lines(spark, ls, block=6) == want
+
+
 def test_many_edit_distances_at_once():
     rng = random.Random(9)
     ls = []
