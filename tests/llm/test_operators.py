@@ -391,6 +391,34 @@ def test_line_dedup_compares_followers_of_leaders(spark):
     assert kept_lines(spark, ls, block=6) == want
 
 
+def test_line_dedup_writes_lines_not_pairs_of_large_buckets(spark, monkeypatch):
+    """The second pass over a bucket writes its lines once for each pair of blocks at most, however many pairs there are."""
+    rng = random.Random(8)
+    clauses = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(4)) for _ in range(16)]
+    orders = ["; ".join(rng.sample(clauses, len(clauses))) for _ in range(300)]
+    ls = [x for o in orders for x in (o, o + " ok")]
+    rng.shuffle(ls)
+    written, settle = {}, lines.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lines, "settle", counted)
+    kept = kept_lines(spark, ls)
+    assert sorted(x.removesuffix(" ok") for x in kept) == sorted(orders)
+    keys, blocks = lines.LONG[4], -(-len(ls) // 256)
+    assert max(written.values()) <= len(ls) * keys * (blocks + 1), written
+
+
+def test_pairs_are_compared_in_the_first_common_bucket():
+    x, y = np.array([0, 0, 1]), np.array([1, 2, 2])
+    buckets = [[7, 11, 15], [11, 15, 3], [15, 4]]
+    assert lines.share_earlier(buckets, 15, x, y).tolist() == [True, False, False]
+    assert lines.share_earlier(buckets, 11, x, y).tolist() == [False] * 3
+
+
 def test_many_edit_distances_at_once():
     rng = random.Random(9)
     ls = []
