@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoset.llm.common import lean, settle
+from chronoset.llm.common import give_back, lean, settle
 from chronoset.llm.words import WordTable, portions, sum_runs
 
 # The family of a language code; a code that is not listed is a family of its own.
@@ -204,7 +204,12 @@ def train(docs: DataFrame, usable: Column | None = None, *, bound: int = 3000, s
     x = np.zeros((table.num_rows, size), np.float16)
     for i, v in enumerate(table.column("shares")):
         x[i] = np.frombuffer(v.as_buffer(), np.float16)
-    return fit_rows(x, table.column("lang").to_pylist(), times=64.0)
+    langs = table.column("lang").to_pylist()
+    table = v = None
+    model = fit_rows(x, langs, times=64.0)
+    del x
+    give_back()  # the driver goes on with the next stages
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

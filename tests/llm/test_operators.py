@@ -142,6 +142,19 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    """Chains whose links lie together are joined in their tasks; a round and one that changes nothing are left."""
+    written = []
+    monkeypatch.setattr(graph, "settle", lambda df, name, f=graph.settle: (written.append(name), f(df, name))[1])
+    edges = [(1000 * c + i, 1000 * c + i + 1) for c in range(8) for i in range(200)]
+    random.Random(3).shuffle(edges)
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long").coalesce(1)).collect()}
+    assert got == {1000 * c + i: 1000 * c for c in range(8) for i in range(201)} and len(written) <= 3
+    monkeypatch.setattr(graph, "TOGETHER", 1)  # what lies apart is joined in rounds
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1000 * c + i: 1000 * c for c in range(8) for i in range(201)}
+
+
 # ---------------------------------------------------------------- 3
 
 def test_toxicity_held_out(spark):
