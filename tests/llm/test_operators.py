@@ -449,6 +449,32 @@ def test_many_edit_distances_at_once():
         assert got.tolist() == [levenshtein(ls[i], ls[j]) <= int((1 - s) * max(len(ls[i]), len(ls[j])) + 1e-9) for i, j in pairs]
 
 
+def test_pairs_too_far_apart_are_left_out_early(monkeypatch):
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    ls = []
+    for n in (400, 500, 640) * 20:  # two unlike lines, and one like the first with scattered edits
+        x = text(n)
+        ls += [x, text(n + rng.randrange(20)), "".join("z" if k % 12 == 0 else c for k, c in enumerate(x))]
+    pairs = [(i, i + k) for i in range(0, len(ls), 3) for k in (1, 2)] + [(i, i + 1) for i in range(1, len(ls), 3)]
+    left, bound = [], lines._least_left
+    monkeypatch.setattr(lines, "_least_left", lambda *args: left.append(len(args[-1])) or bound(*args))
+    x, y = np.array(pairs).T
+    assert lines.Comparer(ls, 0.8).alike(x, y).tolist() == [lines.edit_similarity(ls[i], ls[j], 0.8) for i, j in pairs]
+    assert left[0] == 120 and 40 in left and left[-1] == 20, left
+
+
+def test_components_of_few_edges_take_one_round(spark, monkeypatch):
+    ids = random.Random(11).sample(range(10**6), 3001)
+    edges = [*zip(ids[:1500], ids[1:1501]), *zip(ids[1501:-1], ids[1502:])]  # two chains
+    random.Random(12).shuffle(edges)
+    written, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, name: written.append(name) or settle(df, name))
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {k: min(part) for part in (ids[:1501], ids[1501:]) for k in part}
+    assert written == ["edges"] * 2
+
+
 # ---------------------------------------------------------------- 9
 
 def test_decontamination_against_brute_force(spark):
