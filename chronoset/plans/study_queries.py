@@ -285,7 +285,7 @@ HAVING count(*) FILTER (value > threshold) BETWEEN 0.25 * count(*) AND 0.75 * co
 def detector_filter(spark, sf_dir):
     """Detectors whose truth splits the subjects in parts of a quarter at least."""
     _, long, cuts = mined(spark, sf_dir)
-    n = cuts.join(long, list(detectors.KEY)).groupBy(*detectors.KEY, "threshold").agg(F.count_if(F.col("value") > F.col("threshold")).alias("n_above"), F.count(F.lit(1)).alias("n"))
+    n = detectors.counted_above(long, cuts)
     return n.where(F.col("n_above").between(0.25 * F.col("n"), 0.75 * F.col("n"))).drop("n")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoset.functions import model
 from chronoset.operators import clusters, compare, detectors, linkage, metrics, ordering, posterior, slots, subsample, tree, truths
+from chronoset.plans import catalogue
 from chronoset.sources import scratch
 
 LONG = "t0 double, t1 double, variable string, type string, subject_id long, value double"
@@ -213,3 +214,27 @@ def test_methods_are_looked_up(spark):
     assert {x["fold"] for x in found} == {None, 0, 1} and all(x["auc"] == 1.0 for x in found)
     alone = compare.comparison(features, subjects, methods=("random_forest",), folds=None, trees=2).collect()
     assert len(alone) == 1 and alone[0]["n"] == 12 and alone[0]["tp"] == 6
+
+
+def drawn(n, seed):
+    """Rows of two keys: values of which many are equal, and distinct ones."""
+    r = np.random.default_rng(seed)
+    return [(0.0, 1.0, v, "average", i, float(x)) for v, xs in (("a", r.integers(0, 40, n) / 4), ("b", r.permutation(n) / 8)) for i, x in enumerate(xs)]
+
+
+def joins_of_keys(df):
+    """Joins of the plan whose condition names the variable: values that meet the thresholds of their key."""
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "variable" in line]
+
+
+def test_sides_are_counted_without_pairs(spark):
+    """Values above a threshold come from running counts, never from pairs of values and thresholds."""
+    rows = drawn(300, 3)
+    long = spark.createDataFrame(rows, LONG)
+    cuts = scratch.settle(detectors.thresholds(long), "cuts")
+    out = detectors.counted_above(long, cuts)
+    assert not joins_of_keys(out)
+    got = {(r["variable"], r["threshold"]): (r["n_above"], r["n"]) for r in out.collect()}
+    assert got == {(c["variable"], c["threshold"]): (sum(x[5] > c["threshold"] for x in rows if x[2] == c["variable"]), 300) for c in cuts.collect()}
+    query = joins_of_keys(catalogue.QUERIES["detector_filter"](spark, "/root/testdata/sf0.001"))
+    assert not query, query
