@@ -235,8 +235,7 @@ UNION ALL SELECT t0, t1, variable, type, threshold, 'below', count(*) FILTER (NO
 def truth_hamming(spark, sf_dir):
     """Each detector's number of true subjects and its Hamming distance to the outcome."""
     s, long, cuts = mined(spark, sf_dir)
-    places = settle(truths.placed(s.subjects), "subject-places")
-    return truths.hamming(truths.packed(long, cuts, places), truths.outcome_words(s.subjects, places))
+    return detectors.distances(long, cuts, s.subjects)
 
 
 _BINS = """, marks AS (SELECT t0, t1, variable, type, threshold AS upper FROM clustered UNION ALL SELECT DISTINCT t0, t1, variable, type, 'Infinity'::DOUBLE FROM clustered),

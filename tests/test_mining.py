@@ -254,3 +254,17 @@ def test_medians_of_sides_without_pairs(spark):
             if all(sides) and statistics.median(sides[0]) - statistics.median(sides[1]) >= gap:
                 want.add((c["variable"], c["threshold"]))
         assert {(r["variable"], r["threshold"]) for r in out.collect()} == want and want
+
+
+def test_distances_without_pairs(spark):
+    """Counts of true subjects and distances to the outcome, some of which are unknown."""
+    rows = drawn(90, 5)
+    y = [None if i % 7 == 0 else i % 3 == 0 for i in range(90)]
+    long, cuts = spark.createDataFrame(rows, LONG), scratch.settle(detectors.thresholds(spark.createDataFrame(rows, LONG)), "cuts")
+    out = detectors.distances(long, cuts, spark.createDataFrame(list(enumerate(y)), "subject_id long, y boolean"))
+    assert not joins_of_keys(out) and not joins_of_keys(catalogue.QUERIES["truth_hamming"](spark, "/root/testdata/sf0.001"))
+    got = {(r["variable"], r["threshold"], r["direction"]): (r["n_true"], r["distance"]) for r in out.collect()}
+    assert len(got) == 2 * cuts.count()
+    for (v, t, d), found in got.items():
+        truth = [((x[5] > t) == (d == "above"), y[x[4]]) for x in rows if x[2] == v]
+        assert found == (sum(a for a, _ in truth), sum(a != b for a, b in truth if b is not None))
