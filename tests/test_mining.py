@@ -268,3 +268,29 @@ def test_distances_without_pairs(spark):
     for (v, t, d), found in got.items():
         truth = [((x[5] > t) == (d == "above"), y[x[4]]) for x in rows if x[2] == v]
         assert found == (sum(a for a, _ in truth), sum(a != b for a, b in truth if b is not None))
+
+
+def test_truths_without_pairs(spark, monkeypatch):
+    """Words and texts over parts of thresholds and groups of blocks; nulls, unequal subjects and all directions."""
+    monkeypatch.setattr(truths, "BLOCKS", 2)
+    monkeypatch.setattr(truths, "PART", 50)
+    monkeypatch.setattr(truths, "TEXTS", 30)
+    monkeypatch.setattr(truths, "BYTES", 2000)
+    rows = [r for r in drawn(200, 6) if r[2] == "a" or r[4] < 140]
+    long = spark.createDataFrame([*rows, (0.0, 1.0, "b", "average", 150, None)], LONG)
+    cuts = scratch.settle(detectors.thresholds(spark.createDataFrame(rows, LONG)), "cuts")
+    subjects = spark.createDataFrame([(i,) for i in range(200)], "subject_id long")
+    words = {(r["variable"], r["threshold"], r["direction"], r["block"]): r["word"] for r in truths.packed(long, cuts, truths.placed(subjects)).collect()}
+    of = {v: {x[4]: x[5] for x in rows if x[2] == v} for v in "ab"}
+    want = {}
+    for c in cuts.collect():
+        for i, x in of[c["variable"]].items():
+            for d in ("above", "below"):
+                k = (c["variable"], c["threshold"], d, i // 63)
+                want[k] = want.get(k, 0) | ((x > c["threshold"]) == (d == "above")) << (62 - i % 63)
+    assert words == want
+    got = truths.numbered_texts(long, cuts).toPandas().sort_values("detector_id")
+    texts = detectors.ordered(detectors.population(long, cuts)).toPandas().sort_values("detector_id")
+    for c in ("detector_id", "bits", *truths.DETECTOR):
+        assert list(got[c]) == list(texts[c]), c
+    assert set(got["bits"].str.len()) == {200, 141}
