@@ -133,14 +133,21 @@ def split_rhat(traces: DataFrame, every: int = 250) -> DataFrame:
     first halves reach, the first upto - 1 rows of all halves are compared: variance between them and within them.
     """
     length = traces.groupBy("chain").agg((F.max("iteration") + 1).alias("n"))
-    halves = traces.join(length, "chain").withColumn("half", F.floor(F.col("n") / 2))
+    halves = traces.join(F.broadcast(length), "chain").withColumn("half", F.floor(F.col("n") / 2))  # a row for each chain
     second = F.col("iteration") >= F.col("half")
-    halves = halves.where(second | (F.col("iteration") < F.col("half") - 1)).select("chain", "parameter", "value", second.alias("second"), (F.col("iteration") - F.when(second, F.col("half")).otherwise(0)).alias("at"))
+    at = F.col("iteration") - F.when(second, F.col("half")).otherwise(0)
+    halves = halves.where(second | (F.col("iteration") < F.col("half") - 1)).select("chain", "parameter", "value", second.alias("second"), (F.floor((at + 1) / every) + 1).alias("part"))
+    # the rows before a cut are those of the parts up to it: a part adds count, mean and squares about the mean to what is before
+    of = ("chain", "second", "parameter")
+    parts = halves.groupBy(*of, "part").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    upto = Window.partitionBy(*of).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.first("m", ignorenulls=True).over(Window.partitionBy(*of).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    shift = F.coalesce(F.col("m") - F.col("middle"), F.lit(0.0))
+    sums = parts.withColumn("middle", middle).select(*of, "part", "middle", F.sum("n").over(upto).alias("n"), F.sum(F.col("n") * shift).over(upto).alias("s"), F.sum(F.col("n") * (F.coalesce("v", F.lit(0.0)) + shift * shift)).over(upto).alias("q"))
     reach = length.agg(F.min(F.floor(F.col("n") / 2) - 1).alias("reach"))
-    steps = F.when(F.col("reach") >= every, F.sequence(F.lit(every).cast("long"), F.col("reach").cast("long"), F.lit(every).cast("long"))).otherwise(F.array().cast("array<long>"))
-    cuts = reach.select(F.explode(steps).alias("upto"))
-    rows = halves.join(F.broadcast(cuts), F.col("at") < F.col("upto") - 1)  # one row for each reported cut
-    per = rows.groupBy("chain", "second", "parameter", "upto").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
+    run = sums.join(F.broadcast(reach), F.col("part") * every <= F.col("reach"))  # one row
+    mean, spread = F.try_divide(F.col("s"), F.col("n")), F.try_divide(F.col("q") - F.col("s") * F.try_divide(F.col("s"), F.col("n")), F.col("n") - 1)
+    per = run.select(*of, (F.col("part") * every).alias("upto"), (F.col("middle") + mean).alias("mean"), F.greatest(spread, F.when(spread.isNotNull(), 0.0)).alias("var"))
     n = (F.col("upto") - 1).cast("double")
     both = per.groupBy("parameter", "upto").agg(F.var_samp("mean").alias("vm"), F.avg("var").alias("w"))
     return both.select("parameter", "upto", F.sqrt(F.try_divide((n - 1) / n * F.col("w") + F.col("vm"), F.col("w"))).alias("rhat"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoset.functions import model
 from chronoset.operators import detectors, metrics, posterior, rules
+from chronoset.operators.ordering import numbered
 from chronoset.plans.study_queries import EVENTS, detector_sql, mined
 from chronoset.plans.tree_queries import TREE, closed
 from chronoset.sources.studies import events_study, r6, table
@@ -231,9 +232,10 @@ b AS (SELECT upto, var_samp(mean) AS vm, avg(var) AS w FROM p GROUP BY 1)
 SELECT 'price' AS parameter, upto::BIGINT AS upto, round(sqrt(((upto - 2) / (upto - 1)::DOUBLE * w + vm) / w), 6) AS rhat FROM b""")
 def rhat_trace(spark, sf_dir):
     """Split R-hat of order prices, with customers modulo 4 as chains and orders as iterations."""
-    order = Window.partitionBy("chain").orderBy("o_orderkey")
     t = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 4).alias("chain"), "o_orderkey", F.col("o_totalprice").alias("value"))
-    t = t.select("chain", (F.row_number().over(order) - 1).cast("long").alias("iteration"), F.lit("price").alias("parameter"), "value")
+    t = numbered(t, "chain", "o_orderkey")
+    starts = t.groupBy("chain").agg(F.min("place").alias("start"))
+    t = t.join(F.broadcast(starts), "chain").select("chain", (F.col("place") - F.col("start")).alias("iteration"), F.lit("price").alias("parameter"), "value")  # a row for each chain
     return metrics.split_rhat(t).withColumn("rhat", F.round("rhat", 6))
 
 

@@ -294,3 +294,18 @@ def test_truths_without_pairs(spark, monkeypatch):
     for c in ("detector_id", "bits", *truths.DETECTOR):
         assert list(got[c]) == list(texts[c]), c
     assert set(got["bits"].str.len()) == {200, 141}
+
+
+def test_split_rhat_adds_parts(spark):
+    """R-hat at every cut from sums over the parts between cuts: no row is met by each later cut."""
+    r = np.random.default_rng(8)
+    x = {c: r.normal(1e4, 2.0, 400 + c) for c in range(3)}
+    df = spark.createDataFrame([(c, i, "p", float(v)) for c, xs in x.items() for i, v in enumerate(xs)], "chain long, iteration long, parameter string, value double")
+    out = metrics.split_rhat(df, every=30)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {row["upto"]: row["rhat"] for row in out.collect()}
+    assert sorted(got) == list(range(30, 200, 30))
+    for upto, found in got.items():
+        halves = [h[: upto - 1] for xs in x.values() for h in (xs[: len(xs) // 2 - 1], xs[len(xs) // 2 :])]
+        w, between = np.mean([h.var(ddof=1) for h in halves]), np.var([h.mean() for h in halves], ddof=1)
+        assert found == pytest.approx(math.sqrt(((upto - 2) / (upto - 1) * w + between) / w), abs=1e-9)
