@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoset.operators.ordering import numbered
+from chronoset.sources.scratch import settle
 
 
 def shuffled(seed: int) -> Column:
@@ -71,16 +72,18 @@ def nested_timepoints(samples: DataFrame, sizes: list[int], of: int | None = Non
     Positions are the places of a subject's samples in time, from 0; ``of`` is their number, by default each
     subject's own is not looked at and the largest one counts for all.
     """
-    order = Window.partitionBy("subject_id").orderBy("time")
-    places = samples.select("subject_id", (F.row_number().over(order) - 1).cast("long").alias("position"))
-    n = of if of is not None else (places.agg(F.max("position")).first()[0] or 0) + 1
-    held = places.where(F.col("position") < n).groupBy("subject_id").agg(F.array_sort(F.collect_list("position")).alias("positions"))  # one subject's samples
+    counts = settle(samples.groupBy("subject_id").agg(F.count(F.lit(1)).alias("__n")), "sample-counts")
+    n = of if of is not None else counts.agg(F.max("__n")).first()[0] or 0
+    held = counts.select("subject_id", F.least("__n", F.lit(n)).alias("__n")).where(F.col("__n") > 0)
+    # what is chosen depends on the number of samples alone, of which there are few
+    kinds = held.select(F.col("__n").alias("subject_id")).distinct().withColumn("positions", F.sequence(F.lit(0).cast("long"), F.col("subject_id") - 1))
     parts = []
     for size in sorted(sizes, reverse=True):
-        chosen = even_choices(held, size, n)
-        parts.append(chosen.select("subject_id", F.lit(size).cast("long").alias("size"), F.explode("chosen").alias("position")))
-        held = chosen.withColumnRenamed("chosen", "positions")
-    return reduce(DataFrame.unionByName, parts)
+        chosen = settle(even_choices(kinds, size, n), "even-choices")
+        parts.append(chosen.select(F.col("subject_id").alias("__n"), F.lit(size).cast("long").alias("size"), "chosen"))
+        kinds = chosen.withColumnRenamed("chosen", "positions")
+    found = held.join(F.broadcast(reduce(DataFrame.unionByName, parts)), "__n")  # a row for each number of samples and size
+    return found.select("subject_id", "size", F.explode("chosen").alias("position"))
 
 
 def grid(subjects: DataFrame, samples: DataFrame, subject_sizes: list[int], point_sizes: list[int], seed: int, of: int | None = None) -> DataFrame:

@@ -309,3 +309,21 @@ def test_split_rhat_adds_parts(spark):
         halves = [h[: upto - 1] for xs in x.values() for h in (xs[: len(xs) // 2 - 1], xs[len(xs) // 2 :])]
         w, between = np.mean([h.var(ddof=1) for h in halves]), np.var([h.mean() for h in halves], ddof=1)
         assert found == pytest.approx(math.sqrt(((upto - 2) / (upto - 1) * w + between) / w), abs=1e-9)
+
+
+def test_choices_are_made_once_for_each_number_of_samples(spark, monkeypatch):
+    """Combinations are scored once for all subjects with as many samples."""
+    asked, choose = [], subsample.even_choices
+    monkeypatch.setattr(subsample, "even_choices", lambda positions, size, n: asked.append(positions.count()) or choose(positions, size, n))
+    samples = spark.createDataFrame([(s, float(t)) for s in range(60) for t in range(3 + s % 5)], "subject_id long, time double")
+    for of, m in ((None, 7), (5, 5)):
+        asked.clear()
+        got = {}
+        for r in subsample.nested_timepoints(samples, [2, 4], of).collect():
+            got.setdefault((r["subject_id"], r["size"]), []).append(r["position"])
+        assert asked[0] <= 5 and len(asked) == 2
+        assert {k[0] for k in got} == {s for s in range(60) if s % 5}
+        cost = lambda c: round(sum(1 / (b - a) ** 2 for a, b in itertools.combinations((-1, *c, m + 1), 2)), 12)  # noqa: B023, E731
+        for s in (1, 3, 4):
+            four = min(itertools.combinations(range(min(3 + s, m)), 4), key=lambda c: (cost(c), c))
+            assert sorted(got[s, 4]) == list(four) and sorted(got[s, 2]) == list(min(itertools.combinations(four, 2), key=lambda c: (cost(c), c)))
