@@ -327,3 +327,27 @@ def test_choices_are_made_once_for_each_number_of_samples(spark, monkeypatch):
         for s in (1, 3, 4):
             four = min(itertools.combinations(range(min(3 + s, m)), 4), key=lambda c: (cost(c), c))
             assert sorted(got[s, 4]) == list(four) and sorted(got[s, 2]) == list(min(itertools.combinations(four, 2), key=lambda c: (cost(c), c)))
+
+
+def test_slot_priors_meet_in_blocks(spark, monkeypatch):
+    """Pairs and draws meet as blocks of arrays; the rows that Spark holds do not grow with their product."""
+    monkeypatch.setattr(slots, "PAIRS", 5)
+    monkeypatch.setattr(slots, "CELLS", 8)
+    r = np.random.default_rng(11)
+    parts = [(i, float(r.integers(1, 5)), float(r.integers(1, 5))) for i in range(40)]
+    hyper = [(i, *map(float, r.uniform((0.1, 0.3, 0.2, 1.0), (1.0, 1.0, 0.8, 4.0)))) for i in range(12)]
+    hyper += [(12 + i, *h[1:]) for i, h in enumerate(hyper[:5])]  # equal draws
+    written, settle = [], scratch.settle
+    monkeypatch.setattr(slots, "settle", lambda df, name: written.append((out := settle(df, name)).count()) or out)
+    d = spark.createDataFrame(parts, "detector long, weight double, duration double").repartition(3)
+    out = slots.slot_priors(d, spark.createDataFrame(hyper, "draw long, mean double, std double, fraction double, concentration double"), 10.0, batch=3).collect()
+    assert max(written) <= len(hyper)
+    shares = []
+    for _, mean, std, f, c in hyper:
+        logs = [(c * f - 1) * math.log(t / 10.1) + (c * (1 - f) - 1) * math.log(1 - t / 10.1) - ((math.log(w) - mean) / std) ** 2 / 2 for _, w, t in parts]
+        shares.append(np.exp(logs) / np.exp(logs).sum())
+    shares = np.array(shares)
+    assert len(out) == 40
+    for x in out:
+        s = shares[:, x["detector"]]
+        assert x["prior"] == pytest.approx(s.mean(), rel=1e-10) and x["standard_error"] == pytest.approx(s.std(ddof=1) / math.sqrt(len(s)), rel=1e-9)
