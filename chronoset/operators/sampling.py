@@ -10,23 +10,21 @@ from pyspark.sql import functions as F
 from chronoset.functions.chain import Chain
 from chronoset.functions.model import Hyper
 from chronoset.operators import detectors
+from chronoset.sources.scratch import settle
 
 STATES = "chain long, iteration long, length long, n_rules long, rules string, log_lik double, log_prior double, mean double, std double, fraction double, concentration double, empty double, beta array<double>"
 
 
-def _chain(pdf: pd.DataFrame, seed: int, prior_only: bool, hyper: Hyper = Hyper()) -> tuple[Chain, pd.DataFrame]:
-    pdf = pdf.sort_values("detector_id").reset_index(drop=True)
-    truths = np.array([np.frombuffer(b.encode(), np.uint8) == 49 for b in pdf["bits"]])
-    y = np.frombuffer(pdf["outcome"].iloc[0].encode(), np.uint8) == 49
+def _chain(pdf: pd.DataFrame, truths: np.ndarray, y: np.ndarray, seed: int, prior_only: bool, hyper: Hyper = Hyper()) -> Chain:
+    """A chain over detectors (rows of ``pdf`` and ``truths``) and the outcomes ``y`` of subjects."""
     keys = [tuple(r) for r in pdf[["t0", "t1", "variable", "type", "threshold", "direction"]].itertuples(index=False)]
     at = {k: i for i, k in enumerate(keys)}
     inverse = np.array([at[(*k[:5], "below" if k[5] == "above" else "above")] for k in keys])
     span = float((pdf["t1"].max() - pdf["t0"].min()) or 1.0)
     logs = np.log(pdf["weight"].to_numpy(float))
     delta = max(float(logs.max() - np.percentile(logs, 2.5)), 1e-3)
-    first = int(np.argmin((truths != y).sum(axis=1)))
-    chain = Chain(truths, logs, ((pdf["t1"] - pdf["t0"]) / span).to_numpy(float), inverse, y.astype(float), [[first]], np.random.default_rng(seed), delta, float(np.median(logs)), hyper, prior_only)
-    return chain, pdf
+    first = int(np.argmin([(t != y).sum() for t in truths]))
+    return Chain(truths, logs, ((pdf["t1"] - pdf["t0"]) / span).to_numpy(float), inverse, y.astype(float), [[first]], np.random.default_rng(seed), delta, float(np.median(logs)), hyper, prior_only)
 
 
 def run_chains(population: DataFrame, outcome_bits: str, *, chains: int = 4, iterations: int = 100, seed: int = 1, draws: int = 10, prior_only: bool = False, hyper: Hyper = Hyper()) -> DataFrame:
@@ -39,7 +37,9 @@ def run_chains(population: DataFrame, outcome_bits: str, *, chains: int = 4, ite
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(pdf["chain"].iloc[0])
-        chain, _ = _chain(pdf, seed + number, prior_only, hyper)
+        pdf = pdf.sort_values("detector_id").reset_index(drop=True)
+        truths = np.array([np.frombuffer(b.encode(), np.uint8) == 49 for b in pdf["bits"]])
+        chain = _chain(pdf, truths, np.frombuffer(pdf["outcome"].iloc[0].encode(), np.uint8) == 49, seed + number, prior_only, hyper)
         rows = []
         for it in range(iterations):
             chain.step(draws)
@@ -58,43 +58,62 @@ def outcome_bits(subjects: DataFrame) -> str:
 def crossvalidate(long: DataFrame, folds: DataFrame, weights: DataFrame, *, n_folds: int, most_thresholds: int = 10, iterations: int = 60, seed: int = 1, burn_in: float = 0.3) -> DataFrame:
     """(fold, subject_id, y, probability): ensemble probabilities of held-out subjects, one task for each fold.
 
-    Detector values of training subjects are mined again within the fold; windows stay as they are. The values of
-    one fold are one group: windows x variables x subjects.
+    Detector values of training subjects are mined again within the fold; windows stay as they are. The values of one key
+    are one group, from which the truths of its detectors in all folds come, eight to a byte. A fold's chain gets these:
+    its memory is a byte for each detector and subject. Every subject needs a value of every key, else ValueError.
     """
-    labelled = long.join(folds.select("subject_id", "y", F.col("fold").alias("own")), "subject_id").join(weights, "variable", "left")
-    dealt = labelled.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_folds - 1).cast("long"))))
+    mined = long.join(folds.select("subject_id", F.col("fold").alias("own")), "subject_id").select(*detectors.KEY, "subject_id", "value", "own")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fold = int(pdf["fold"].iloc[0])
-        y = pdf.groupby("subject_id").agg(y=("y", "first"), own=("own", "first")).sort_index()
-        train, test = y.index[y["own"] != fold], y.index[y["own"] == fold]
-        rows, test_truths = [], []
-        for key, g in pdf.groupby(list(detectors.KEY), sort=True):
-            v = g.set_index("subject_id")["value"]
-            x = np.sort(v.loc[train].to_numpy(float))
-            if len(x) > most_thresholds + 1:
-                edge = np.nonzero(np.diff(detectors.average_linkage_cut(x, most_thresholds + 1)))[0]
+    def mine(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = [pdf[c].iloc[0] for c in detectors.KEY]
+        pdf = pdf.sort_values("subject_id")
+        v, own = pdf["value"].to_numpy(float), pdf["own"].to_numpy()
+        rows = []
+        for fold in range(n_folds):
+            train, test = v[own != fold], v[own == fold]
+            x, sizes = np.unique(train, return_counts=True)
+            if len(train) > most_thresholds + 1:
+                edge = np.nonzero(np.diff(detectors.average_linkage_cut(x, most_thresholds + 1, sizes)))[0]
                 cuts = np.unique(0.5 * (x[edge] + x[edge + 1]))
             else:
-                cuts = np.unique(0.5 * (x[:-1] + x[1:]))
-            for t in cuts:
-                for direction, up in (("above", True), ("below", False)):
-                    bits = (v.loc[train] > t).to_numpy() == up
-                    rows.append((*key, float(t), direction, "".join("1" if b else "0" for b in bits), float(g["weight"].iloc[0])))
-                    test_truths.append((v.loc[test] > t).to_numpy() == up)
-        table = pd.DataFrame(rows, columns=[*detectors.KEY, "threshold", "direction", "bits", "weight"])
-        table["detector_id"] = np.arange(len(table))
-        table["outcome"] = "".join("1" if b else "0" for b in y.loc[train, "y"])
-        chain, _ = _chain(table, seed + fold, False)
-        truths = np.array(test_truths)
-        total, n = np.zeros(len(test)), 0
+                cuts = np.unique(np.concatenate([0.5 * (x[:-1] + x[1:]), x[sizes > 1]]))
+            rows += [(fold, *key, float(t), np.packbits(train > t).tobytes(), np.packbits(test > t).tobytes(), len(train), len(test)) for t in cuts]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in kinds.split(", ")])
+
+    kinds = "fold long, " + ", ".join(f"{c} {long.schema[c].dataType.simpleString()}" for c in detectors.KEY) + ", threshold double, train binary, test binary, n_train long, n_test long"
+    # truths of one key and fold are rows; they are settled, as they are made from groups of all subjects
+    found = settle(mined.groupBy(*detectors.KEY).applyInPandas(mine, kinds), "fold-truths").join(weights, "variable", "left")
+    people = folds.join(long.select("subject_id").distinct(), "subject_id", "left_semi").select("subject_id", "y", F.col("fold").alias("own"))
+    people = people.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_folds - 1).cast("long"))))
+
+    def run(table: pd.DataFrame, who: pd.DataFrame) -> pd.DataFrame:
+        fold = int(who["fold"].iloc[0])
+        who = who.sort_values("subject_id")
+        held_out = who["own"].to_numpy() == fold
+        y, n = who["y"].to_numpy(bool), (int((~held_out).sum()), int(held_out.sum()))
+        if ((table["n_train"] != n[0]) | (table["n_test"] != n[1])).any():
+            raise ValueError("a subject has no value of some detector, or several")
+        table = table.sort_values([*detectors.KEY, "threshold"]).reset_index(drop=True)
+
+        def both(column: str, n: int) -> np.ndarray:
+            out = np.empty((2 * len(table), n), bool)  # above, below
+            for i, packed in enumerate(table[column]):
+                out[2 * i] = np.unpackbits(np.frombuffer(packed, np.uint8), count=n)
+                np.logical_not(out[2 * i], out=out[2 * i + 1])
+            return out
+
+        truths = both("test", n[1])
+        rows = table[[*detectors.KEY, "threshold", "weight"]].loc[table.index.repeat(2)].reset_index(drop=True)
+        rows["direction"] = ["above", "below"] * len(table)
+        chain = _chain(rows, both("train", n[0]), y[~held_out], seed + fold, False)
+        total, used = np.zeros(n[1]), 0
         for it in range(iterations):
             chain.step()
             if it >= int(burn_in * iterations):
-                x = np.column_stack([*(truths[r].all(axis=0) for r in chain.rules), np.ones(len(test))]).astype(float)
+                x = np.column_stack([*(truths[r].all(axis=0) for r in chain.rules), np.ones(n[1])]).astype(float)
                 total += 1 / (1 + np.exp(-x @ chain.beta))
-                n += 1
-        return pd.DataFrame({"fold": fold, "subject_id": test.to_numpy(), "y": y.loc[test, "y"].to_numpy(bool), "probability": total / max(n, 1)})
+                used += 1
+        return pd.DataFrame({"fold": fold, "subject_id": who["subject_id"].to_numpy()[held_out], "y": y[held_out], "probability": total / max(used, 1)})
 
     kind = folds.schema["subject_id"].dataType.simpleString()
-    return dealt.groupBy("fold").applyInPandas(run, f"fold long, subject_id {kind}, y boolean, probability double")
+    return found.groupBy("fold").cogroup(people.groupBy("fold")).applyInPandas(run, f"fold long, subject_id {kind}, y boolean, probability double")

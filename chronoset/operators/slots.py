@@ -14,7 +14,7 @@ from chronoset.operators.ordering import numbered
 from chronoset.sources.scratch import settle
 
 #: Pairs of a block, and cells of draws and pairs that are held at once.
-PAIRS, CELLS = 4096, 1 << 18
+PAIRS, CELLS = 4096, 1 << 16
 
 
 def _uniform(index: Column, seed: int, salt: int) -> Column:

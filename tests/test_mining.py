@@ -4,13 +4,14 @@ import itertools
 import math
 import random
 import statistics
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chronoset.functions import model
-from chronoset.operators import clusters, compare, detectors, linkage, metrics, ordering, posterior, slots, subsample, tree, truths
+from chronoset.operators import clusters, compare, detectors, linkage, metrics, ordering, posterior, sampling, slots, subsample, tree, truths
 from chronoset.plans import catalogue
 from chronoset.sources import scratch
 
@@ -351,3 +352,31 @@ def test_slot_priors_meet_in_blocks(spark, monkeypatch):
     for x in out:
         s = shares[:, x["detector"]]
         assert x["prior"] == pytest.approx(s.mean(), rel=1e-10) and x["standard_error"] == pytest.approx(s.std(ddof=1) / math.sqrt(len(s)), rel=1e-9)
+
+
+def test_memory_of_folds_is_bounded(spark, monkeypatch):
+    """Likelihoods of all detectors come in blocks, and folds hold packed truths in place of all values."""
+    r = np.random.default_rng(12)
+    options, omega, y = r.random((120, 20_000)) < 0.3, r.random(20_000) + 0.1, (r.random(20_000) < 0.5).astype(float)
+    whole = model.log_likelihoods_of_options(np.ones((20_000, 1)), options, omega, y, 100.0)
+    monkeypatch.setattr(model, "CELLS", 100_000)
+    tracemalloc.start()
+    blocks = model.log_likelihoods_of_options(np.ones((20_000, 1)), options, omega, y, 100.0)
+    assert tracemalloc.get_traced_memory()[1] < 6e6
+    tracemalloc.stop()
+    assert blocks == pytest.approx(whole, rel=1e-12)
+    rows = [(0.0, 1.0, v, "average", i, x) for v in "ab" for i, x in enumerate(r.integers(0, 9, 90).astype(float).tolist())]
+    long, people = spark.createDataFrame(rows, LONG), spark.createDataFrame([(i, i % 2 == 0, i % 3) for i in range(90)], "subject_id long, y boolean, fold long")
+    weights = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "variable string, weight double")
+    written, settle = [], scratch.settle
+    monkeypatch.setattr(sampling, "settle", lambda df, name: written.append((out := settle(df, name)).toPandas()) or out)
+    out = sampling.crossvalidate(long, people, weights, n_folds=3, most_thresholds=3, iterations=3).toPandas()
+    assert sorted(out["subject_id"]) == list(range(90)) and (out["fold"] == out["subject_id"] % 3).all() and out["probability"].between(0, 1).all()
+    assert len(written[0]) <= 3 * 2 * 3
+    for c in written[0].to_dict("records"):
+        x = np.array([z[5] for z in rows if z[2] == c["variable"]])
+        assert (np.unpackbits(np.frombuffer(c["train"], np.uint8), count=60) == (x[np.arange(90) % 3 != c["fold"]] > c["threshold"])).all()
+        cut = detectors.average_linkage_cut(np.sort(x[np.arange(90) % 3 != c["fold"]]), 4)
+        assert cut.max() == len(written[0].query("fold == @c['fold'] and variable == @c['variable']"))
+    with pytest.raises(Exception, match="no value"):
+        sampling.crossvalidate(long.where("subject_id > 0 or variable = 'a'"), people, weights, n_folds=3, most_thresholds=3, iterations=3).collect()
