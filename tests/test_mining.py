@@ -380,3 +380,27 @@ def test_memory_of_folds_is_bounded(spark, monkeypatch):
         assert cut.max() == len(written[0].query("fold == @c['fold'] and variable == @c['variable']"))
     with pytest.raises(Exception, match="no value"):
         sampling.crossvalidate(long.where("subject_id > 0 or variable = 'a'"), people, weights, n_folds=3, most_thresholds=3, iterations=3).collect()
+
+
+def test_placed_sums_are_not_shuffled(spark, monkeypatch):
+    """Sums by sample and node come from the samples' own ranges: after the product no exchange, whatever the size."""
+    monkeypatch.setattr(tree, "RANGE", 700)
+    r = np.random.default_rng(13)
+    names = [f"x{i}" for i in range(30)]
+    share = {v: dict(zip(sorted(f"n{k}" for k in r.choice(12, 4, replace=False)), r.random(4).tolist(), strict=True)) for v in names}
+    obs = [(int(s), float(t), v, None if r.random() < 0.02 else float(r.integers(1, 50))) for s in range(400) for t in range(3) for v in r.choice(names, 5, replace=False).tolist()]
+    obs += [(1, None, "x1", 3.0), (1, None, "x2", 4.0), (2, 9.0, "x3", None), (3, 9.0, "lost", 5.0)]
+    values = spark.createDataFrame(obs, "subject_id long, time double, variable string, value double").repartition(7)
+    weights = spark.createDataFrame([(v, n, p) for v, of in share.items() for n, p in of.items()], "sequence string, node string, probability double")
+    out = tree._weighted_sums(values, weights)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("MapInArrow")]
+    want = {}
+    for s, t, v, x in obs:
+        for n, p in share.get(v, {}).items():
+            old = want.get((s, t, n))
+            want[s, t, n] = old if x is None else (old or 0.0) + x * p
+    rows = out.collect()
+    got = {(x["subject_id"], x["time"], x["variable"]): x["value"] for x in rows}
+    assert len(rows) == len(want) and got.keys() == want.keys()
+    assert all(got[k] is None if x is None else got[k] == pytest.approx(x) for k, x in want.items())
